@@ -62,17 +62,24 @@ def inside_edges(x: ColumnLike, y: ColumnLike, edges: ColumnLike) -> Column:
     return (crossings % 2 == 1) | F.exists(ring, lambda e: _touches(e, px, py))
 
 
-def point_segment_distance(x: ColumnLike, y: ColumnLike, edge: Column) -> Column:
-    """Planar distance from a point to a segment; a segment of length 0 is a point."""
-    px, py = col_of(x), col_of(y)
+def _position_along(px: Column, py: Column, edge: Column) -> Column:
+    """Where the foot of the point falls on the segment, from 0 to 1; a segment of length 0 is a point."""
     dx, dy = edge["x2"] - edge["x1"], edge["y2"] - edge["y1"]
-    length2 = dx * dx + dy * dy
-    along = ((px - edge["x1"]) * dx + (py - edge["y1"]) * dy) / F.nullif(length2, F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
-    ex, ey = px - (edge["x1"] + t * dx), py - (edge["y1"] + t * dy)
-    return F.sqrt(ex * ex + ey * ey)
+    along = ((px - edge["x1"]) * dx + (py - edge["y1"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
 
 
 def nearest_edge_distance(x: ColumnLike, y: ColumnLike, edges: ColumnLike) -> Column:
-    """Distance to the nearest edge of an array; NULL for an empty array."""
-    return F.array_min(F.transform(col_of(edges), lambda e: point_segment_distance(x, y, e)))
+    """Planar distance to the nearest edge of an array; NULL for an empty array.
+
+    The position along an edge is bound in a first pass, because expressions inside an array function
+    are evaluated as often as they are written.
+    """
+    px, py = col_of(x), col_of(y)
+    placed = F.transform(col_of(edges), lambda e: F.struct(e.alias("e"), _position_along(px, py, e).alias("t")))
+
+    def distance(p: Column) -> Column:
+        e, t = p["e"], p["t"]
+        return F.hypot(px - (e["x1"] + t * (e["x2"] - e["x1"])), py - (e["y1"] + t * (e["y2"] - e["y1"])))
+
+    return F.array_min(F.transform(placed, distance))

@@ -181,15 +181,18 @@ def completeness_summary(
     observer: str,
     complete: Column,
     by: str | Sequence[str] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Rows, checklists, observers, complete checklists, and their ratios, per group.
 
     One scan: rows collapse to one per (checklist, observer), then to one per observer and one per
-    checklist through a tagged stack, which is a plain count at the end.
+    checklist through a tagged stack, which is a plain count at the end. ``weight`` names a count
+    column when the input is already reduced to counts.
     """
     groups = names_of(by)
+    rows = F.col(weight) if weight else F.lit(1)
     pairs = df.groupBy(*groups, checklist, observer).agg(
-        F.count(F.lit(1)).alias("_rows"), F.count_if(complete).alias("_complete_rows")
+        F.sum(rows).alias("_rows"), F.sum(F.when(complete, rows).otherwise(F.lit(0))).alias("_complete_rows")
     )
     tagged = pairs.select(
         *groups,
@@ -241,11 +244,12 @@ def two_feed_summary(
     observer_obs: str = "user_id",
     observer_chk: str = "observer_id",
     checklist: str = "checklist_id",
+    weight: str | None = None,
 ) -> DataFrame:
     """One row of totals over both feeds: records, shares, science-ready share, observers.
 
     Science-ready means research-grade observations plus complete checklists, by records and by
-    units (an observation or a checklist).
+    units (an observation or a checklist). ``weight`` names a count column of reduced checklist lines.
     """
     obs = observations.groupBy(observer_obs).agg(
         F.count(F.lit(1)).alias("_rows"), F.count_if(research).alias("_research"), F.count_if(named).alias("_named")
@@ -255,7 +259,7 @@ def two_feed_summary(
         F.sum("_named").alias("species_level_records"),
         F.count(F.lit(1)).alias("obs_observers"),
     )
-    chk = completeness_summary(checklists, checklist, observer_chk, complete).select(
+    chk = completeness_summary(checklists, checklist, observer_chk, complete, weight=weight).select(
         F.col("records").alias("chk_records"),
         F.col("complete_records"),
         F.col("checklists"),

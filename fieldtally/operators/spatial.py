@@ -88,7 +88,10 @@ def _tile(value: ColumnLike, size: Column) -> Column:
 
 @dataclass(frozen=True)
 class Cover:
-    """Cells a polygon layer reaches: ``keys, _cx, _cy, _edges``, with the cell size they were built on."""
+    """Cells a polygon layer reaches: ``keys, _cx, _cy, _edges``, with the cell size they were built on.
+
+    ``_edges`` is NULL for a cell that lies inside its polygon as a whole.
+    """
 
     cells: DataFrame
     keys: tuple[str, ...]
@@ -96,12 +99,15 @@ class Cover:
     height: Column
 
 
-def cover_of(edges: DataFrame, keys: Sequence[str] = ("poly_id",), cell: tuple[float, float] | None = None) -> Cover:
+def cover_of(
+    edges: DataFrame, keys: Sequence[str] = ("poly_id",), cell: tuple[float, float] | None = None
+) -> Cover:
     """Cover of a polygon layer on a grid of ``cell`` = (width, height).
 
-    Without ``cell`` the grid is a sixteenth of the widest and of the tallest polygon. Pass smaller
-    cells for layers with very long boundaries: a cell holds only the edges of its band that do not
-    lie wholly to its left, which are all a ray towards +x can meet.
+    Without ``cell`` the grid is 1/32 of the widest and of the tallest polygon. A cell no edge comes
+    near is decided here, once, by its centre: outside cells drop out, inside cells need no test
+    later. The other cells keep the edges of their band that do not lie wholly to their left, which
+    are all a ray towards +x can meet. Smaller cells make shorter edge lists.
     """
     keys = tuple(keys)
     if cell is None:
@@ -109,28 +115,52 @@ def cover_of(edges: DataFrame, keys: Sequence[str] = ("poly_id",), cell: tuple[f
             (F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))).alias("w"),
             (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("h"),
         )
-        # min/max only: both uses of the size see the same bits
-        width = boxes.agg(F.max("w")).scalar() / 16.0
-        height = boxes.agg(F.max("h")).scalar() / 16.0
+        # min/max only: every use of the size sees the same bits
+        width = boxes.agg(F.max("w")).scalar() / 32.0
+        height = boxes.agg(F.max("h")).scalar() / 32.0
     else:
         width, height = F.lit(float(cell[0])), F.lit(float(cell[1]))
-    sized = edges.select(
+    banded = edges.select(
         *keys,
         F.struct("x1", "y1", "x2", "y2").alias("edge"),
-        _tile(F.least("x1", "x2"), width).alias("_x_from"),
-        _tile(F.greatest("x1", "x2"), width).alias("_x_to"),
-        _tile(F.least("y1", "y2"), height).alias("_y_from"),
-        _tile(F.greatest("y1", "y2"), height).alias("_y_to"),
+        F.explode(F.sequence(_tile(F.least("y1", "y2"), height), _tile(F.greatest("y1", "y2"), height))).alias("_cy"),
     )
-    banded = sized.select("*", F.explode(F.sequence("_y_from", "_y_to")).alias("_cy"))
-    spans = banded.groupBy(*keys, "_cy").agg(
-        F.min("_x_from").alias("_x_first"),
-        F.max("_x_to").alias("_x_last"),
-        F.collect_list(F.struct("edge", F.col("_x_to").alias("to"))).alias("_band"),
+    # the part of an edge inside its band, widened by one cell on both sides against rounding
+    x1, y1, x2, y2 = (F.col(f"edge.{c}") for c in ("x1", "y1", "x2", "y2"))
+    bottom, top = F.col("_cy") * height, (F.col("_cy") + 1) * height
+
+    def x_at(y: Column) -> Column:
+        inside = F.greatest(F.least("edge.y1", "edge.y2"), F.least(F.greatest("edge.y1", "edge.y2"), y))
+        return F.when(y1 == y2, x1).otherwise(x1 + (x2 - x1) * ((inside - y1) / (y2 - y1)))
+
+    low, high = x_at(bottom), x_at(top)
+    flat = y1 == y2
+    left = F.when(flat, F.least(x1, x2)).otherwise(F.least(low, high))
+    right = F.when(flat, F.greatest(x1, x2)).otherwise(F.greatest(low, high))
+    clipped = banded.select(
+        *keys, "_cy", "edge", (_tile(left, width) - 1).alias("_from"), (_tile(right, width) + 1).alias("_to")
+    )
+    spans = clipped.groupBy(*keys, "_cy").agg(
+        F.min("_from").alias("_first"),
+        F.max("_to").alias("_last"),
+        F.collect_list(F.struct("edge", F.col("_from").alias("from"), F.col("_to").alias("to"))).alias("_band"),
+    )
+    tiles = spans.select(*keys, "_cy", "_band", F.explode(F.sequence("_first", "_last")).alias("_cx"))
+    here = F.col("_cx")
+    reach = F.transform(F.filter("_band", lambda e: e["to"] >= here), lambda e: e["edge"])
+    near = F.exists("_band", lambda e: (e["from"] <= here) & (e["to"] >= here))
+    listed = tiles.select(
+        *keys,
+        "_cx",
+        "_cy",
+        reach.alias("_edges"),
+        near.alias("_near"),
+        ((here + 0.5) * width).alias("_x"),
+        ((F.col("_cy") + 0.5) * height).alias("_y"),
+    )
+    cells = listed.where(F.col("_near") | inside_edges("_x", "_y", "_edges")).select(
+        *keys, "_cx", "_cy", F.when(F.col("_near"), F.col("_edges")).alias("_edges")
     )
-    tiles = spans.select(*keys, "_cy", "_band", F.explode(F.sequence("_x_first", "_x_last")).alias("_cx"))
-    reach = F.filter("_band", lambda e: e["to"] >= F.col("_cx"))
-    cells = tiles.select(*keys, "_cx", "_cy", F.transform(reach, lambda e: e["edge"]).alias("_edges"))
     return Cover(cells, keys, width, height)
 
 
@@ -143,7 +173,7 @@ def points_in_polygons(points: DataFrame, cover: Cover, x: str = "longitude", y:
         {"_cx": _tile(x, cover.width), "_cy": _tile(y, cover.height)}
     )
     joined = placed.join(cover.cells, ["_cx", "_cy"])
-    kept = joined.where(inside_edges(x, y, "_edges"))
+    kept = joined.where(F.col("_edges").isNull() | inside_edges(x, y, "_edges"))
     return kept.select(*[F.col(f"`{c}`") for c in points.columns], *cover.keys)
 
 
@@ -304,7 +334,10 @@ def nearest_features(
         joined = placed.join(lists, keys, "left").withColumn("_found", found)
         certain = F.when(F.col("_found") <= size, F.col("_found"))
         rows = joined.withColumn(name, F.coalesce(out, certain)).drop("_cx", "_cy", "_edges", "_found")
+    # only open rows carry the layer's name into the last join
     whole = edges.groupBy(layer).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
-    last = rows.join(whole, layer, "left")
+    last = rows.withColumn("_open", F.when(out.isNull(), F.col(layer))).join(
+        whole.withColumnRenamed(layer, "_open"), "_open", "left"
+    )
     settled = F.coalesce(out, nearest_edge_distance(x, y, "_edges"))
-    return last.withColumn(name, settled).drop("_edges")
+    return last.withColumn(name, settled).drop("_edges", "_open")

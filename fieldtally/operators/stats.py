@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.functions.values import ratio
+from fieldtally.lineage import cut_lineage
 
 # Fixed value: below this many observations per sample, and without ties, the p-value is exact.
 EXACT_BELOW = 50
@@ -25,17 +26,31 @@ def value_counts(df: DataFrame, value: str, group: str, first: str, second: str)
     )
 
 
+def _bucket_of(value: Column, cuts: list[float]) -> Column:
+    """Number of cuts not above the value, by halving the cut list."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(cuts[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(cuts))
+
+
 def with_rows_below(counts: DataFrame, buckets: int = 64) -> DataFrame:
     """Adds ``below1`` / ``below2``: rows of each sample with a smaller value.
 
     A running total over ordered values without one global window: values are cut into buckets at
     approximate quantiles (at most ``buckets`` numbers reach the driver, and any cut gives the same
-    result), totals run over the buckets, and a window runs inside each bucket.
+    result), totals run over the buckets, and a window runs inside each bucket. The counts are
+    materialised first: they are read three times, the records behind them once.
     """
+    kept = cut_lineage(counts)
     steps = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(counts.stat.approxQuantile("value", steps, 0.005))) if steps else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value"))) if cuts else F.lit(0)
-    placed = counts.withColumn("_bucket", bucket)
+    found = kept.agg(F.percentile_approx("value", steps, 20 * buckets)).first()[0] if steps else None
+    bucket = _bucket_of(F.col("value"), sorted(set(found or [])))
+    placed = kept.withColumn("_bucket", bucket)
     totals = placed.groupBy("_bucket").agg(F.sum("n1").alias("_t1"), F.sum("n2").alias("_t2"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -143,14 +158,15 @@ def rank_sum_test(df: DataFrame, value: str, group: str, first: str, second: str
 def poisson_trend(yearly: DataFrame, count: str = "n", year: str = "year") -> DataFrame:
     """Log-linear Poisson trend of yearly counts: one row per coefficient.
 
-    Fitted by Spark ML on the yearly frame; years are centred for the fit and the intercept is moved
-    back to year 0 afterwards (its standard error stays that of the centred fit and is left out).
+    Fitted by Spark ML on the yearly frame, which is materialised first because every iteration reads
+    it. Years are centred for the fit and the intercept is moved back to year 0 afterwards (its
+    standard error would be that of the centred fit and is left out). The p-value is that of a z-test.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     spark = yearly.sparkSession
-    rows = yearly.select(F.col(year).cast("double").alias("year"), F.col(count).cast("double").alias("n"))
+    rows = cut_lineage(yearly.select(F.col(year).cast("double").alias("year"), F.col(count).cast("double").alias("n")))
     center = rows.agg(F.avg("year")).first()[0]
     centred = rows.withColumn("x", F.col("year") - F.lit(center))
     features = VectorAssembler(inputCols=["x"], outputCol="features").transform(centred)
@@ -158,9 +174,9 @@ def poisson_trend(yearly: DataFrame, count: str = "n", year: str = "year") -> Da
         family="poisson", link="log", labelCol="n", featuresCol="features", maxIter=50, tol=1e-10
     ).fit(features)
     summary = model.summary
-    slope = float(model.coefficients[0])
+    slope, slope_se = float(model.coefficients[0]), float(summary.coefficientStandardErrors[0])
     out = [
         ("(intercept)", float(model.intercept) - slope * center, None, None),
-        ("year", slope, float(summary.coefficientStandardErrors[0]), float(summary.pValues[0])),
+        ("year", slope, slope_se, math.erfc(abs(slope / slope_se) / math.sqrt(2.0))),
     ]
     return spark.createDataFrame(out, "term string, estimate double, std_error double, p_value double")

@@ -147,8 +147,9 @@ SQL_COMPLETE = f"duration_min >= 5 AND all_species_reported = 1 AND protocol <>
 
 
 def _completeness(spark, sf, rule):
-    full = S.lines_with_headers(spark, sf)
-    return counts.completeness_summary(full, "checklist_id", "observer_id", P.is_complete(rule=rule, **PROTOCOL_WORDS), "park")
+    reduced = S.reduced_lines_with_headers(spark, sf, "park")
+    complete = P.is_complete(rule=rule, **PROTOCOL_WORDS)
+    return counts.completeness_summary(reduced, "checklist_id", "observer_id", complete, "park", weight="k")
 
 
 @query(_completeness_sql(SQL_COMPLETE))
@@ -193,10 +194,9 @@ FROM o, c
 )
 def two_feed_totals(spark, sf):
     obs = S.order_feed(spark, sf)
-    chk = S.lines_with_headers(spark, sf)
-    return counts.two_feed_summary(
-        obs, chk, F.col("park") == "F", P.is_complete(**PROTOCOL_WORDS), F.col("park") != "P"
-    )
+    chk = S.reduced_lines_with_headers(spark, sf)
+    complete = P.is_complete(**PROTOCOL_WORDS)
+    return counts.two_feed_summary(obs, chk, F.col("park") == "F", complete, F.col("park") != "P", weight="k")
 
 
 @query(

@@ -39,8 +39,9 @@ SELECT park, date, count(DISTINCT checklist_id), 'Complete checklists' FROM chk
 """
 )
 def monthly_checklists(spark, sf):
+    # grouping by day keeps every month key and shrinks the lines before the join
     return counts.monthly_variants(
-        S.lines_with_headers(spark, sf),
+        S.reduced_lines_with_headers(spark, sf, "park", "obs_date"),
         "obs_date",
         P.is_complete(**PROTOCOL_WORDS),
         ("Total checklists", "Complete checklists"),
