@@ -138,6 +138,45 @@ def invasive(
     return copies.select(*feed.columns)
 
 
+def classify(
+    feed: DataFrame,
+    entries: DataFrame,
+    watch: DataFrame,
+    categories: Sequence[str] = INVASIVE_CATEGORIES,
+    genus_categories: Sequence[str] | None = None,
+    strict_genus: bool = False,
+) -> DataFrame:
+    """All three record sets in one pass over the feed, told apart by ``list``.
+
+    The lists are first folded to one row per name that says which sets it belongs to and how often;
+    a record is copied once per set.
+    """
+    require_columns(feed.columns, FEED_COLUMNS, "feed")
+    no_status = F.lit(None).cast("string").alias("listing_status")
+    rare_names = watch.where(F.col("category") == RARE_CATEGORY).select("scientific_name").distinct()
+    by_name = stack(
+        entries.select("scientific_name", F.lit(THREATENED).alias("list"), "listing_status"),
+        rare_names.select("scientific_name", F.lit(RARE).alias("list"), no_status),
+        _invasive_names(watch, categories).select("scientific_name", F.lit(PEST).alias("list"), no_status),
+    )
+    sets = by_name.groupBy("scientific_name").agg(F.collect_list(F.struct("list", "listing_status")).alias("_sets"))
+    short = N.genus("scientific_name") if strict_genus else N.drop_first_word("scientific_name")
+    joined = (
+        feed.withColumn("_genus", short)
+        .join(sets, "scientific_name", "left")
+        .join(_listed_genera(watch, genus_categories), "_genus", "left")
+    )
+    genus_set = F.when(
+        F.col("_by_genus") == 1, F.array(F.struct(F.lit(PEST).alias("list"), no_status))
+    ).otherwise(F.array().cast("array<struct<list:string,listing_status:string>>"))
+    nothing = F.array().cast("array<struct<list:string,listing_status:string>>")
+    hits = F.concat(F.coalesce(F.col("_sets"), nothing), genus_set)
+    copied = joined.where(F.col("_sets").isNotNull() | F.col("_by_genus").isNotNull()).select(
+        *FEED_COLUMNS, F.explode(hits).alias("_hit")
+    )
+    return copied.select(*FEED_COLUMNS, "_hit.list", "_hit.listing_status")
+
+
 def newest_first(df: DataFrame, date: str = "observed_on") -> DataFrame:
     """Report order: newest first, ties by the remaining columns; missing dates last."""
     rest = [F.asc(c) for c in df.columns if c != date]

@@ -75,6 +75,21 @@ def watch_invasive(spark, sf):
     return W.newest_first(W.invasive(_feed(spark, sf), S.watch_list(spark)))
 
 
+@query(
+    f"""
+WITH {SQL_FEED}, {SQL_INVASIVE}
+SELECT feed.*, 'threatened/endangered' AS list, listing_status FROM feed JOIN status USING (scientific_name)
+UNION ALL BY NAME
+SELECT *, 'rare native' AS list FROM feed
+WHERE scientific_name IN (SELECT scientific_name FROM watch WHERE category = 'species of interest')
+UNION ALL BY NAME
+SELECT *, 'pest/invasive' AS list FROM invasive
+"""
+)
+def watch_all_lists(spark, sf):
+    return W.classify(_feed(spark, sf), S.status_list(spark), S.watch_list(spark))
+
+
 @query(f"WITH {SQL_FEED}, {SQL_TABLE} SELECT * FROM tally")
 def watch_table(spark, sf):
     return W.report_order(_tallies(spark, sf))

@@ -1,0 +1 @@
+"""The watch-list classification on a stream of new records."""

@@ -1,0 +1,25 @@
+"""Watch-list hits of newly arriving records.
+
+Stateless: each record is joined to the static lists as in the batch operators, so the stream needs
+no watermark and a restarted query continues from its checkpoint.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+
+def write_hits(hits: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the hits of everything that has arrived to a Parquet table, then stop.
+
+    ``hits`` is :func:`fieldtally.operators.watchlist.classify` of a streaming feed.
+    """
+    return (
+        hits.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
