@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.dates import month_sequence
@@ -16,26 +16,6 @@ from fieldtally.operators.predicates import in_months, in_period
 from fieldtally.types import names_of
 
 
-def month_calendar(
-    series: DataFrame,
-    by: str | Sequence[str] | None = None,
-    first: str | None = None,
-    last: str | None = None,
-    date: str = "date",
-) -> DataFrame:
-    """Every month between ``first`` and ``last`` for each group of the series.
-
-    An end left out is taken from the data, over all groups, so that the groups share one calendar.
-    """
-    groups = names_of(by)
-    grouped = series.groupBy(*groups) if groups else series.groupBy()
-    spans = grouped.agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
-    start = F.lit(first).cast("date") if first else spans.agg(F.min("_first")).scalar()
-    stop = F.lit(last).cast("date") if last else spans.agg(F.max("_last")).scalar()
-    bounded = spans.select(*groups, start.alias("_first"), stop.alias("_last"))
-    return bounded.select(*groups, F.explode(month_sequence("_first", "_last")).alias(date))
-
-
 def zero_filled(
     series: DataFrame,
     value: str = "tot_obs",
@@ -44,14 +24,32 @@ def zero_filled(
     last: str | None = None,
     date: str = "date",
 ) -> DataFrame:
-    """Series joined to its calendar; months without records get 0.
+    """Every month of the calendar for each group; months without records get 0.
 
-    A full outer join: months of the series outside the calendar stay.
+    The calendar runs from ``first`` to ``last``; an end left out is taken from the data over all
+    groups, so that the groups share one calendar. Months of the series outside it stay, as in a full
+    outer join. Each group is folded to one row with a month -> value map and unfolded over the
+    calendar: the series is read once and never joined to itself. Rows without a date are left out.
     """
-    keys = [*names_of(by), date]
-    calendar = month_calendar(series, by, first, last, date)
-    joined = calendar.join(series.select(*keys, value), keys, "full")
-    return joined.select(*keys, zero_if_null(value).alias(value))
+    groups = names_of(by)
+    dated = series.where(F.col(date).isNotNull())
+    folded = dated.groupBy(*groups) if groups else dated.groupBy()
+    spans = folded.agg(
+        F.min(date).alias("_first"),
+        F.max(date).alias("_last"),
+        F.map_from_entries(F.collect_list(F.struct(date, value))).alias("_values"),
+    )
+    if groups and not (first and last):
+        # one row per group
+        everything = Window.partitionBy()
+        spans = spans.withColumns(
+            {"_first": F.min("_first").over(everything), "_last": F.max("_last").over(everything)}
+        )
+    start = F.lit(first).cast("date") if first else F.col("_first")
+    stop = F.lit(last).cast("date") if last else F.col("_last")
+    months = F.array_union(month_sequence(start, stop), F.map_keys("_values"))
+    unfolded = spans.select(*groups, "_values", F.explode(months).alias(date))
+    return unfolded.select(*groups, date, zero_if_null(F.try_element_at("_values", F.col(date))).alias(value))
 
 
 def _exact(column: Column) -> Column:

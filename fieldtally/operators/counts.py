@@ -43,14 +43,16 @@ def count_distinct(
     by: str | Sequence[str] | None = None,
     name: str = "n",
     rows_name: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Distinct values per group, a missing value counting as one; rows per group on request.
 
     Two plain aggregations instead of ``count(distinct)``: first by (group, value), then by group.
     No row is expanded, a hot group is spread over its values, and the row count comes for free.
+    ``weight`` names a count column when the input is already reduced to counts.
     """
     groups = names_of(by)
-    per_value = df.groupBy(*groups, key).agg(F.count(F.lit(1)).alias("_rows"))
+    per_value = count_rows(df, [*groups, key], "_rows", weight)
     wanted = [F.count(F.lit(1)).alias(name)]
     if rows_name:
         wanted.append(F.sum("_rows").alias(rows_name))

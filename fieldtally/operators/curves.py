@@ -112,12 +112,16 @@ def filled_to_year(
     Years of the series after ``last_year`` stay.
     """
     groups = names_of(by)
-    spans = series.groupBy(*groups).agg(F.min(year).alias("_first"), F.max(year).alias("_last"))
+    spans = series.groupBy(*groups).agg(
+        F.min(year).alias("_first"),
+        F.max(year).alias("_last"),
+        F.map_from_entries(F.collect_list(F.struct(year, value))).alias("_values"),
+    )
     stop = F.greatest(F.lit(last_year), F.col("_last"))
-    years = spans.select(*groups, F.explode(F.sequence(F.col("_first"), stop)).alias(year))
+    years = spans.select(*groups, "_values", F.explode(F.sequence(F.col("_first"), stop)).alias(year))
+    points = years.select(*groups, year, F.try_element_at("_values", F.col(year)).alias(value))
     window = Window.partitionBy(*groups).orderBy(year).rowsBetween(Window.unboundedPreceding, 0)
-    joined = years.join(series.select(*groups, year, value), [*groups, year], "left")
-    return joined.withColumn(value, F.last(value, ignorenulls=True).over(window))
+    return points.withColumn(value, F.last(value, ignorenulls=True).over(window))
 
 
 def combined_curves(
@@ -138,17 +142,24 @@ def combined_curves(
 
 
 def yearly_totals(
-    df: DataFrame, date: str, species: str, observer: str, first_year: int, last_year: int
+    df: DataFrame,
+    date: str,
+    species: str,
+    observer: str,
+    first_year: int,
+    last_year: int,
+    weight: str | None = None,
 ) -> DataFrame:
     """Cumulative records, species and observers for every year from ``first_year``, starting at 0.
 
     One scan: each record is tagged as a record, a species and an observer, partial aggregation
     collapses the tags on the map side, and only first years travel further. Records before
     ``first_year`` are in the first total; missing species and observers are not counted; the series
-    ends with ``last_year``.
+    ends with ``last_year``. ``weight`` names a count column when the input is already reduced.
     """
     tagged = df.select(
         F.year(date).alias("year"),
+        (F.col(weight) if weight else F.lit(1)).alias("_k"),
         F.explode(
             F.array(
                 F.struct(F.lit("record").alias("kind"), F.year(date).cast("string").alias("key")),
@@ -157,7 +168,7 @@ def yearly_totals(
             )
         ).alias("t"),
     ).where(F.col("year").isNotNull() & F.col("t.key").isNotNull())
-    keyed = tagged.groupBy("t.kind", "t.key").agg(F.min("year").alias("year"), F.count(F.lit(1)).alias("_n"))
+    keyed = tagged.groupBy("t.kind", "t.key").agg(F.min("year").alias("year"), F.sum("_k").alias("_n"))
     is_kind = {k: F.col("kind") == k for k in ("record", "species", "observer")}
     yearly = keyed.groupBy(F.greatest("year", F.lit(first_year)).alias("year")).agg(
         F.coalesce(F.sum(F.when(is_kind["record"], F.col("_n"))), F.lit(0)).alias("total_observations"),

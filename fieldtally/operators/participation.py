@@ -12,9 +12,11 @@ from fieldtally.operators.calendar import mean_se_real
 from fieldtally.operators.counts import count_distinct
 
 
-def yearly_participation(df: DataFrame, observer: str, year: str = "year", park: str = "park") -> DataFrame:
+def yearly_participation(
+    df: DataFrame, observer: str, year: str = "year", park: str = "park", weight: str | None = None
+) -> DataFrame:
     """Distinct observers and records per year and park of one feed."""
-    return count_distinct(df, observer, [year, park], "observers", rows_name="observations")
+    return count_distinct(df, observer, [year, park], "observers", rows_name="observations", weight=weight)
 
 
 def visit_rates(

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from typing import Union
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,11 +25,6 @@ from fieldtally.operators.counts import extent
 from fieldtally.operators.predicates import edge_in_box
 from fieldtally.types import ColumnLike, col_of, names_of, require_columns
 
-Number = Union[float, Column]
-
-
-def _number(value: Number) -> Column:
-    return value if isinstance(value, Column) else F.lit(float(value))
 
 
 # ---------------------------------------------------------------------------------------- layers
@@ -95,8 +89,8 @@ class Cover:
 
     cells: DataFrame
     keys: tuple[str, ...]
-    width: Column
-    height: Column
+    width: float
+    height: float
 
 
 def cover_of(
@@ -104,8 +98,8 @@ def cover_of(
 ) -> Cover:
     """Cover of a polygon layer on a grid of ``cell`` = (width, height).
 
-    Without ``cell`` the grid is 1/32 of the widest and of the tallest polygon. A cell no edge comes
-    near is decided here, once, by its centre: outside cells drop out, inside cells need no test
+    Without ``cell`` the grid is 1/32 of the widest and of the tallest polygon; these two numbers of the
+    layer are fetched at once. A cell no edge comes near is decided here, once, by its centre: outside cells drop out, inside cells need no test
     later. The other cells keep the edges of their band that do not lie wholly to their left, which
     are all a ray towards +x can meet. Smaller cells make shorter edge lists.
     """
@@ -115,11 +109,9 @@ def cover_of(
             (F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))).alias("w"),
             (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("h"),
         )
-        # min/max only: every use of the size sees the same bits
-        width = boxes.agg(F.max("w")).scalar() / 32.0
-        height = boxes.agg(F.max("h")).scalar() / 32.0
-    else:
-        width, height = F.lit(float(cell[0])), F.lit(float(cell[1]))
+        widest, tallest = boxes.agg(F.max("w"), F.max("h")).first()
+        cell = (widest or 1.0) / 32.0, (tallest or 1.0) / 32.0
+    width, height = F.lit(float(cell[0])), F.lit(float(cell[1]))
     banded = edges.select(
         *keys,
         F.struct("x1", "y1", "x2", "y2").alias("edge"),
@@ -161,7 +153,7 @@ def cover_of(
     cells = listed.where(F.col("_near") | inside_edges("_x", "_y", "_edges")).select(
         *keys, "_cx", "_cy", F.when(F.col("_near"), F.col("_edges")).alias("_edges")
     )
-    return Cover(cells, keys, width, height)
+    return Cover(cells, keys, float(cell[0]), float(cell[1]))
 
 
 def points_in_polygons(points: DataFrame, cover: Cover, x: str = "longitude", y: str = "latitude") -> DataFrame:
@@ -170,7 +162,7 @@ def points_in_polygons(points: DataFrame, cover: Cover, x: str = "longitude", y:
     The boundary counts as inside; points outside every polygon and points without coordinates drop.
     """
     placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns(
-        {"_cx": _tile(x, cover.width), "_cy": _tile(y, cover.height)}
+        {"_cx": _tile(x, F.lit(cover.width)), "_cy": _tile(y, F.lit(cover.height))}
     )
     joined = placed.join(cover.cells, ["_cx", "_cy"])
     kept = joined.where(F.col("_edges").isNull() | inside_edges(x, y, "_edges"))
@@ -188,38 +180,38 @@ DENSITY_BREAKS = (1, 100, 250, 500, 1000, 5000, 10000, 20000, 30000)
 class Grid:
     """Rows x columns over a box. Row 0 is at the top, column 0 at the left."""
 
-    xmin: Number
-    xmax: Number
-    ymin: Number
-    ymax: Number
+    xmin: float
+    xmax: float
+    ymin: float
+    ymax: float
     rows: int
     cols: int
 
     @property
     def cell_width(self) -> Column:
-        return (_number(self.xmax) - _number(self.xmin)) / F.lit(float(self.cols))
+        return (F.lit(self.xmax) - F.lit(self.xmin)) / F.lit(float(self.cols))
 
     @property
     def cell_height(self) -> Column:
-        return (_number(self.ymax) - _number(self.ymin)) / F.lit(float(self.rows))
+        return (F.lit(self.ymax) - F.lit(self.ymin)) / F.lit(float(self.rows))
 
     def column_of(self, x: ColumnLike) -> Column:
         """Column index; the right border belongs to the last column, outside is NULL."""
-        px, low, high = col_of(x), _number(self.xmin), _number(self.xmax)
+        px, low, high = col_of(x), F.lit(self.xmin), F.lit(self.xmax)
         index = F.floor((px - low) * (F.lit(float(self.cols)) / (high - low))).cast("int")
         return F.when(px.between(low, high), F.least(index, F.lit(self.cols - 1)))
 
     def row_of(self, y: ColumnLike) -> Column:
         """Row index from the top; the bottom border belongs to the last row, outside is NULL."""
-        py, low, high = col_of(y), _number(self.ymin), _number(self.ymax)
+        py, low, high = col_of(y), F.lit(self.ymin), F.lit(self.ymax)
         index = F.floor((high - py) * (F.lit(float(self.rows)) / (high - low))).cast("int")
         return F.when(py.between(low, high), F.least(index, F.lit(self.rows - 1)))
 
     def center_x(self, column: ColumnLike) -> Column:
-        return _number(self.xmin) + (col_of(column) + 0.5) * self.cell_width
+        return F.lit(self.xmin) + (col_of(column) + 0.5) * self.cell_width
 
     def center_y(self, row: ColumnLike) -> Column:
-        return _number(self.ymax) - (col_of(row) + 0.5) * self.cell_height
+        return F.lit(self.ymax) - (col_of(row) + 0.5) * self.cell_height
 
 
 def grid_over(
@@ -232,9 +224,12 @@ def grid_over(
 ) -> Grid:
     """Grid over the points' own extent, padded at (left, right, bottom, top).
 
-    The extent is a one-row aggregate used as a scalar subquery, so nothing is fetched here.
+    Runs one aggregation and fetches its four numbers: as literals they fold into the cell
+    expressions, where a subquery would have to be carried through every later use of the grid.
     """
-    box = extent(points, x, y).select(F.struct("xmin", "xmax", "ymin", "ymax").alias("box")).scalar()
+    box = extent(points, x, y).first()
+    if box["xmin"] is None or box["ymin"] is None:
+        raise ValueError("no points to lay a grid over")
     left, right, bottom, top = pad
     return Grid(box["xmin"] - left, box["xmax"] + right, box["ymin"] - bottom, box["ymax"] + top, rows, cols)
 
@@ -284,10 +279,10 @@ def density_class(column: ColumnLike, breaks: Sequence[int] = DENSITY_BREAKS) ->
     return reached
 
 
-def cell_width_m(grid: Grid, latitude: Number) -> Column:
+def cell_width_m(grid: Grid, latitude: ColumnLike) -> Column:
     """Width of a cell in metres along a parallel."""
-    start = _number(grid.xmin)
-    return haversine_m(start, _number(latitude), start + grid.cell_width, _number(latitude))
+    start, parallel = F.lit(grid.xmin), col_of(latitude)
+    return haversine_m(start, parallel, start + grid.cell_width, parallel)
 
 
 # ------------------------------------------------------------------------------------ distances

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,51 +95,54 @@ def rank_sum(
     )
 
 
-def _exact_p(n1: int, n2: int, w: float) -> float:
-    """Two-sided exact p-value from the number of arrangements that give each statistic."""
-    ways = np.zeros((n1 + 1, n1 * n2 + 1))
-    ways[0, 0] = 1.0
-    # add the pooled positions one by one: choosing position j as the k-th of the first sample
-    # puts j - k members of the second sample below it
-    for j in range(1, n1 + n2 + 1):
-        for k in range(min(j, n1), 0, -1):
-            shift = j - k
-            if shift <= n2:
-                ways[k, shift:] += ways[k - 1, : n1 * n2 + 1 - shift]
-    chance = ways[n1] / ways[n1].sum()
-    lower = chance[: int(math.floor(w)) + 1].sum()
-    upper = chance[int(math.ceil(w)) :].sum()
-    return float(min(1.0, 2.0 * min(lower, upper)))
-
-
-def _normal_p(n1: int, n2: int, w: float, ties: float) -> float:
-    """Two-sided normal approximation with tie and continuity correction."""
-    n = n1 + n2
-    shift = w - n1 * n2 / 2.0
-    variance = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))
-    if variance <= 0:
-        return float("nan")
-    z = (shift - math.copysign(0.5, shift) * (shift != 0)) / math.sqrt(variance)
-    return float(math.erfc(abs(z) / math.sqrt(2.0)))
-
-
-@F.pandas_udf(T.DoubleType())
-def _p_value(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for n1s, n2s, ws, ties in parts:
+def _p_value_udf():
+    """The p-value as an Arrow UDF. Everything it needs is inside, so workers need no installed package."""
+
+    def exact_p(n1: int, n2: int, w: float) -> float:
+        # ways[k, u]: arrangements with k members of the first sample placed and statistic u
+        ways = np.zeros((n1 + 1, n1 * n2 + 1))
+        ways[0, 0] = 1.0
+        # making pooled position j the k-th of the first sample puts j - k of the second below it
+        for j in range(1, n1 + n2 + 1):
+            for k in range(min(j, n1), 0, -1):
+                shift = j - k
+                if shift <= n2:
+                    ways[k, shift:] += ways[k - 1, : n1 * n2 + 1 - shift]
+        chance = ways[n1] / ways[n1].sum()
+        lower = chance[: int(math.floor(w)) + 1].sum()
+        upper = chance[int(math.ceil(w)) :].sum()
+        return float(min(1.0, 2.0 * min(lower, upper)))
+
+    def normal_p(n1: int, n2: int, w: float, ties: float) -> float:
+        # tie-corrected variance, continuity correction towards the mean
+        n = n1 + n2
+        shift = w - n1 * n2 / 2.0
+        variance = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))
+        if variance <= 0:
+            return float("nan")
+        z = (shift - math.copysign(0.5, shift) * (shift != 0)) / math.sqrt(variance)
+        return float(math.erfc(abs(z) / math.sqrt(2.0)))
+
+    exact_below = EXACT_BELOW
+
+    @F.pandas_udf(T.DoubleType())
+    def p_values(n1s: pd.Series, n2s: pd.Series, ws: pd.Series, ties: pd.Series) -> pd.Series:
         out = []
         for n1, n2, w, t in zip(n1s, n2s, ws, ties):
             if not n1 or not n2:
                 out.append(None)
-            elif n1 < EXACT_BELOW and n2 < EXACT_BELOW and t == 0:
-                out.append(_exact_p(int(n1), int(n2), w))
+            elif n1 < exact_below and n2 < exact_below and t == 0:
+                out.append(exact_p(int(n1), int(n2), w))
             else:
-                out.append(_normal_p(int(n1), int(n2), w, t))
-        yield pd.Series(out, dtype="float64")
+                out.append(normal_p(int(n1), int(n2), w, t))
+        return pd.Series(out, dtype="float64")
+
+    return p_values
 
 
 def p_value(n1: Column, n2: Column, w: Column, ties: Column) -> Column:
     """Two-sided p-value of a rank-sum statistic; runs on result rows, never on records."""
-    return _p_value(n1, n2, w, ties)
+    return _p_value_udf()(n1, n2, w, ties)
 
 
 def rank_sum_test(df: DataFrame, value: str, group: str, first: str, second: str, buckets: int = 64) -> DataFrame:

@@ -141,6 +141,12 @@ def richness_per_checklist(spark, sf):
     return K.mean_se(richness.join(complete, "checklist_id", "left_semi"), "richness")
 
 
+def _first_dates(spark, sf):
+    """First date per park and checklist with the checklist's observer: the lines stop here."""
+    per_list = curves.first_date(S.lines(spark, sf), ["park", "checklist_id"], "obs_date")
+    return per_list.join(S.headers(spark, sf).select("checklist_id", "observer_id"), "checklist_id")
+
+
 @query(
     f"""
 WITH {S.SQL_LINES}, {S.SQL_HEADERS}
@@ -148,7 +154,7 @@ SELECT park, observer_id, min(obs_date) AS obs_date FROM lines JOIN headers USIN
 """
 )
 def first_record_date(spark, sf):
-    return curves.first_date(S.lines_with_headers(spark, sf), ["park", "observer_id"], "obs_date")
+    return curves.first_date(_first_dates(spark, sf), ["park", "observer_id"], "obs_date")
 
 
 _FIRST_COLUMNS = ["observer_id", "obs_date", "checklist_id", "line", "part_id", "site_id", "duration_min", "longitude"]
@@ -162,7 +168,11 @@ QUALIFY row_number() OVER (PARTITION BY observer_id ORDER BY {", ".join(_FIRST_C
 """
 )
 def first_record_row(spark, sf):
-    feed = S.lines_with_headers(spark, sf).select(*_FIRST_COLUMNS)
+    # the first line of every checklist, then the first of those of every observer
+    own = [c for c in _FIRST_COLUMNS if c != "observer_id"]
+    per_list = curves.first_row(S.lines(spark, sf).select(*own), "checklist_id", ["obs_date", "line"])
+    observers = S.headers(spark, sf).select("checklist_id", "observer_id")
+    feed = per_list.join(observers, "checklist_id").select(*_FIRST_COLUMNS)
     return curves.first_row(feed, "observer_id", ["obs_date", "checklist_id", "line"])
 
 
@@ -186,7 +196,7 @@ observer_curve AS (SELECT park, CAST(year AS INTEGER) AS year,
 
 @query(f"WITH {SQL_OBSERVER_CURVE} SELECT * FROM observer_curve")
 def observer_curve(spark, sf):
-    return curves.accumulation(S.lines_with_headers(spark, sf), "observer_id", "obs_date", "park")
+    return curves.accumulation(_first_dates(spark, sf), "observer_id", "obs_date", "park")
 
 
 @query(
@@ -262,7 +272,10 @@ FROM years
 """
 )
 def yearly_cumulative_totals(spark, sf):
-    return curves.yearly_totals(S.lines_with_headers(spark, sf), "obs_date", "part_id", "observer_id", 1990, 2001)
+    dated = S.lines(spark, sf).withColumn("obs_date", F.trunc("obs_date", "year"))
+    reduced = counts.count_rows(dated, ["checklist_id", "part_id", "obs_date"], "k")
+    full = reduced.join(S.headers(spark, sf).select("checklist_id", "observer_id"), "checklist_id")
+    return curves.yearly_totals(full, "obs_date", "part_id", "observer_id", 1990, 2001, weight="k")
 
 
 SQL_VISITS = """visits AS (
@@ -300,10 +313,12 @@ rates AS (SELECT av.year, av.park, av.observers + bv.observers AS observers, av.
 
 
 def _rates(spark, sf):
-    lines = S.lines_with_headers(spark, sf).withColumn("year", F.year("obs_date"))
+    dated = S.lines(spark, sf).withColumn("year", F.year("obs_date"))
+    per_list = counts.count_rows(dated, ["year", "park", "checklist_id"], "k")
+    lines = per_list.join(S.headers(spark, sf).select("checklist_id", "observer_id"), "checklist_id")
     orders = S.order_feed(spark, sf).withColumn("year", F.year("observed_on"))
     return participation.visit_rates(
-        participation.yearly_participation(lines, "observer_id"),
+        participation.yearly_participation(lines, "observer_id", weight="k"),
         participation.yearly_participation(orders, "user_id"),
         _visits(spark, sf),
         first_year=1996,

@@ -130,10 +130,9 @@ SELECT CAST(round(2 * 6378137.0::DOUBLE * asin(sqrt(pow(sin(radians(0)), 2) + po
 """
 )
 def cell_width_m(spark, sf):
-    points, grid = _grid(spark, sf)
-    # one row: the box is an aggregate of all points
-    return counts.extent(points, "longitude", "latitude").select(
-        F.round(G.cell_width_m(grid, 44.43629), 3).alias("metres")
+    _, grid = _grid(spark, sf)
+    return G.dense_cells(spark, grid).where("cell = 1").select(
+        F.round(G.cell_width_m(grid, F.lit(44.43629)), 3).alias("metres")
     )
 
 

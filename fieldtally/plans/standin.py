@@ -62,10 +62,6 @@ def taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lines_with_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).join(headers(spark, sf_dir), "checklist_id")
-
-
 def reduced_lines_with_headers(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     """Line counts ``k`` per checklist and ``keys``, with the header joined on.
 

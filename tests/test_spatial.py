@@ -165,7 +165,7 @@ def test_density_classes(spark, rows):
 
 def test_cell_width(spark):
     grid = G.Grid(-69.0, -68.0, 44.0, 45.0, rows=10, cols=10)
-    metres = spark.range(1).select(G.cell_width_m(grid, 44.0)).first()[0]
+    metres = spark.range(1).select(G.cell_width_m(grid, F.lit(44.0))).first()[0]
     assert metres == pytest.approx(math.radians(0.1) * 6378137 * math.cos(math.radians(44.0)), rel=1e-6)
 
 
