@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.dates import month_start
@@ -59,7 +59,7 @@ def count_distinct(
     return per_value.groupBy(*groups).agg(*wanted) if groups else per_value.agg(*wanted)
 
 
-def group_sums(df: DataFrame, by: str | Sequence[str], value: str, name: str | None = None) -> DataFrame:
+def group_sums(df: DataFrame, by: str | Sequence[ColumnLike], value: str, name: str | None = None) -> DataFrame:
     """Sum counts up to coarser groups."""
     return df.groupBy(*names_of(by)).agg(F.sum(value).alias(name or value))
 
@@ -144,15 +144,25 @@ def monthly_variants(
     return long.where(F.col("s.n") > 0).select(*groups, F.col("s.n").alias(name), F.col("s.label").alias(label_name))
 
 
-def share_of_total(counts: DataFrame, value: str = "n", name: str = "percent", keep: Column | None = None, digits: int | None = 2) -> DataFrame:
+def share_of_total(
+    counts: DataFrame,
+    value: str = "n",
+    name: str = "percent",
+    keep: Column | None = None,
+    digits: int | None = 2,
+    total_name: str | None = None,
+) -> DataFrame:
     """Each group's share of the whole, for counts over *all* groups of the unfiltered frame.
 
     ``keep`` then drops groups from the report (blank keys) without taking them out of the
-    denominator. The denominator is a scalar subquery over the same counts, so the data are read once.
+    denominator. The total is a window over the counts, one row per group (orders, species), so the
+    records behind them are read and shuffled once.
     """
-    total = counts.agg(F.sum(value)).scalar()
-    kept = counts.where(keep) if keep is not None else counts
-    return kept.withColumn(name, percent(value, total, digits))
+    total = total_name or "_total"
+    whole = counts.withColumn(total, F.sum(value).over(Window.partitionBy()))
+    kept = whole.where(keep) if keep is not None else whole
+    shared = kept.withColumn(name, percent(value, total, digits))
+    return shared if total_name else shared.drop(total)
 
 
 def frequency_by_taxon(

@@ -12,13 +12,19 @@ from fieldtally.operators.curves import one_per_key
 from fieldtally.types import names_of
 
 
-def enrich(df: DataFrame, taxonomy: DataFrame, key: str = "scientific_name") -> DataFrame:
+def enrich(df: DataFrame, taxonomy: DataFrame, key: str = "scientific_name", salts: int = 1) -> DataFrame:
     """Left join to the taxonomy; a name listed several times fans out.
 
-    No hint: Spark broadcasts a list under its size threshold, and sorts and merges a larger one,
-    where adaptive execution splits the partition of a very frequent name.
+    No hint: Spark broadcasts a list under its size threshold, and sorts and merges a larger one.
+    ``salts`` spreads every name over that many join keys, for a list too large to broadcast and a
+    name that holds a large share of the records: the salt is a hash of the record, so a retried
+    task gives the same one, and the taxonomy is repeated once per salt.
     """
-    return df.join(taxonomy, key, "left")
+    if salts <= 1:
+        return df.join(taxonomy, key, "left")
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts))
+    repeated = taxonomy.withColumn("_salt", F.explode(F.sequence(F.expr("0L"), F.expr(f"{salts - 1}L"))))
+    return df.withColumn("_salt", salt).join(repeated, [key, "_salt"], "left").drop("_salt")
 
 
 def counts_by_rank(

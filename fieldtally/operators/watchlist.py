@@ -138,20 +138,19 @@ def invasive(
     return copies.select(*feed.columns)
 
 
-def classify(
-    feed: DataFrame,
+def _with_lists(
+    df: DataFrame,
     entries: DataFrame,
     watch: DataFrame,
-    categories: Sequence[str] = INVASIVE_CATEGORIES,
-    genus_categories: Sequence[str] | None = None,
-    strict_genus: bool = False,
+    categories: Sequence[str],
+    genus_categories: Sequence[str] | None,
+    strict_genus: bool,
 ) -> DataFrame:
-    """All three record sets in one pass over the feed, told apart by ``list``.
+    """Rows copied once per list they belong to, with ``list`` and ``listing_status``; others drop.
 
-    The lists are first folded to one row per name that says which sets it belongs to and how often;
-    a record is copied once per set.
+    The lists are first folded to one row per name that says which sets it belongs to and how often,
+    so the records meet one small table by name and one by genus.
     """
-    require_columns(feed.columns, FEED_COLUMNS, "feed")
     no_status = F.lit(None).cast("string").alias("listing_status")
     rare_names = watch.where(F.col("category") == RARE_CATEGORY).select("scientific_name").distinct()
     by_name = stack(
@@ -162,19 +161,30 @@ def classify(
     sets = by_name.groupBy("scientific_name").agg(F.collect_list(F.struct("list", "listing_status")).alias("_sets"))
     short = N.genus("scientific_name") if strict_genus else N.drop_first_word("scientific_name")
     joined = (
-        feed.withColumn("_genus", short)
+        df.withColumn("_genus", short)
         .join(sets, "scientific_name", "left")
         .join(_listed_genera(watch, genus_categories), "_genus", "left")
     )
-    genus_set = F.when(
-        F.col("_by_genus") == 1, F.array(F.struct(F.lit(PEST).alias("list"), no_status))
-    ).otherwise(F.array().cast("array<struct<list:string,listing_status:string>>"))
     nothing = F.array().cast("array<struct<list:string,listing_status:string>>")
-    hits = F.concat(F.coalesce(F.col("_sets"), nothing), genus_set)
+    pest_set = F.array(F.struct(F.lit(PEST).alias("list"), no_status))
+    hits = F.concat(F.coalesce("_sets", nothing), F.when(F.col("_by_genus") == 1, pest_set).otherwise(nothing))
     copied = joined.where(F.col("_sets").isNotNull() | F.col("_by_genus").isNotNull()).select(
-        *FEED_COLUMNS, F.explode(hits).alias("_hit")
+        *df.columns, F.explode(hits).alias("_hit")
     )
-    return copied.select(*FEED_COLUMNS, "_hit.list", "_hit.listing_status")
+    return copied.select(*df.columns, "_hit.list", "_hit.listing_status")
+
+
+def classify(
+    feed: DataFrame,
+    entries: DataFrame,
+    watch: DataFrame,
+    categories: Sequence[str] = INVASIVE_CATEGORIES,
+    genus_categories: Sequence[str] | None = None,
+    strict_genus: bool = False,
+) -> DataFrame:
+    """All three record sets in one pass over the feed, told apart by ``list``."""
+    require_columns(feed.columns, FEED_COLUMNS, "feed")
+    return _with_lists(feed.select(*FEED_COLUMNS), entries, watch, categories, genus_categories, strict_genus)
 
 
 def newest_first(df: DataFrame, date: str = "observed_on") -> DataFrame:
@@ -199,18 +209,11 @@ def tallies(
     once per list entry or per way of matching, as in the record sets.
     """
     per_name = count_rows(feed, "scientific_name", "count", weight)
-    pests = _with_hits(per_name, watch, categories, genus_categories, strict_genus).select(
-        "scientific_name", (F.col("count") * F.col("_hits")).alias("count"), F.lit(PEST).alias("category")
-    )
-    listed = count_rows(entries, "scientific_name", "_entries")
-    threat = per_name.join(listed, "scientific_name").select(
-        "scientific_name", (F.col("count") * F.col("_entries")).alias("count"), F.lit(THREATENED).alias("category")
-    )
-    names = watch.where(F.col("category") == RARE_CATEGORY).select("scientific_name")
-    natives = per_name.join(names, "scientific_name", "left_semi").select(
-        "scientific_name", "count", F.lit(rare_label).alias("category")
+    matched = _with_lists(per_name, entries, watch, categories, genus_categories, strict_genus)
+    label = F.when(F.col("list") == RARE, F.lit(rare_label)).otherwise(F.col("list"))
+    return group_sums(matched, ["scientific_name", label.alias("category")], "count").select(
+        "scientific_name", "count", "category"
     )
-    return stack(pests, threat, natives)
 
 
 def report_order(table: DataFrame) -> DataFrame:

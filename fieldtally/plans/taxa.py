@@ -36,8 +36,7 @@ FROM lineitem JOIN ranks ON l_partkey = part_id WHERE "order" <> '' GROUP BY "or
 )
 def order_share(spark, sf):
     per_order = taxonomy.counts_by_rank(S.lines(spark, sf), _ranks(spark, sf), "order", key="part_id")
-    with_total = per_order.withColumn("total", per_order.agg(F.sum("n")).scalar())
-    return counts.share_of_total(with_total, keep=P.all_filled("order"), digits=None)
+    return counts.share_of_total(per_order, keep=P.all_filled("order"), digits=None, total_name="total")
 
 
 @query(

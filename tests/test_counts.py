@@ -293,6 +293,7 @@ def test_enrich_once_and_fan_out(spark, rows):
     taxa = inline_rows(spark, ["scientific_name", "order"], [("a", "Z"), ("a", "Y")])
     assert rows(taxonomy.enrich_once(totals, taxa, ["order"])) == [("a", 3, "Y"), ("b", 1, None)]
     assert taxonomy.enrich(totals, taxa).count() == 3
+    assert rows(taxonomy.enrich(totals, taxa, salts=3)) == rows(taxonomy.enrich(totals, taxa))
     by_order = taxonomy.counts_by_rank(totals, taxa, "order", weight="total")
     assert rows(by_order) == [(None, 1), ("Y", 3), ("Z", 3)]
 
@@ -300,3 +301,19 @@ def test_enrich_once_and_fan_out(spark, rows):
 def test_ranked_summary(spark, rows):
     df = inline_rows(spark, ["u"], [("b",), ("a",), ("c",), ("c",)])
     assert rows(taxonomy.ranked_summary(df, "u")) == [(1, "c", 2), (2, "a", 1), (3, "b", 1)]
+
+
+def test_a_hot_name_is_spread_by_salts(spark):
+    hot = spark.range(3000).select("id", F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("n"), "id")).alias("scientific_name"))
+    taxa = hot.select("scientific_name", F.upper("scientific_name").alias("order")).distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = taxonomy.enrich(hot, taxa, salts=16)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 3000 and joined.where("order <> upper(scientific_name)").count() == 0
+    # without salts one of the four tasks would hold the 2000 hot rows
+    assert max(sizes) < 1500
