@@ -57,7 +57,7 @@ def one_park_points(spark, sf):
 
 
 @query("SELECT min(l_extendedprice / 1000.0::DOUBLE) AS xmin, max(l_extendedprice / 1000.0::DOUBLE) AS xmax, min(l_quantity) AS ymin, max(l_quantity) AS ymax FROM lineitem")
-def point_extent(spark, sf):
+def extent(spark, sf):
     return counts.extent(S.lines(spark, sf), "longitude", "latitude")
 
 

@@ -27,10 +27,25 @@ def rank_sum_w(spark, sf):
     return stats.rank_sum(lines, "v", "park", "F", "O")
 
 
-@query()
+@query(
+    """
+WITH pooled AS (SELECT o_orderstatus AS park, o_totalprice AS v FROM orders WHERE o_orderstatus IN ('F', 'O')),
+ranked AS (SELECT park, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS mid_rank FROM pooled),
+t AS (SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT count(*) AS c FROM pooled GROUP BY v)),
+w AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS w, ties FROM t, (
+      SELECT count(*) FILTER (park = 'F') AS n1, count(*) FILTER (park = 'O') AS n2, sum(mid_rank) FILTER (park = 'F') AS r1 FROM ranked)),
+z AS (SELECT *, abs(w - n1 * n2 / 2.0::DOUBLE) AS shift,
+      sqrt(n1 * n2 / 12.0::DOUBLE * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0::DOUBLE)))) AS sigma FROM w),
+x AS (SELECT *, (shift - CASE WHEN shift > 0 THEN 0.5 ELSE 0 END) / sigma / sqrt(2.0::DOUBLE) AS u FROM z)
+SELECT n1, n2, w, ties, round(w / (n1::DOUBLE * n2::DOUBLE), 9) AS win_share,
+       round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda k: pow(-1, k) * pow(u, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))), 9) AS p_value
+FROM x
+"""
+)
 def rank_sum_p(spark, sf):
     orders = S.order_feed(spark, sf).select("park", "positional_accuracy")
-    return stats.rank_sum_test(orders, "positional_accuracy", "park", "F", "O")
+    tested = stats.rank_sum_test(orders, "positional_accuracy", "park", "F", "O")
+    return tested.withColumns({"p_value": F.round("p_value", 9), "win_share": F.round("win_share", 9)})
 
 
 @query(f"WITH {SQL_RANKED} SELECT v AS value, count(*) FILTER (park = 'F') AS n1, count(*) FILTER (park = 'O') AS n2, any_value(mid_rank) AS mid_rank FROM ranked GROUP BY v")
@@ -40,7 +55,29 @@ def mid_ranks(spark, sf):
     return ranked.select("value", "n1", "n2", "mid_rank")
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE yearly AS (SELECT year(l_shipdate)::DOUBLE AS y, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1),
+lists AS (SELECT list(y - c ORDER BY y) AS xs, list(n ORDER BY y) AS ns, any_value(c) AS c, ln(avg(n)) AS start
+          FROM yearly, (SELECT avg(y) AS c FROM yearly)),
+newton(step, a, b, se) AS (
+    SELECT 0, start, 0.0::DOUBLE, 0.0::DOUBLE FROM lists
+    UNION ALL
+    SELECT step + 1, a + (h22 * g1 - h12 * g2) / det, b + (h11 * g2 - h12 * g1) / det, sqrt(h11 / det) FROM (
+        SELECT *, h11 * h22 - h12 * h12 AS det FROM (
+            SELECT step, a, b,
+                   list_sum(list_transform(range(1, len(xs) + 1), lambda i: ns[i] - exp(a + b * xs[i]))) AS g1,
+                   list_sum(list_transform(range(1, len(xs) + 1), lambda i: xs[i] * (ns[i] - exp(a + b * xs[i])))) AS g2,
+                   list_sum(list_transform(xs, lambda x: exp(a + b * x))) AS h11,
+                   list_sum(list_transform(xs, lambda x: x * exp(a + b * x))) AS h12,
+                   list_sum(list_transform(xs, lambda x: x * x * exp(a + b * x))) AS h22
+            FROM newton, lists WHERE step < 30))),
+fit AS (SELECT a, b, se, c FROM newton, lists WHERE step = 30)
+SELECT '(intercept)' AS term, round(a - b * c, 6) AS estimate, CAST(NULL AS DOUBLE) AS std_error FROM fit
+UNION ALL SELECT 'year', round(b, 6), round(se, 6) FROM fit
+"""
+)
 def poisson_trend(spark, sf):
     yearly = counts.count_rows(S.lines(spark, sf).withColumn("year", F.year("obs_date")), "year")
-    return stats.poisson_trend(yearly)
+    fit = stats.poisson_trend(yearly)
+    return fit.select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"))
