@@ -47,7 +47,8 @@ def zero_filled(
         )
     start = F.lit(first).cast("date") if first else F.col("_first")
     stop = F.lit(last).cast("date") if last else F.col("_last")
-    months = F.array_union(month_sequence(start, stop), F.map_keys("_values"))
+    calendar = F.when(start <= stop, month_sequence(start, stop)).otherwise(F.array().cast("array<date>"))
+    months = F.array_union(calendar, F.map_keys("_values"))
     unfolded = spans.select(*groups, "_values", F.explode(months).alias(date))
     return unfolded.select(*groups, date, zero_if_null(F.try_element_at("_values", F.col(date))).alias(value))
 

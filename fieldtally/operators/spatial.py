@@ -161,7 +161,8 @@ def points_in_polygons(points: DataFrame, cover: Cover, x: str = "longitude", y:
 
     The boundary counts as inside; points outside every polygon and points without coordinates drop.
     """
-    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns(
+    located = ~(F.isnan(x) | F.isnan(y))
+    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & located).withColumns(
         {"_cx": _tile(x, F.lit(cover.width)), "_cy": _tile(y, F.lit(cover.height))}
     )
     joined = placed.join(cover.cells, ["_cx", "_cy"])

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtally.lineage import cut_lineage
 from fieldtally.operators.counts import count_rows
 from fieldtally.operators.curves import one_per_key
-from fieldtally.types import names_of
+from fieldtally.types import ColumnLike, names_of
 
 
 def enrich(df: DataFrame, taxonomy: DataFrame, key: str = "scientific_name", salts: int = 1) -> DataFrame:
@@ -104,15 +105,27 @@ def parent_child(
     return counts.select("depth", parent.alias("parents"), label.alias("labels"), name)
 
 
-def ranked_summary(df: DataFrame, keys: str | Sequence[str], name: str = "count", row_name: str = "row") -> DataFrame:
-    """Records per key, numbered from the most frequent; ties in key order.
+def numbered(df: DataFrame, *order: ColumnLike, name: str = "row") -> DataFrame:
+    """Row numbers from 1 in a global order, without gathering the rows in one task.
 
-    The numbering is global, so it runs over one row per key: meant for reports per observer,
-    species or taxon.
+    The rows are range-sorted and materialised with their place inside their partition; only the
+    partition sizes are added up. Materialising keeps the sort's sampled ranges from changing between
+    the two uses.
     """
+    placed = df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())
+    # the id holds the partition above the lower 33 bits and the place inside it below
+    kept = cut_lineage(placed.withColumn("_part", F.shiftright("_place", 33)))
+    sizes = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_start"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", "_start", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_place") - F.col("_start") + 1
+    return kept.join(offsets, "_part").select(number.alias(name), *[F.col(f"`{c}`") for c in df.columns])
+
+
+def ranked_summary(df: DataFrame, keys: str | Sequence[str], name: str = "count", row_name: str = "row") -> DataFrame:
+    """Records per key, numbered from the most frequent; ties in key order."""
     columns = names_of(keys)
-    order = Window.orderBy(F.desc(name), *[F.asc(c) for c in columns])
-    return count_rows(df, columns, name).select(F.row_number().over(order).alias(row_name), *columns, name)
+    return numbered(count_rows(df, columns, name), F.desc(name), *[F.asc(c) for c in columns], name=row_name)
 
 
 def grade_share_by_key(

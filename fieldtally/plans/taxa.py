@@ -222,7 +222,7 @@ SELECT row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS row, o_custkey A
 """
 )
 def observer_summary(spark, sf):
-    return taxonomy.ranked_summary(S.order_feed(spark, sf), "user_id").withColumn("row", F.col("row").cast("bigint"))
+    return taxonomy.ranked_summary(S.order_feed(spark, sf), "user_id")
 
 
 @query(

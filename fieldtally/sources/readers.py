@@ -1,6 +1,6 @@
 """File readers. Every reader declares its schema, so no file is read twice to guess types.
 
-CSV is split by Spark only while records hold no line breaks, so ``multiLine`` stays off.
+CSV is split by Spark only while records hold no line breaks, so ``multiLine`` is off by default.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from fieldtally.types import require_columns
 MISSING_TEXT = "NA"
 
 
-def _read_text_table(spark: SparkSession, path: str, sep: str = ",", quote: str = '"') -> DataFrame:
+def _read_text_table(
+    spark: SparkSession, path: str, sep: str = ",", quote: str = '"', multi_line: bool = False
+) -> DataFrame:
     """All columns as text under the header as written; an empty cell is blank text, ``NA`` is NULL.
 
     Spark itself reads empty cells as NULL, so the two are told apart here. The casts sit in a
@@ -32,19 +34,21 @@ def _read_text_table(spark: SparkSession, path: str, sep: str = ",", quote: str
         .option("sep", sep)
         .option("quote", quote)
         .option("escape", '"' if quote else "\\")
+        .option("multiLine", multi_line)
         .csv(path)
     )
     cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in raw.columns]
     return raw.select(*[F.nullif(cell, F.lit(MISSING_TEXT)).alias(c) for cell, c in zip(cells, raw.columns)])
 
 
-def read_observation_export(spark: SparkSession, path: str) -> DataFrame:
+def read_observation_export(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Comma-separated observation export with a header; typed, in :data:`schemas.OBSERVATION_EXPORT` order.
 
     Columns are picked by header name, so extra columns and another column order do no harm, and
-    Spark reads only the picked ones.
+    Spark reads only the picked ones. Set ``multi_line`` if quoted texts hold line breaks; a file is
+    then one task, so split large exports into several files.
     """
-    raw = normalise_names(_read_text_table(spark, path), sep="_")
+    raw = normalise_names(_read_text_table(spark, path, multi_line=multi_line), sep="_")
     wanted = S.OBSERVATION_EXPORT
     require_columns(raw.columns, wanted.names, "observation export")
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])

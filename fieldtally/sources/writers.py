@@ -42,4 +42,4 @@ def write_geojson_points(
     feature = F.struct(
         F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")
     )
-    df.select(F.to_json(feature).alias("value")).write.mode(mode).text(path)
+    df.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)

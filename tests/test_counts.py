@@ -317,3 +317,15 @@ def test_a_hot_name_is_spread_by_salts(spark):
     assert sum(sizes) == 3000 and joined.where("order <> upper(scientific_name)").count() == 0
     # without salts one of the four tasks would hold the 2000 hot rows
     assert max(sizes) < 1500
+
+
+def test_row_numbers_over_many_partitions(spark):
+    df = spark.range(5000).select(F.pmod(F.hash("id"), F.lit(700)).alias("k"), "id")
+    found = taxonomy.numbered(df, "k", F.desc("id")).orderBy("row").collect()
+    assert [r["row"] for r in found] == list(range(1, 5001))
+    assert [(r["k"], -r["id"]) for r in found] == sorted((r["k"], -r["id"]) for r in found)
+
+
+def test_calendar_that_ends_before_it_starts(spark, rows):
+    series = spark.sql("SELECT * FROM VALUES (date'2020-01-01', 3) AS t(date, tot_obs)")
+    assert rows(K.zero_filled(series, first="2021-01-01")) == [(dt.date(2020, 1, 1), 3)]

@@ -82,6 +82,7 @@ def test_interior_cells_need_no_edges(spark):
 
 def test_missing_coordinates_drop(spark):
     df = inline_rows(spark, ["longitude", "latitude"], [(1.0, 1.0), (None, 1.0), (1.0, None)])
+    df = df.union(spark.sql("SELECT double('NaN'), 1D"))
     edges = G.edges_of(inline_rows(spark, RING, rings_of(SHAPES)))
     assert G.points_in_polygons(df, G.cover_of(edges)).count() == 1
 
