@@ -298,12 +298,14 @@ def nearest_features(
     y: str = "latitude",
     layer: str = "layer",
     name: str = "distance",
+    edges_per_list: int = 10000,
 ) -> DataFrame:
     """Distance from every point to the nearest line of each layer: one row per point and layer.
 
     Searched on coarser and coarser grids: a cell lists the edges that reach it or one of its
     neighbours, so a distance of at most one cell is certain. Points still open after the last grid
-    are compared with the whole layer, which keeps the result exact.
+    meet the whole layer, which keeps the result exact: equal rows are counted once, the layer is cut
+    into lists of about ``edges_per_list`` edges, and the smallest distance over the lists wins.
     """
     out = F.col(name)
     rows = points.withColumn(layer, F.explode(F.array(*[F.lit(one) for one in layers])))
@@ -330,10 +332,15 @@ def nearest_features(
         joined = placed.join(lists, keys, "left").withColumn("_found", found)
         certain = F.when(F.col("_found") <= size, F.col("_found"))
         rows = joined.withColumn(name, F.coalesce(out, certain)).drop("_cx", "_cy", "_edges", "_found")
-    # only open rows carry the layer's name into the last join
-    whole = edges.groupBy(layer).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
-    last = rows.withColumn("_open", F.when(out.isNull(), F.col(layer))).join(
-        whole.withColumnRenamed(layer, "_open"), "_open", "left"
+    fullest = edges.groupBy(layer).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    last_list = max(0, (fullest - 1) // edges_per_list)
+    part = F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.lit(last_list + 1)).cast("int")
+    lists = edges.groupBy(layer, part.alias("_part")).agg(
+        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges")
     )
-    settled = F.coalesce(out, nearest_edge_distance(x, y, "_edges"))
-    return last.withColumn(name, settled).drop("_edges", "_open")
+    spot = [*points.columns, layer]
+    far = rows.where(out.isNull()).groupBy(*spot).agg(F.count(F.lit(1)).alias("_copies"))
+    met = far.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(last_list)))).join(lists, [layer, "_part"], "left")
+    nearest = met.groupBy(*spot, "_copies").agg(F.min(nearest_edge_distance(x, y, "_edges")).alias(name))
+    copies = nearest.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return rows.where(out.isNotNull()).unionByName(copies.select(*spot, name))

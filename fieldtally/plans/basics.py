@@ -105,6 +105,11 @@ def participants_per_group(spark, sf):
     return grouped.orderBy(F.desc("participants"), "event_type")
 
 
+@query("SELECT DISTINCT o_orderstatus AS park, o_custkey AS user_id FROM orders")
+def distinct_observers(spark, sf):
+    return counts.distinct_keys(S.order_feed(spark, sf), ["park", "user_id"])
+
+
 @query(
     """
 SELECT o_orderstatus AS orderstatus, o_totalprice AS totalprice, 'orders' AS feed,

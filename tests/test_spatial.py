@@ -177,16 +177,17 @@ def segment_distance(px, py, a, b):
     return math.hypot(px - (a[0] + t * dx), py - (a[1] + t * dy))
 
 
-@pytest.mark.parametrize("sizes", [[0.5, 2.0, 8.0], [1.0], []])
-def test_nearest_features_equals_brute_force(spark, sizes):
+@pytest.mark.parametrize("sizes, per_list", [([0.5, 2.0, 8.0], 10000), ([1.0], 3), ([], 1)])
+def test_nearest_features_equals_brute_force(spark, sizes, per_list):
     rng = random.Random(11)
     lines = {"trail": [[(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(5)] for _ in range(4)], "road": [[(0, 20), (40, 20)]]}
     table = [(layer, i, 1, k, float(x), float(y)) for layer, parts in lines.items() for i, part in enumerate(parts) for k, (x, y) in enumerate(part)]
     edges = G.edges_of(inline_rows(spark, ["layer", *RING[1:]], table), closed=False, keys=("layer",))
     points = [(rng.uniform(-5, 45), rng.uniform(-5, 25)) for _ in range(200)]
     df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "id int, longitude double, latitude double")
-    found = G.nearest_features(df, edges, ["trail", "road"], sizes).collect()
-    assert len(found) == 400
+    twice = df.union(df.where("id < 100"))
+    found = G.nearest_features(twice, edges, ["trail", "road"], sizes, edges_per_list=per_list).collect()
+    assert len(found) == 600
     for r in found:
         x, y = points[r["id"]]
         want = min(segment_distance(x, y, a, b) for part in lines[r["layer"]] for a, b in zip(part, part[1:]))
@@ -196,3 +197,10 @@ def test_nearest_features_equals_brute_force(spark, sizes):
 def test_line_layer_clip(spark):
     edges = inline_rows(spark, ["x1", "y1", "x2", "y2"], [(0.0, 0.0, 1.0, 1.0), (5.0, 5.0, 9.0, 9.0), (-5.0, 0.5, 20.0, 0.5)])
     assert G.clip_edges(edges, 0.0, 2.0, 0.0, 2.0).count() == 2
+
+
+def test_projected_layer_to_degrees(spark):
+    ring = [(0.0, 0.0), (20037508.342789244, 0.0), (0.0, 20037508.342789244)]
+    layer = inline_rows(spark, RING, rings_of({"a": [ring]}))
+    found = {(round(r["x"], 6), round(r["y"], 6)) for r in G.mercator_rings_to_lonlat(layer).collect()}
+    assert found == {(0.0, 0.0), (180.0, 0.0), (0.0, 85.051129)}
