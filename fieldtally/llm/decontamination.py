@@ -72,9 +72,13 @@ def occurrences(
         found.where((F.col("at") == 0) | fits).select("doc_id", "mark", "n_words", "at", start.alias("start"), "length", "window")
     )
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"), "text")
-    tries = found.where("at > 0").select("doc_id", "mark", "start", "length", "window").distinct()
+    # one row per document, so that its words are cut once however many places are to be compared
+    tries = found.where("at > 0").groupBy("doc_id", "mark").agg(
+        F.collect_set(F.struct("start", "length", "window")).alias("tries")
+    )
     joined = tries.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")))
-    joined = joined.withColumn("words", words)
+    joined = joined.select("doc_id", "mark", words.alias("words"), "tries")
+    joined = joined.select("doc_id", "mark", "words", F.explode_outer("tries").alias("t")).select("doc_id", "mark", "words", "t.*")
     said = F.array_join(F.transform(F.slice("words", F.col("start"), F.col("length")), lowered), " ")
     proven = joined.where(said == F.col("window")).select("doc_id", "mark", "start", "length", "window")
     placed = proven.join(small(windows.select("window", "items")), "window").drop("window")
