@@ -6,10 +6,21 @@ import re
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import decontamination, fingerprints, language_id, packing, secrets, simhash_dedup, substring_dedup
+from fieldtally.llm import (
+    decontamination,
+    fingerprints,
+    language_id,
+    license_scan,
+    packing,
+    quality,
+    secrets,
+    simhash_dedup,
+    substring_dedup,
+    toxicity,
+)
 from fieldtally.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +126,37 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(docs, items, size=13, share=20).drop("mark")
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with their labels, without the held-out fifth."""
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def _held_out() -> Column:
+    return F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = toxicity.fit(_labelled(spark, sf_dir).select("text", "toxic"))
+    found = toxicity.tagged(table(spark, sf_dir, "documents"), field)
+    return found.select("doc_id", _held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+@query()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 low quality, 1 good but toxic, 2 good."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    model = quality.fit(_labelled(spark, sf_dir).select("text", grade.alias("grade")), grades=3)
+    found = quality.graded(table(spark, sf_dir, "documents"), model, least=1)
+    return found.select("doc_id", _held_out(), "expected_grade", "tail_probability", "keep")
+
+
+@query()
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"), share=4)
