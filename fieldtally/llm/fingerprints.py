@@ -69,9 +69,14 @@ def _difference(a: str, b: str) -> str:
 
 def _peeled(cells: str, slots: int) -> str:
     """Number of digests recovered from a difference of sketches; NULL if some cannot be."""
-    pure = "array_distinct(transform(filter(s.c, x -> abs(x.n) = 1 AND x.h = xxhash64(x.k)), x -> named_struct('n', x.n, 'k', x.k)))"
-    taken = _merged(f"concat(s.c, {_entries('p', slots, 'k.k', '-k.n')})")
-    step = f"transform(array({pure}), p -> if(size(p) = 0, s, named_struct('c', {taken}, 'd', s.d + size(p))))[0]"
+    pure = [
+        f"array_distinct(transform(filter(s.c, x -> x.n = {n} AND x.h = xxhash64(x.k)), x -> x.k))" for n in (1, -1)
+    ]
+    taken = _merged(f"concat(s.c, {_entries('p.a', slots, 'k', '-1')}, {_entries('p.b', slots, 'k', '1')})")
+    step = (
+        f"transform(array(named_struct('a', {pure[0]}, 'b', {pure[1]})), p -> if(size(p.a) + size(p.b) = 0, s, "
+        f"named_struct('c', {taken}, 'd', s.d + size(p.a) + size(p.b))))[0]"
+    )
     return (
         f"aggregate(sequence(1, {_ROUNDS}), named_struct('c', {cells}, 'd', 0), (s, r) -> {step}, "
         "s -> if(size(s.c) = 0, s.d, cast(null as int)))"
