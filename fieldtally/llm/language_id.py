@@ -46,7 +46,7 @@ def _counter(size: int, buckets: int):
     return count
 
 
-def learn(labelled: DataFrame, size: int = 3, buckets: int = 1 << 14, most_languages: int = 500, prior: float = 0.5) -> Model:
+def learn(labelled: DataFrame, size: int = 3, buckets: int = 1 << 14, most_languages: int = 500, prior: float = 0.1) -> Model:
     """Counts all rows of ``labelled`` (``text, lang``); rows without either are left out.
 
     What reaches the driver is one number per language and bucket; more than ``most_languages`` are refused.

@@ -43,7 +43,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query(r"""
 WITH d AS (
-    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS (
     SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS t
     FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
@@ -53,7 +53,7 @@ gone AS (
     FROM g JOIN firsts USING (t) WHERE f < doc_id GROUP BY doc_id),
 j AS (SELECT d.doc_id, w, coalesce(p, CAST([] AS BIGINT[])) AS p FROM d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_removed,
-       sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(p, i)), i -> w[i]), ' ')) AS kept_sha256
+       sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(p, i)), lambda i: w[i]), ' ')) AS kept_sha256
 FROM j
 """)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def _sql_spans(kind: str, number: int, pattern: str, group: int, least: int) ->
     """Spans of one rule: places are running sums of the pieces between and of the matches."""
     return f"""
     SELECT doc_id, {number} AS rule, '{kind}' AS kind,
-           list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], x -> length(x))), 0) AS s,
+           list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s,
            length(hits[i]) AS n
     FROM (SELECT doc_id, gaps, hits, vals, unnest(range(1, len(hits) + 1)) AS i FROM (
         SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits,
@@ -97,7 +97,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL_WORDS = (
     "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
-    r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+    r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 )
 
 

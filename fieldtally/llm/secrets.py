@@ -140,9 +140,11 @@ def secret_report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     """
     versions = addressed(docs)
     found = by_path(versions, scan_unseen(versions, ledger, rules)).withColumn("text", described(F.col("spans"), rules))
-    counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["rule"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules)
-    ]
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["rule"] == number)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(rules)]
     return found.select(
         F.col("path").alias("doc_id"), *counts, F.sha2("text", 256).alias("base_sha256"), F.col("text").alias("spans")
     )
