@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from fieldtally.types import ColumnLike, col_of
 
+# the whole text: a date, then perhaps a time of day and a zone
+_ISO = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?( ?(Z|UTC|[+-]\d{2}:?\d{2}))?)?$"
+
 
 def date_from_text(column: ColumnLike) -> Column:
-    """DATE from ISO text; blank or malformed text is NULL, never an error."""
-    return F.try_to_date(F.substring(col_of(column), 1, 10))
+    """Local DATE of an ISO date or date and time; any other text, also one that goes on after it, is NULL."""
+    text = F.trim(col_of(column).cast("string"))
+    return F.when(text.rlike(_ISO), F.try_to_date(F.substring(text, 1, 10)))
 
 
 def year_of(column: ColumnLike) -> Column:

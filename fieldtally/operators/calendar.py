@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtally.functions.dates import month_sequence
 from fieldtally.functions.values import zero_if_null
@@ -40,11 +41,8 @@ def zero_filled(
         F.map_from_entries(F.collect_list(F.struct(date, value))).alias("_values"),
     )
     if groups and not (first and last):
-        # one row per group
-        everything = Window.partitionBy()
-        spans = spans.withColumns(
-            {"_first": F.min("_first").over(everything), "_last": F.max("_last").over(everything)}
-        )
+        ends = F.broadcast(dated.agg(F.min(date).alias("_first"), F.max(date).alias("_last")))  # one row
+        spans = spans.drop("_first", "_last").join(ends, F.lit(True), "left")
     start = F.lit(first).cast("date") if first else F.col("_first")
     stop = F.lit(last).cast("date") if last else F.col("_last")
     calendar = F.when(start <= stop, month_sequence(start, stop)).otherwise(F.array().cast("array<date>"))
@@ -69,8 +67,12 @@ def mean_se(
 
     The measure is first reduced to a histogram, then summed as exact integers: the result does not
     depend on the order of the rows, and the wide arithmetic touches one row per distinct value.
-    The standard error is NULL for a single value. A missing value makes both results NULL.
+    The standard error is NULL for a single value. A missing value makes both results NULL. Real-valued
+    measures are refused; ``mean_se_real`` takes those.
     """
+    kind = df.schema[value].dataType
+    if isinstance(kind, T.FractionalType) and getattr(kind, "scale", 1) != 0:
+        raise TypeError(f"{value} is {kind.simpleString()}; mean_se takes integers, mean_se_real real values")
     groups = names_of(by)
     histogram = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_k"))
     x, k = _exact(F.col(value)), _exact(F.col("_k"))
@@ -93,14 +95,25 @@ def mean_se(
 
 
 def mean_se_real(
-    df: DataFrame, values: Mapping[str, str], by: str | Sequence[str] | None = None, n_name: str = "n"
+    df: DataFrame,
+    values: Mapping[str, str],
+    by: str | Sequence[str] | None = None,
+    n_name: str = "n",
+    skip_missing: bool = False,
 ) -> DataFrame:
-    """Mean and standard error of real-valued measures; ``values`` maps a column to a result suffix."""
+    """Mean and standard error of real-valued measures; ``values`` maps a column to a result suffix.
+
+    A missing or NaN value makes both NULL. With ``skip_missing`` it is left out, and ``n_<suffix>`` counts the values used.
+    """
     groups = names_of(by)
     out = [F.count(F.lit(1)).alias(n_name)]
     for column, suffix in values.items():
-        out.append(F.avg(column).alias(f"mean_{suffix}"))
-        out.append((F.stddev_samp(column) / F.sqrt(F.count(column).cast("double"))).alias(f"se_{suffix}"))
+        known = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+        whole = F.lit(True) if skip_missing else F.count(known) == F.count(F.lit(1))
+        out.append(F.when(whole, F.avg(known)).alias(f"mean_{suffix}"))
+        out.append(F.when(whole, F.stddev_samp(known) / F.sqrt(F.count(known).cast("double"))).alias(f"se_{suffix}"))
+        if skip_missing:
+            out.append(F.count(known).alias(f"n_{suffix}"))
     return df.groupBy(*groups).agg(*out) if groups else df.agg(*out)
 
 

@@ -33,7 +33,7 @@ def first_row(
     """Whole first row per key in the order of the ``order`` columns, the first of which is the date.
 
     Ties that ``order`` leaves open fall back to the remaining columns, so the row is well defined.
-    One aggregation; rows are never sorted per key across the cluster.
+    One aggregation, but over whole rows, which Spark sorts by key within each task.
     """
     keys = names_of(key)
     require_columns(df.columns, [*keys, *order], "first row")
@@ -65,16 +65,16 @@ def running_total(
     yearly: DataFrame, value: str, by: str | Sequence[str] | None = None, year: str = "year", name: str = "cumsum"
 ) -> DataFrame:
     """Running total over years of a yearly frame, restarted per group."""
-    window = Window.partitionBy(*names_of(by)).orderBy(year)
+    window = Window.partitionBy(*names_of(by)).orderBy(F.col(year).asc_nulls_last())
     return yearly.withColumn(name, F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def records_curve(
     df: DataFrame, date: str, by: str | Sequence[str] | None = None, name: str = "cumsum"
 ) -> DataFrame:
-    """Cumulative number of records per year."""
+    """Cumulative number of records per year; records without a date are in no year."""
     groups = names_of(by)
-    yearly = count_rows(df.withColumn("year", F.year(date)), [*groups, "year"], "_n")
+    yearly = count_rows(df.where(F.col(date).isNotNull()).withColumn("year", F.year(date)), [*groups, "year"], "_n")
     return running_total(yearly, "_n", groups, name=name).select(*groups, "year", name)
 
 
@@ -109,10 +109,10 @@ def filled_to_year(
 ) -> DataFrame:
     """Cumulative series with every year from its first one to ``last_year``; gaps repeat the last value.
 
-    Years of the series after ``last_year`` stay.
+    Years of the series after ``last_year`` stay; a row without a year has no place and goes.
     """
     groups = names_of(by)
-    spans = series.groupBy(*groups).agg(
+    spans = series.where(F.col(year).isNotNull()).groupBy(*groups).agg(
         F.min(year).alias("_first"),
         F.max(year).alias("_last"),
         F.map_from_entries(F.collect_list(F.struct(year, value))).alias("_values"),

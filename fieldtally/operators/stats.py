@@ -17,8 +17,8 @@ EXACT_BELOW = 50
 
 
 def value_counts(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
-    """Distinct values with their frequency in both samples; missing values are left out."""
-    in_samples = df.where(F.col(value).isNotNull() & F.col(group).isin(first, second))
+    """Distinct values with their frequency in both samples; missing values and NaN are left out."""
+    in_samples = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & F.col(group).isin(first, second))
     return in_samples.groupBy(F.col(value).alias("value")).agg(
         F.count_if(F.col(group) == first).alias("n1"), F.count_if(F.col(group) == second).alias("n2")
     )
@@ -95,7 +95,7 @@ def rank_sum(
     )
 
 
-def _p_value_udf():
+def _p_value_udf(exact: bool | None):
     """The p-value as an Arrow UDF. Everything it needs is inside, so workers need no installed package."""
 
     def exact_p(n1: int, n2: int, w: float) -> float:
@@ -131,7 +131,7 @@ def _p_value_udf():
         for n1, n2, w, t in zip(n1s, n2s, ws, ties):
             if not n1 or not n2:
                 out.append(None)
-            elif n1 < exact_below and n2 < exact_below and t == 0:
+            elif exact if exact is not None else (n1 < exact_below and n2 < exact_below and t == 0):
                 out.append(exact_p(int(n1), int(n2), w))
             else:
                 out.append(normal_p(int(n1), int(n2), w, t))
@@ -140,44 +140,69 @@ def _p_value_udf():
     return p_values
 
 
-def p_value(n1: Column, n2: Column, w: Column, ties: Column) -> Column:
-    """Two-sided p-value of a rank-sum statistic; runs on result rows, never on records."""
-    return _p_value_udf()(n1, n2, w, ties)
+def p_value(n1: Column, n2: Column, w: Column, ties: Column, exact: bool | None = None) -> Column:
+    """Two-sided p-value of a rank-sum statistic; runs on result rows, never on records.
+
+    ``exact`` asks for the exact distribution or the normal one; left out, it is exact without ties and below
+    ``EXACT_BELOW`` values per sample. The exact distribution knows no ties.
+    """
+    return _p_value_udf(exact)(n1, n2, w, ties)
 
 
-def rank_sum_test(df: DataFrame, value: str, group: str, first: str, second: str, buckets: int = 64) -> DataFrame:
-    """Rank-sum statistic with its p-value and the share of pairs the first sample wins."""
+def rank_sum_test(
+    df: DataFrame, value: str, group: str, first: str, second: str, buckets: int = 64, exact: bool | None = None
+) -> DataFrame:
+    """Rank-sum statistic with its p-value, the ``method`` behind that, and the share of pairs the first sample wins."""
     stat = rank_sum(df, value, group, first, second, buckets)
+    small = (F.col("n1") < EXACT_BELOW) & (F.col("n2") < EXACT_BELOW) & (F.col("ties") == 0)
+    chosen = small if exact is None else F.lit(exact)
     return stat.withColumns(
         {
-            "p_value": p_value(F.col("n1"), F.col("n2"), F.col("w"), F.col("ties")),
+            "p_value": p_value(F.col("n1"), F.col("n2"), F.col("w"), F.col("ties"), exact),
+            "method": F.when(chosen, "exact").otherwise("normal"),
             "win_share": ratio("w", F.col("n1").cast("double") * F.col("n2").cast("double")),
         }
     )
 
 
-def poisson_trend(yearly: DataFrame, count: str = "n", year: str = "year") -> DataFrame:
-    """Log-linear Poisson trend of yearly counts: one row per coefficient.
+def poisson_trend(yearly: DataFrame, count: str = "n", year: str = "year", most_years: int = 10_000) -> DataFrame:
+    """Log-linear Poisson trend of yearly counts: one row per coefficient, with standard error and z-test.
 
-    Fitted by Spark ML on the yearly frame, which is materialised first because every iteration reads
-    it. Years are centred for the fit and the intercept is moved back to year 0 afterwards (its
-    standard error would be that of the centred fit and is left out). The p-value is that of a z-test.
+    The yearly frame, of at most ``most_years`` rows, is fitted by Newton steps on centred years until they settle;
+    the intercept and its error are then moved to year 0. A flat series has slope 0 and its error. A single
+    year leaves the slope open (NULL), and a series without records has no finite intercept: NULL throughout.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
     spark = yearly.sparkSession
-    rows = cut_lineage(yearly.select(F.col(year).cast("double").alias("year"), F.col(count).cast("double").alias("n")))
-    center = rows.agg(F.avg("year")).first()[0]
-    centred = rows.withColumn("x", F.col("year") - F.lit(center))
-    features = VectorAssembler(inputCols=["x"], outputCol="features").transform(centred)
-    model = GeneralizedLinearRegression(
-        family="poisson", link="log", labelCol="n", featuresCol="features", maxIter=50, tol=1e-10
-    ).fit(features)
-    summary = model.summary
-    slope, slope_se = float(model.coefficients[0]), float(summary.coefficientStandardErrors[0])
+    rows = yearly.select(F.col(year).cast("double"), F.col(count).cast("double")).na.drop().limit(most_years + 1).collect()
+    if len(rows) > most_years:
+        raise ValueError(f"more than {most_years} years")
+    x, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    schema = "term string, estimate double, std_error double, p_value double"
+    empty = [("(intercept)", None, None, None), ("year", None, None, None)]
+    if not len(rows) or n.sum() <= 0:
+        return spark.createDataFrame(empty, schema)
+
+    def row(term: str, estimate: float, error: float) -> tuple:
+        return term, float(estimate), float(error), math.erfc(abs(estimate / error) / math.sqrt(2.0))
+
+    if len(set(x)) == 1:
+        return spark.createDataFrame([row("(intercept)", math.log(n.mean()), 1 / math.sqrt(n.sum())), empty[1]], schema)
+    center = x.mean()
+    design = np.stack([np.ones(len(x)), x - center], 1)
+    fit = np.array([math.log(n.mean()), 0.0])
+    for _ in range(100):
+        mean = np.exp(design @ fit)
+        spread = np.linalg.inv((design * mean[:, None]).T @ design)
+        step = spread @ (design.T @ (n - mean))
+        fit = fit + step
+        if np.abs(step).max() < 1e-12:
+            break
+    else:
+        raise ArithmeticError("the trend does not converge")
+    spread = np.linalg.inv((design * np.exp(design @ fit)[:, None]).T @ design)
+    back = np.array([1.0, -center])
     out = [
-        ("(intercept)", float(model.intercept) - slope * center, None, None),
-        ("year", slope, slope_se, math.erfc(abs(slope / slope_se) / math.sqrt(2.0))),
+        row("(intercept)", back @ fit, math.sqrt(back @ spread @ back)),
+        row("year", fit[1], math.sqrt(spread[1, 1])),
     ]
-    return spark.createDataFrame(out, "term string, estimate double, std_error double, p_value double")
+    return spark.createDataFrame(out, schema)

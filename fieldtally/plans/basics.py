@@ -31,15 +31,15 @@ def records_total_by_park(spark, sf):
 @query(
     """
 SELECT DISTINCT p_name AS scientific_name, p_brand AS family FROM part WHERE p_partkey IN (
-    SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)
+    SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')
 UNION
-SELECT DISTINCT p_name, p_brand FROM part WHERE p_size >= 40
+SELECT DISTINCT p_name, p_brand FROM part
 """
 )
 def species_list_union(spark, sf):
-    seen = S.lines(spark, sf).where(P.is_research() & (F.col("duration_min") >= 45)).select("part_id").distinct()
+    seen = S.lines(spark, sf).where(P.is_research()).select("part_id").distinct()
     first = S.taxa(spark, sf).join(seen, "part_id", "left_semi")
-    second = S.table(spark, sf, "part").where("p_size >= 40").select(
+    second = S.table(spark, sf, "part").select(
         F.col("p_name").alias("scientific_name"), F.col("p_brand").alias("family")
     )
     return reshape.distinct_union(["scientific_name", "family"], first, second)

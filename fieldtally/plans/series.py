@@ -333,12 +333,15 @@ def participation_per_visit(spark, sf):
 @query(
     f"""
 WITH {SQL_RATES}
-SELECT park, count(*) AS n, round(avg(observers_vis), 9) AS mean_observers,
-       round(stddev_samp(observers_vis) / sqrt(count(observers_vis)), 9) AS se_observers,
-       round(avg(observations_vis), 9) AS mean_observations,
-       round(stddev_samp(observations_vis) / sqrt(count(observations_vis)), 9) AS se_observations,
-       round(1 / avg(observers_vis), 9) AS observer_times, round(1 / avg(observations_vis), 9) AS observations_times
-FROM rates GROUP BY park
+SELECT park, n, round(m1, 9) AS mean_observers, round(s1, 9) AS se_observers,
+       round(m2, 9) AS mean_observations, round(s2, 9) AS se_observations,
+       round(1 / m1, 9) AS observer_times, round(1 / m2, 9) AS observations_times
+FROM (SELECT park, count(*) AS n,
+             CASE WHEN count(observers_vis) = count(*) THEN avg(observers_vis) END AS m1,
+             CASE WHEN count(observers_vis) = count(*) THEN stddev_samp(observers_vis) / sqrt(count(*)) END AS s1,
+             CASE WHEN count(observations_vis) = count(*) THEN avg(observations_vis) END AS m2,
+             CASE WHEN count(observations_vis) = count(*) THEN stddev_samp(observations_vis) / sqrt(count(*)) END AS s2
+      FROM rates GROUP BY park)
 """
 )
 def participation_mean_se(spark, sf):

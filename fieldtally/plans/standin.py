@@ -66,12 +66,10 @@ def reduced_lines_with_headers(spark: SparkSession, sf_dir: str, *keys: str) ->
     """Line counts ``k`` per checklist and ``keys``, with the header joined on.
 
     For queries that group by checklist again: lines are counted before the join, so a checklist
-    with very many lines travels as a few counts. Durations are kept as the shortest one of their
-    class (under or over five minutes), which is all the completeness rules look at.
+    with very many lines travels as one count per duration. Durations stay as they are, so that any
+    threshold may follow.
     """
-    duration_class = F.when(F.col("duration_min") >= 5, 5.0).when(F.col("duration_min") < 5, 0.0)
-    short = lines(spark, sf_dir).withColumn("duration_min", duration_class)
-    counted = short.groupBy("checklist_id", "duration_min", *keys).agg(F.count(F.lit(1)).alias("k"))
+    counted = lines(spark, sf_dir).groupBy("checklist_id", "duration_min", *keys).agg(F.count(F.lit(1)).alias("k"))
     return counted.join(headers(spark, sf_dir), "checklist_id")
 
 

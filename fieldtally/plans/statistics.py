@@ -37,7 +37,7 @@ w AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS w, ties FROM t, (
 z AS (SELECT *, abs(w - n1 * n2 / 2.0::DOUBLE) AS shift,
       sqrt(n1 * n2 / 12.0::DOUBLE * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0::DOUBLE)))) AS sigma FROM w),
 x AS (SELECT *, (shift - CASE WHEN shift > 0 THEN 0.5 ELSE 0 END) / sigma / sqrt(2.0::DOUBLE) AS u FROM z)
-SELECT n1, n2, w, ties, round(w / (n1::DOUBLE * n2::DOUBLE), 9) AS win_share,
+SELECT n1, n2, w, ties, 'normal' AS method, round(w / (n1::DOUBLE * n2::DOUBLE), 9) AS win_share,
        round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda k: pow(-1, k) * pow(u, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))), 9) AS p_value
 FROM x
 """
@@ -60,10 +60,10 @@ def mid_ranks(spark, sf):
 WITH RECURSIVE yearly AS (SELECT year(l_shipdate)::DOUBLE AS y, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1),
 lists AS (SELECT list(y - c ORDER BY y) AS xs, list(n ORDER BY y) AS ns, any_value(c) AS c, ln(avg(n)) AS start
           FROM yearly, (SELECT avg(y) AS c FROM yearly)),
-newton(step, a, b, se) AS (
-    SELECT 0, start, 0.0::DOUBLE, 0.0::DOUBLE FROM lists
+newton(step, a, b, se, h11, h12, h22, det) AS (
+    SELECT 0, start, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM lists
     UNION ALL
-    SELECT step + 1, a + (h22 * g1 - h12 * g2) / det, b + (h11 * g2 - h12 * g1) / det, sqrt(h11 / det) FROM (
+    SELECT step + 1, a + (h22 * g1 - h12 * g2) / det, b + (h11 * g2 - h12 * g1) / det, sqrt(h11 / det), h11, h12, h22, det FROM (
         SELECT *, h11 * h22 - h12 * h12 AS det FROM (
             SELECT step, a, b,
                    list_sum(list_transform(range(1, len(xs) + 1), lambda i: ns[i] - exp(a + b * xs[i]))) AS g1,
@@ -72,8 +72,8 @@ newton(step, a, b, se) AS (
                    list_sum(list_transform(xs, lambda x: x * exp(a + b * x))) AS h12,
                    list_sum(list_transform(xs, lambda x: x * x * exp(a + b * x))) AS h22
             FROM newton, lists WHERE step < 30))),
-fit AS (SELECT a, b, se, c FROM newton, lists WHERE step = 30)
-SELECT '(intercept)' AS term, round(a - b * c, 6) AS estimate, CAST(NULL AS DOUBLE) AS std_error FROM fit
+fit AS (SELECT a, b, se, c, h11, h12, h22, det FROM newton, lists WHERE step = 30)
+SELECT '(intercept)' AS term, round(a - b * c, 6) AS estimate, round(sqrt(h22 / det - 2 * c * (-h12 / det) + c * c * h11 / det), 6) AS std_error FROM fit
 UNION ALL SELECT 'year', round(b, 6), round(se, 6) FROM fit
 """
 )

@@ -228,16 +228,18 @@ def observer_summary(spark, sf):
 @query(
     """
 WITH totals AS (SELECT p_name AS scientific_name, count(*) AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name),
-entries AS (SELECT p_name AS scientific_name, p_brand AS family, p_type AS "order" FROM part WHERE p_size > 20
-            QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_brand, p_type) = 1)
+entries AS (SELECT CASE WHEN p_size > 20 THEN p_name ELSE p_name || ' sp.' END AS scientific_name, p_brand AS family, p_type AS "order" FROM part
+            QUALIFY row_number() OVER (PARTITION BY scientific_name ORDER BY p_brand, p_type) = 1)
 SELECT scientific_name, total, family, "order" FROM totals LEFT JOIN entries USING (scientific_name)
 """
 )
 def taxon_enrich_dedup(spark, sf):
     per_part = counts.count_rows(S.lines(spark, sf), "part_id", "k").join(S.taxa(spark, sf), "part_id")
     totals = counts.count_rows(per_part, "scientific_name", "total", weight="k")
-    entries = S.table(spark, sf, "part").where("p_size > 20").select(
-        F.col("p_name").alias("scientific_name"), F.col("p_brand").alias("family"), F.col("p_type").alias("order")
+    # names of small parts are spelt otherwise here and find no entry
+    name = F.when(F.col("p_size") > 20, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" sp.")))
+    entries = S.table(spark, sf, "part").select(
+        name.alias("scientific_name"), F.col("p_brand").alias("family"), F.col("p_type").alias("order")
     )
     return taxonomy.enrich_once(totals, entries, ["family", "order"])
 
@@ -245,14 +247,15 @@ def taxon_enrich_dedup(spark, sf):
 @query(
     """
 WITH k AS (SELECT p_name, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name),
-entries AS (SELECT p_name, p_type AS "order" FROM part WHERE p_size > 45)
+entries AS (SELECT CASE WHEN p_size > 45 THEN p_name ELSE p_name || ' sp.' END AS p_name, p_type AS "order" FROM part)
 SELECT "order", CAST(sum(n) AS BIGINT) AS n FROM k LEFT JOIN entries USING (p_name) GROUP BY "order"
 """
 )
 def taxon_enrich_fanout(spark, sf):
     per_part = counts.count_rows(S.lines(spark, sf), "part_id", "k").join(S.taxa(spark, sf), "part_id")
-    entries = S.table(spark, sf, "part").where("p_size > 45").select(
-        F.col("p_name").alias("scientific_name"), F.col("p_type").alias("order")
+    name = F.when(F.col("p_size") > 45, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" sp.")))
+    entries = S.table(spark, sf, "part").select(
+        name.alias("scientific_name"), F.col("p_type").alias("order")
     )
     return taxonomy.counts_by_rank(per_part.drop("order"), entries, "order", weight="k")
 

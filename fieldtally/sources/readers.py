@@ -1,6 +1,6 @@
 """File readers. Every reader declares its schema, so no file is read twice to guess types.
 
-CSV is split by Spark only while records hold no line breaks, so ``multiLine`` is off by default.
+CSV is read with ``multiLine``, so quoted line breaks stay in their record; pass ``multi_line=False`` for files without any, which Spark can then split.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ MISSING_TEXT = "NA"
 
 
 def _read_text_table(
-    spark: SparkSession, path: str, sep: str = ",", quote: str = '"', multi_line: bool = False
+    spark: SparkSession, path: str, sep: str = ",", quote: str = '"', multi_line: bool = True
 ) -> DataFrame:
     """All columns as text under the header as written; an empty cell is blank text, ``NA`` is NULL.
 
@@ -41,11 +41,11 @@ def _read_text_table(
     return raw.select(*[F.nullif(cell, F.lit(MISSING_TEXT)).alias(c) for cell, c in zip(cells, raw.columns)])
 
 
-def read_observation_export(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_observation_export(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Comma-separated observation export with a header; typed, in :data:`schemas.OBSERVATION_EXPORT` order.
 
     Columns are picked by header name, so extra columns and another column order do no harm, and
-    Spark reads only the picked ones. Set ``multi_line`` if quoted texts hold line breaks; a file is
+    Spark reads only the picked ones. ``multi_line=False`` lets Spark split files without line breaks in texts; else a file is
     then one task, so split large exports into several files.
     """
     raw = normalise_names(_read_text_table(spark, path, multi_line=multi_line), sep="_")

@@ -13,11 +13,14 @@ from fieldtally.types import require_columns
 def write_csv(df: DataFrame, path: str, null_text: str = "NA", mode: str = "overwrite") -> None:
     """Result table as a CSV directory: header, no row numbers, NULL as ``NA``.
 
-    A path that ends in a slash is refused, because callers join file names to it.
+    Quotes are doubled and blanks at the ends stay, as the package's reader expects; read texts with line breaks
+    with ``multi_line``. A path that ends in a slash is refused, because callers join file names to it.
     """
     if path.endswith("/"):
         raise ValueError("the output path must not end with '/'")
-    df.write.mode(mode).option("header", True).option("nullValue", null_text).option("emptyValue", "").csv(path)
+    writer = df.write.mode(mode).option("header", True).option("nullValue", null_text).option("emptyValue", "")
+    writer = writer.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.csv(path)
 
 
 def write_dataset(
