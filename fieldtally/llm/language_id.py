@@ -20,6 +20,12 @@ from fieldtally.llm.common import ngram_buckets
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def trigrams(text: str, size: int, buckets: int) -> np.ndarray:
+    """Buckets of the runs of letters in lower case; everything else counts as one blank."""
+    return ngram_buckets(_OTHER.sub(" ", text.lower()), size, buckets)
 
 
 class Model:
@@ -35,7 +41,7 @@ def _counter(size: int, buckets: int):
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 own = totals.setdefault(lang, np.zeros(buckets, np.int64))
-                found, times = np.unique(ngram_buckets(text.as_py(), size, buckets), return_counts=True)
+                found, times = np.unique(trigrams(text.as_py(), size, buckets), return_counts=True)
                 own[found] += times
         for lang, own in totals.items():
             used = np.flatnonzero(own)
@@ -120,7 +126,7 @@ def _identifier(model: Model, rounds: int, penalty: float, names: tuple[str, str
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                found, times = np.unique(ngram_buckets(text, model.size, buckets), return_counts=True)
+                found, times = np.unique(trigrams(text, model.size, buckets), return_counts=True)
                 share = proportions(model.log_p[:, found].astype(np.float64), times.astype(np.float64), rounds, penalty)
                 best = int(np.argmax(share))
                 langs.append(model.names[best])
