@@ -22,17 +22,27 @@ _WORD = re.compile(r"\w+")
 _FEATURES = 3  # form, beginning, previous form with this one's beginning
 
 
-def features(text: str | None, buckets: int, start: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Buckets of every word (one row each) and the words' places in code points."""
+def features(
+    text: str | None, buckets: int, start: int, known: dict[str, tuple[int, int]] | None = None
+) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Buckets of every word (one row each) and the words' places in code points.
+
+    ``known`` keeps the hashes of words between calls; it is emptied when it has 400,000.
+    """
     found = list(_WORD.finditer(text)) if text else []
-    words = [m.group().lower() for m in found]
-    digest = xxhash.xxh32_intdigest
-    rows = np.empty((len(words), _FEATURES), np.int64)
-    before = ""
-    for i, word in enumerate(words):
-        head = word[:start]
-        rows[i] = digest("w" + word), digest("h" + head), digest("p" + before + " " + head)
-        before = head
+    known, digest, pairs = {} if known is None else known, xxhash.xxh32_intdigest, []
+    for m in found:
+        word = m.group()
+        pair = known.get(word)
+        if pair is None:
+            if len(known) >= 400_000:
+                known.clear()
+            low = word.lower()
+            pair = known[word] = digest("w" + low), digest("h" + low[:start])
+        pairs.append(pair)
+    own = np.array(pairs, np.int64).reshape(-1, 2)
+    before = np.concatenate([[0], own[:-1, 1]]) if len(own) else own[:, 1]
+    rows = np.stack([own[:, 0], own[:, 1], before * 7919 + own[:, 1] * 104729], 1)
     return rows % buckets, [m.span() for m in found]
 
 
@@ -117,10 +127,10 @@ class Field:
 
 def _counts(buckets: int, start: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, buckets), np.int64)
+        totals, known = np.zeros((2, buckets), np.int64), {}
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-                rows, _ = features(text.as_py(), buckets, start)
+                rows, _ = features(text.as_py(), buckets, start, known)
                 totals[int(label > 0), np.unique(rows[:, :2])] += 1
         for label in (0, 1):
             used = np.flatnonzero(totals[label])
@@ -208,10 +218,11 @@ def fit(
 
 def _tagger(field: Field, cut: float):
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int]] = {}
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                found = [features(t.as_py(), field.buckets, field.start) for t in part.column("text")]
+                found = [features(t.as_py(), field.buckets, field.start, known) for t in part.column("text")]
                 marginals = field.all_marginals([f[0] for f in found])
                 spans = [
                     [{"start": s, "end": e, "p": float(p)} for (s, e), p in zip(places, m) if p >= cut]
