@@ -31,7 +31,7 @@ class Model:
 
     def tails(self, vectors: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ... in columns."""
-        score = vectors @ self.weights
+        score = vectors @ self.weights.astype(vectors.dtype, copy=False)
         return 1.0 / (1.0 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -30, 30)))
 
 
@@ -61,7 +61,7 @@ def fit(rated: DataFrame, grades: int, buckets: int = 4096, sample: int = 6000,
         rest = y < grades - 1
         up[np.flatnonzero(rest), y[rest]] = slope[np.flatnonzero(rest), y[rest]]
         pull = (own - up) / likely[:, None] * weight[:, None]
-        grad_w = x.T @ pull.sum(1) - 1e-4 * w
+        grad_w = pull.sum(1).astype(np.float32) @ x - 1e-4 * w
         grad_cut = -pull.sum(0)
         grad_c = np.concatenate([[grad_cut.sum()], np.cumsum(grad_cut[::-1])[::-1][1:] * np.exp(gaps)])
         out = []
