@@ -22,28 +22,36 @@ _WORD = re.compile(r"\w+")
 _FEATURES = 3  # form, beginning, previous form with this one's beginning
 
 
-def features(
-    text: str | None, buckets: int, start: int, known: dict[str, tuple[int, int]] | None = None
-) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Buckets of every word (one row each) and the words' places in code points.
+class Hashes(dict):
+    """Hashes of a word's form (low half) and beginning (high half), kept between texts and emptied at 400,000 words."""
+
+    def __init__(self, start: int):
+        self.start = start
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        low = word.lower()
+        pair = xxhash.xxh32_intdigest("w" + low) | xxhash.xxh32_intdigest("h" + low[: self.start]) << 32
+        self[word] = pair
+        return pair
+
+
+def features(text: str | None, buckets: int, known: Hashes) -> np.ndarray:
+    """Buckets of every word, one row each."""
+    words = _WORD.findall(text) if text else []
+    pairs = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    rows = np.empty((len(words), _FEATURES), np.int64)
+    rows[:, 0], rows[:, 1] = pairs & np.uint64(0xFFFFFFFF), pairs >> np.uint64(32)
+    rows[:1, 2], rows[1:, 2] = 0, rows[:-1, 1] * 7919
+    rows[:, 2] += rows[:, 1] * 104729
+    return rows % buckets
 
-    ``known`` keeps the hashes of words between calls; it is emptied when it has 400,000.
-    """
-    found = list(_WORD.finditer(text)) if text else []
-    known, digest, pairs = {} if known is None else known, xxhash.xxh32_intdigest, []
-    for m in found:
-        word = m.group()
-        pair = known.get(word)
-        if pair is None:
-            if len(known) >= 400_000:
-                known.clear()
-            low = word.lower()
-            pair = known[word] = digest("w" + low), digest("h" + low[:start])
-        pairs.append(pair)
-    own = np.array(pairs, np.int64).reshape(-1, 2)
-    before = np.concatenate([[0], own[:-1, 1]]) if len(own) else own[:, 1]
-    rows = np.stack([own[:, 0], own[:, 1], before * 7919 + own[:, 1] * 104729], 1)
-    return rows % buckets, [m.span() for m in found]
+
+def places(text: str, chosen: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end, in code points, of the words with the ascending numbers ``chosen``."""
+    wanted = set(chosen.tolist())
+    return [m.span() for i, m in enumerate(_WORD.finditer(text)) if i in wanted]
 
 
 class Field:
@@ -57,37 +65,51 @@ class Field:
         self.slope, self.level = 1.0, 0.0
         self.lexicon: frozenset[int] = frozenset()
 
-    def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of state 1 at every word, and of each pair of states summed over a document's steps.
+    def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Probability of state 1 at every word.
 
-        ``scores`` is (documents, longest), padded; rows are worked on side by side.
+        ``scores`` is (documents, longest), padded; rows are worked on side by side. The passes carry the odds of state 1
+        against state 0.
         """
         count, longest = scores.shape
         alive = np.arange(longest)[None, :] < lengths[:, None]
-        step = np.exp(self.step)
-        gain = np.exp(np.clip(scores, -30, 30))
-        forward, backward = np.empty((longest, count, 2)), np.ones((longest, count, 2))
-        state = np.full((count, 2), 0.5)
-        for t in range(longest):
-            state = state @ step if t else state
-            state = state * np.stack([np.ones(count), gain[:, t]], 1)
-            state /= state.sum(1, keepdims=True)
-            forward[t] = state
-        state = np.ones((count, 2))
+        (s00, s01), (s10, s11) = np.exp(self.step).tolist()
+        gain = np.exp(np.clip(scores, -30, 30)).T.copy()
+        forward, backward = np.empty((longest, count)), np.ones((longest, count))
+        forward[0] = gain[0]
+        for t in range(1, longest):
+            odds = forward[t - 1]
+            forward[t] = gain[t] * (s01 + s11 * odds) / (s00 + s10 * odds)
+        ends = np.bincount(np.maximum(lengths, 1) - 1, minlength=longest)
         for t in range(longest - 1, 0, -1):
-            after = (state * np.stack([np.ones(count), gain[:, t]], 1)) @ step.T
-            after /= after.sum(1, keepdims=True)
-            state = np.where(alive[:, t, None], after, 1.0)
-            backward[t - 1] = state
+            odds = gain[t] * backward[t]
+            backward[t - 1] = (s10 + s11 * odds) / (s00 + s01 * odds)
+            if ends[t - 1]:
+                backward[t - 1, lengths <= t] = 1.0
         both = forward * backward
-        both /= both.sum(2, keepdims=True)
-        pairs = np.zeros((count, 2, 2))
-        if longest > 1:
-            own = np.stack([np.ones((count, longest - 1)), gain[:, 1:]], 2).transpose(1, 0, 2) * backward[1:]
-            joint = forward[:-1, :, :, None] * step[None, None] * own[:, :, None, :]
-            joint /= joint.sum((2, 3), keepdims=True)
-            pairs = (joint * alive.T[1:, :, None, None]).sum(0)
-        return both[:, :, 1].T * alive, pairs
+        return (both / (1.0 + both)).T * alive
+
+    def pairs(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Probability of each pair of states, summed over a document's steps: by the state before and after."""
+        count, longest = scores.shape
+        found = self.marginals(scores, lengths)
+        out = np.zeros((count, 2, 2))
+        if longest < 2:
+            return out
+        # given the state before, the state after depends only on what follows: solved from both marginals
+        step, gain = np.exp(self.step), np.exp(np.clip(scores, -30, 30))
+        backward = np.ones((count, longest))
+        for t in range(longest - 1, 0, -1):
+            odds = gain[:, t] * backward[:, t]
+            before = (step[1, 0] + step[1, 1] * odds) / (step[0, 0] + step[0, 1] * odds)
+            backward[:, t - 1] = np.where(t < lengths, before, 1.0)
+        odds = gain[:, 1:] * backward[:, 1:]
+        alive = np.arange(1, longest)[None, :] < lengths[:, None]
+        for i in (0, 1):
+            after = step[i, 1] * odds / (step[i, 0] + step[i, 1] * odds)
+            own = (found[:, :-1] if i else 1.0 - found[:, :-1]) * alive
+            out[:, i, 1], out[:, i, 0] = (own * after).sum(1), (own * (1.0 - after)).sum(1)
+        return out
 
     def word_scores(self, rows: np.ndarray) -> np.ndarray:
         return self.emit[rows].sum(1) + self.bias
@@ -111,8 +133,7 @@ class Field:
     def all_marginals(self, documents: list[np.ndarray]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0)] * len(documents)
         for chosen, scores, lengths in self.batches(documents):
-            found, _ = self.marginals(scores, lengths)
-            for i, row, n in zip(chosen, found, lengths):
+            for i, row, n in zip(chosen, self.marginals(scores, lengths), lengths):
                 out[i] = row[:n]
         return out
 
@@ -127,11 +148,10 @@ class Field:
 
 def _counts(buckets: int, start: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, known = np.zeros((2, buckets), np.int64), {}
+        totals, known = np.zeros((2, buckets), np.int64), Hashes(start)
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-                rows, _ = features(text.as_py(), buckets, start, known)
-                totals[int(label > 0), np.unique(rows[:, :2])] += 1
+                totals[int(label > 0), np.unique(features(text.as_py(), buckets, known)[:, :2])] += 1
         for label in (0, 1):
             used = np.flatnonzero(totals[label])
             yield pa.RecordBatch.from_pydict({
@@ -181,7 +201,8 @@ def fit(
     marks = np.zeros(buckets, bool)
     marks[list(field.lexicon)] = True
     labels = np.array(rows.column("toxic").to_pylist()) > 0
-    documents = [features(text.as_py(), buckets, start)[0] for text in rows.column("text")]
+    hashes = Hashes(start)
+    documents = [features(text.as_py(), buckets, hashes) for text in rows.column("text")]
     truth = [marks[d[:, :2]].any(1).astype(float) if y else np.zeros(len(d)) for d, y in zip(documents, labels)]
     used, place = np.unique(np.concatenate([d.ravel() for d in documents]), return_inverse=True)
     ends = np.cumsum([len(d) for d in documents])
@@ -190,8 +211,8 @@ def fit(
     for _ in range(rounds):
         bias, step = 0.0, np.zeros((2, 2))
         for chosen, scores, lengths in field.batches(documents):
-            found, pairs = field.marginals(scores, lengths)
-            for i, row, n, pair in zip(chosen, found, lengths, pairs):
+            found = field.marginals(scores, lengths)
+            for i, row, n, pair in zip(chosen, found, lengths, field.pairs(scores, lengths)):
                 off = truth[i] - row[:n]
                 errors[ends[i] - n : ends[i]] = off
                 bias += off.sum()
@@ -218,16 +239,17 @@ def fit(
 
 def _tagger(field: Field, cut: float):
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int]] = {}
+        known = Hashes(field.start)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                found = [features(t.as_py(), field.buckets, field.start, known) for t in part.column("text")]
-                marginals = field.all_marginals([f[0] for f in found])
-                spans = [
-                    [{"start": s, "end": e, "p": float(p)} for (s, e), p in zip(places, m) if p >= cut]
-                    for (_, places), m in zip(found, marginals)
-                ]
+                texts = part.column("text").to_pylist()
+                marginals = field.all_marginals([features(t, field.buckets, known) for t in texts])
+                spans = []
+                for text, m in zip(texts, marginals):
+                    chosen = np.flatnonzero(m >= cut)
+                    found = places(text, chosen) if len(chosen) else []
+                    spans.append([{"start": s, "end": e, "p": p} for (s, e), p in zip(found, m[chosen].tolist())])
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([field.score(m) for m in marginals]), pa.array(spans, kind)],
