@@ -3,9 +3,9 @@
 A text is the set of its paragraphs' 64-bit digests. Each digest goes to one cell in each of three subtables;
 a cell holds a count, the xor of its digests and of their check hashes. Two sketches subtract cell by cell; cells
 with a single digest are peeled until nothing is left, which recovers the digests that differ. Where peeling
-gets stuck, both sides are sketched again with eight times the cells. Sketches are kept sparse, as the list of
-their cells that are not empty, and every step is one sort of such a list by cell and one fold over it. Column
-expressions and joins only.
+gets stuck, the texts are sketched again with sixteen times the cells. Sketches are kept sparse, one row per cell that
+is not empty. Rows are dealt once by text, so adding up, subtracting and peeling are aggregates inside a partition,
+and the number of partitions follows the number of digests. Column expressions, joins and aggregates only.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from fieldtally.llm.common import cut_lineage
 
 _SLOTS = 64  # cells of a subtable of the sketch that is the fingerprint
-_RETRIES = (512, 4096, 32768, 262144)
-_ROUNDS = 12
-
-_CELL = "named_struct('c', {0}, 'n', {1}, 'k', {2}, 'h', {3})"
-_CELLS = "array<struct<c:int,n:int,k:bigint,h:bigint>>"
+_RETRIES = (1024, 16384, 262144)
+_ROUNDS = 15  # one subtable is peeled in each
+_DEALT = 250_000  # digests per partition
+_SIDES = ("keys", "edited_keys", "next_keys")
 
 
 def digests(text: Column, ends: str = r"[\n.!?]+") -> Column:
@@ -29,67 +28,85 @@ def digests(text: Column, ends: str = r"[\n.!?]+") -> Column:
     return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
 
 
-def _merged(entries: str) -> str:
-    """Entries added up per cell; cells that become empty go."""
-    kept = (
-        f"if(s.n = 0 AND s.k = 0 AND s.h = 0, s.out, array_append(s.out, {_CELL.format('s.c', 's.n', 's.k', 's.h')}))"
-    )
-    return (
-        f"aggregate(array_sort({entries}), "
-        f"named_struct('c', -1, 'n', 0, 'k', 0L, 'h', 0L, 'out', cast(array() as {_CELLS})), "
-        "(s, e) -> if(e.c = s.c, "
-        "named_struct('c', s.c, 'n', s.n + e.n, 'k', s.k ^ e.k, 'h', s.h ^ e.h, 'out', s.out), "
-        f"named_struct('c', e.c, 'n', e.n, 'k', e.k, 'h', e.h, 'out', {kept})), s -> {kept})"
-    )
-
-
-def _entries(keys: str, slots: int, key: str = "k", count: str = "1") -> str:
-    """One entry per digest and subtable."""
-    cells = (
-        f"cast({key} & {slots - 1}L as int)",
-        f"{slots} + cast(shiftright({key}, 20) & {slots - 1}L as int)",
-        f"{2 * slots} + cast(shiftright({key}, 40) & {slots - 1}L as int)",
-    )
-    three = ", ".join(_CELL.format(c, count, key, f"xxhash64({key})") for c in cells)
-    return f"flatten(transform({keys}, k -> array({three})))"
+def _cells(key: Column, slots: int) -> list[Column]:
+    """A digest's cell in each subtable."""
+    return [(F.shiftright(key, 20 * j).bitwiseAND(F.lit(slots - 1)) + j * slots).cast("int") for j in range(3)]
 
 
-def _sketch(keys: str, slots: int) -> str:
-    return _merged(_entries(keys, slots))
+def sketches(rows: DataFrame, slots: int) -> DataFrame:
+    """Sketches of the three sides of every ``row``: ``row, c`` and per side i ``n{i}, k{i}, h{i}``, one row per cell in use."""
+    sides = [F.struct(F.lit(i).alias("side"), F.col(keys).alias("found")) for i, keys in enumerate(_SIDES)]
+    keys = rows.select("row", F.explode(F.array(*sides)).alias("s")).select("row", "s.side", F.explode("s.found").alias("k"))
+    entries = keys.select("row", "side", "k", F.xxhash64("k").alias("h"), F.explode(F.array(*_cells(F.col("k"), slots))).alias("c"))
+    sums = []
+    for i in range(len(_SIDES)):
+        own = lambda x: F.when(F.col("side") == i, x).otherwise(F.lit(0).cast("long"))  # noqa: E731, B023
+        sums += [F.sum(own(F.lit(1))).alias(f"n{i}"), F.bit_xor(own(F.col("k"))).alias(f"k{i}"), F.bit_xor(own(F.col("h"))).alias(f"h{i}")]
+    return entries.groupBy("row", "c").agg(*sums)
 
 
-def sketched(keys: str, slots: int = _SLOTS) -> Column:
-    """Sketch of the digests in the column ``keys``."""
-    return F.expr(_sketch(keys, slots))
+def _cell(pair: Column, place: Column, n: Column, k: Column, h: Column) -> Column:
+    return F.struct(pair.alias("pair"), place.alias("c"), n.cast("long").alias("n"), k.alias("k"), h.alias("h"))
 
 
-def _difference(a: str, b: str) -> str:
-    return _merged(f"concat({a}, transform({b}, x -> {_CELL.format('x.c', '-x.n', 'x.k', 'x.h')}))")
+def _used() -> Column:
+    return (F.col("n") != 0) | (F.col("k") != 0) | (F.col("h") != 0)
 
 
-def _peeled(cells: str, slots: int) -> str:
-    """Number of digests recovered from a difference of sketches; NULL if some cannot be."""
-    pure = [
-        f"array_distinct(transform(filter(s.c, x -> x.n = {n} AND x.h = xxhash64(x.k)), x -> x.k))" for n in (1, -1)
+def subtracted(sketched: DataFrame) -> DataFrame:
+    """First side less each other one: ``row, pair, c, n, k, h``, cells that are not empty."""
+    pairs = [
+        _cell(F.lit(i), F.col("c"), F.col("n0") - F.col(f"n{i}"), F.col("k0").bitwiseXOR(F.col(f"k{i}")), F.col("h0").bitwiseXOR(F.col(f"h{i}")))
+        for i in range(1, len(_SIDES))
     ]
-    taken = _merged(f"concat(s.c, {_entries('p.a', slots, 'k', '-1')}, {_entries('p.b', slots, 'k', '1')})")
-    step = (
-        f"transform(array(named_struct('a', {pure[0]}, 'b', {pure[1]})), p -> if(size(p.a) + size(p.b) = 0, s, "
-        f"named_struct('c', {taken}, 'd', s.d + size(p.a) + size(p.b))))[0]"
-    )
-    return (
-        f"aggregate(sequence(1, {_ROUNDS}), named_struct('c', {cells}, 'd', 0), (s, r) -> {step}, "
-        "s -> if(size(s.c) = 0, s.d, cast(null as int)))"
-    )
+    return sketched.select("row", F.inline(F.array(*pairs))).where(_used())
 
 
-def differing(a: str, b: str, a_sketch: str, b_sketch: str) -> Column:
-    """How many digests differ between two sets, given as sketches and, for larger sketches, as columns of digests."""
-    tries = [_peeled(_difference(a_sketch, b_sketch), _SLOTS)]
-    tries += [_peeled(_difference(_sketch(a, slots), _sketch(b, slots)), slots) for slots in _RETRIES]
-    # beyond the largest sketch the digests themselves are compared
-    rest = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    return F.expr(f"coalesce({', '.join(tries)}, {rest})")
+def peeled(cells: DataFrame, slots: int, rounds: int = _ROUNDS) -> DataFrame:
+    """Takes single digests out of subtracted sketches, in turn from each subtable, where a digest has one cell.
+
+    Per ``row``: ``d{i}`` digests recovered from pair i, NULL if cells are left. Rows without cells are absent. The number
+    recovered so far is kept in a cell of its own, numbered -1.
+    """
+    none = F.lit(0).cast("long")
+    for turn in range(rounds):
+        j = turn % 3
+        places, (pair, n, k, h) = _cells(F.col("k"), slots), (F.col(x) for x in ("pair", "n", "k", "h"))
+        single = F.col("c").between(j * slots, (j + 1) * slots - 1) & (F.abs(n) == 1) & (h == F.xxhash64(k))
+        elsewhere = [_cell(pair, places[i], -n, k, h) for i in range(3) if i != j]
+        taken = F.array(_cell(pair, F.lit(-1), F.lit(1), none, none), *elsewhere)
+        moved = F.when(single, taken).otherwise(F.array(_cell(pair, F.col("c"), n, k, h)))
+        cells = cells.select("row", F.inline(moved)).groupBy("row", "pair", "c")
+        cells = cells.agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).where(_used())
+    found = []
+    for i in range(1, len(_SIDES)):
+        own = F.col("pair") == i
+        left = F.coalesce(F.max(F.when(own, F.col("c"))), F.lit(-1)) >= 0
+        found.append(F.when(~left, F.coalesce(F.sum(F.when(own, F.col("n"))), none)).alias(f"d{i}"))
+    return cells.groupBy("row").agg(*found)
+
+
+def differing(rows: DataFrame, parts: int) -> DataFrame:
+    """``row, d1, d2``: how many digests differ between the first side and each other one; rows without a difference are absent.
+
+    ``rows`` is stored and dealt by ``row``. Rows whose sketches do not peel are sketched larger; beyond the largest size
+    the digests themselves are compared.
+    """
+    out, numbers = None, [f"d{i}" for i in range(1, len(_SIDES))]
+    stuck = F.col("d1").isNull() | F.col("d2").isNull()
+    for slots in (_SLOTS, *_RETRIES):
+        tried = cut_lineage(peeled(subtracted(sketches(rows, slots)), slots))
+        done = tried.where(~stuck)
+        out = done if out is None else out.unionByName(done)
+        again = tried.where(stuck).select("row")
+        if again.isEmpty():
+            return out
+        rows = rows.join(again, "row", "left_semi").repartition(parts, "row")
+    apart = [
+        (F.size(F.array_except("keys", other)) + F.size(F.array_except(other, "keys"))).cast("long").alias(name)
+        for other, name in zip(_SIDES[1:], numbers)
+    ]
+    return out.unionByName(rows.select("row", *apart))
 
 
 def likeness(a: str, b: str, differ: Column) -> Column:
@@ -98,16 +115,17 @@ def likeness(a: str, b: str, differ: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise((both - differ) / (both + differ))
 
 
-def written(sketch: str) -> Column:
-    """A sketch as text: place, count, digests and check of each cell."""
-    check = lambda x: F.lower(F.hex(x["h"].bitwiseAND(F.lit(0xFFFFFFFF))))
-    return F.array_join(
-        F.transform(
-            F.col(sketch),
-            lambda x: F.concat_ws(".", x["c"].cast("string"), x["n"].cast("string"), F.lower(F.hex(x["k"])), check(x)),
-        ),
-        ",",
-    )
+def written(sketched: DataFrame) -> DataFrame:
+    """Sketches of the first two sides as text, ``row, fingerprint, edited_fingerprint``: place, count, digests and check of each cell."""
+
+    def text(i: int) -> Column:
+        check = F.lower(F.hex(F.col(f"h{i}").bitwiseAND(F.lit(0xFFFFFFFF))))
+        cell = F.concat_ws(".", "c", f"n{i}", F.lower(F.hex(f"k{i}")), check)
+        return F.when(F.col(f"n{i}") > 0, F.struct("c", cell.alias("cell")))
+
+    joined = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda y: y["cell"]), ",")
+    cells = sketched.select("row", text(0).alias("a"), text(1).alias("b"))
+    return cells.groupBy("row").agg(joined("a").alias("fingerprint"), joined("b").alias("edited_fingerprint"))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -163,17 +181,18 @@ def edited_fingerprints(docs: DataFrame, share: int = 4) -> DataFrame:
         F.coalesce("next_keys", F.array().cast("array<bigint>")).alias("next_keys"),
     )
     rows = rows.withColumns({"edited_keys": digests(F.col("edited")), "edited_sha256": F.sha2("edited", 256)}).drop("edited")
-    rows = rows.withColumns({"sketch": sketched("keys"), "edited_sketch": sketched("edited_keys"), "next_sketch": sketched("next_keys")})
-    rows = rows.withColumns({
-        "edit_differs": differing("keys", "edited_keys", "sketch", "edited_sketch"),
-        "next_differs": differing("keys", "next_keys", "sketch", "next_sketch"),
-    })
-    return rows.select(
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    many = rows.agg(F.sum(sum((F.size(x) for x in _SIDES), F.lit(0)).cast("long"))).first()[0] or 0
+    parts = max(1, -(-many // _DEALT))
+    dealt = rows.repartition(parts, "row")
+    whole = dealt.join(written(sketches(dealt, _SLOTS)), "row", "left").join(differing(dealt, parts), "row", "left")
+    count = lambda name: F.coalesce(name, F.lit(0))
+    return whole.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        written("sketch").alias("fingerprint"),
-        written("edited_sketch").alias("edited_fingerprint"),
-        likeness("keys", "edited_keys", F.col("edit_differs")).alias("near_edited"),
-        likeness("keys", "next_keys", F.col("next_differs")).alias("near_next"),
+        F.coalesce("fingerprint", F.lit("")).alias("fingerprint"),
+        F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
+        likeness(F.col("keys"), F.col("edited_keys"), count("d1")).alias("near_edited"),
+        likeness(F.col("keys"), F.col("next_keys"), count("d2")).alias("near_next"),
     )
