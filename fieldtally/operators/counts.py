@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,6 +146,13 @@ def monthly_variants(
     return long.where(F.col("s.n") > 0).select(*groups, F.col("s.n").alias(name), F.col("s.label").alias(label_name))
 
 
+def with_totals(counted: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Counts with the row of totals of their group; a missing group is a group."""
+    named = totals.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return counted.join(named, reduce(and_, same), "left").drop(*[f"_of_{c}" for c in by])
+
+
 def share_of_total(
     counts: DataFrame,
     value: str = "n",
@@ -151,15 +160,26 @@ def share_of_total(
     keep: Column | None = None,
     digits: int | None = 2,
     total_name: str | None = None,
+    by: str | Sequence[str] | None = None,
+    feed: DataFrame | None = None,
 ) -> DataFrame:
     """Each group's share of the whole, for counts over *all* groups of the unfiltered frame.
 
+    With ``by`` (parks) the whole is that of the group's own park. ``feed`` names the records behind the counts: their
+    number is the whole then, also where a join has repeated some of them.
+
     ``keep`` then drops groups from the report (blank keys) without taking them out of the
     denominator. The total is a window over the counts, one row per group (orders, species), so the
     records behind them are read and shuffled once.
     """
     total = total_name or "_total"
-    whole = counts.withColumn(total, F.sum(value).over(Window.partitionBy()))
+    groups = names_of(by)
+    if feed is None:
+        whole = counts.withColumn(total, F.sum(value).over(Window.partitionBy(*groups)))
+    elif groups:
+        whole = with_totals(counts, count_rows(feed, groups, total), groups)
+    else:
+        whole = counts.withColumn(total, feed.agg(F.count(F.lit(1))).scalar())
     kept = whole.where(keep) if keep is not None else whole
     shared = kept.withColumn(name, percent(value, total, digits))
     return shared if total_name else shared.drop(total)
@@ -173,10 +193,16 @@ def frequency_by_taxon(
     digits: int | None = 2,
     rows_name: str = "n",
     units_name: str = "units",
+    by: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows of a taxon per 100 distinct units (checklists) of the whole frame."""
-    units = df.select(unit).distinct().agg(F.count(F.lit(1))).scalar()
-    counted = count_rows(df, taxon, rows_name).withColumn(units_name, units)
+    """Rows of a taxon per 100 distinct units (checklists) of the whole frame, or of the taxon's own group of ``by``."""
+    groups = names_of(by)
+    if groups:
+        units = count_distinct(df, unit, groups, units_name)
+        counted = with_totals(count_rows(df, [*groups, *names_of(taxon)], rows_name), units, groups)
+    else:
+        units = df.select(unit).distinct().agg(F.count(F.lit(1))).scalar()
+        counted = count_rows(df, taxon, rows_name).withColumn(units_name, units)
     return counted.withColumn(name, percent(rows_name, units_name, digits))
 
 

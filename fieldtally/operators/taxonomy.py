@@ -56,16 +56,20 @@ def enrich_once(totals: DataFrame, taxonomy: DataFrame, order: Sequence[str], ke
 
 
 def level_counts(
-    df: DataFrame, ranks: Sequence[str], name: str = "num_obs", weight: str | None = None
+    df: DataFrame,
+    ranks: Sequence[str],
+    name: str = "num_obs",
+    weight: str | None = None,
+    by: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """Records per rank at every level of a hierarchy, with the ``depth`` of the level.
 
     Levels that are deeper than a row's depth are NULL. Records are counted at the deepest level
-    once and only those counts are rolled up. A row whose rank is blank or missing stops there: it
+    once and only those counts are rolled up; ``by`` makes one hierarchy per group. A row whose rank is blank or missing stops there: it
     counts for the levels above and makes no row at its own.
     """
-    ranks = names_of(ranks)
-    deepest = count_rows(df, ranks, "_rows", weight)
+    ranks, groups = names_of(ranks), names_of(by)
+    deepest = count_rows(df, [*groups, *ranks], "_rows", weight)
     levels = [
         F.struct(
             F.lit(depth).alias("depth"),
@@ -77,9 +81,9 @@ def level_counts(
     for rank in ranks:
         prefix = prefix & F.coalesce(F.col(rank) != "", F.lit(False))
         filled_to = filled_to + prefix.cast("int")
-    exploded = deepest.select("_rows", filled_to.alias("_to"), F.explode(F.array(*levels)).alias("l"))
-    kept = exploded.where(F.col("l.depth") <= F.col("_to")).select("_rows", "l.*")
-    return kept.groupBy("depth", *ranks).agg(F.sum("_rows").alias(name))
+    exploded = deepest.select(*groups, "_rows", filled_to.alias("_to"), F.explode(F.array(*levels)).alias("l"))
+    kept = exploded.where(F.col("l.depth") <= F.col("_to")).select(*groups, "_rows", "l.*")
+    return kept.groupBy(*groups, "depth", *ranks).agg(F.sum("_rows").alias(name))
 
 
 def parent_child(
@@ -88,21 +92,22 @@ def parent_child(
     name: str = "num_obs",
     path_parents: bool = False,
     weight: str | None = None,
+    by: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """Hierarchy as ``(parents, labels, value)`` rows; roots have a blank parent.
+    """Hierarchy as ``(parents, labels, value)`` rows, one per group of ``by``; roots have a blank parent.
 
     ``path_parents`` names a parent by its whole path (``kingdom - phylum``), for ranks whose labels
     repeat under different parents. A parent may exceed the sum of its children.
     """
     ranks = names_of(ranks)
-    counts = level_counts(df, ranks, name, weight)
+    counts = level_counts(df, ranks, name, weight, by)
     label = F.coalesce(*[F.col(r) for r in reversed(ranks)])
     if path_parents:
         parents = [F.concat_ws(" - ", *[F.col(r) for r in ranks[:d]]) for d in range(len(ranks))]
     else:
         parents = [F.lit(""), *[F.col(r) for r in ranks[:-1]]]
     parent = F.element_at(F.array(*parents), F.col("depth"))
-    return counts.select("depth", parent.alias("parents"), label.alias("labels"), name)
+    return counts.select(*names_of(by), "depth", parent.alias("parents"), label.alias("labels"), name)
 
 
 def numbered(df: DataFrame, *order: ColumnLike, name: str = "row") -> DataFrame:

@@ -51,6 +51,34 @@ def order_share_rounded(spark, sf):
     return counts.share_of_total(per_order, keep=P.all_filled("order")).orderBy(F.desc("n"), "order")
 
 
+@query(
+    f"""
+WITH {SQL_RANKS}, feed AS (SELECT l_linestatus AS park, count(*) AS total FROM lineitem GROUP BY park)
+SELECT park, "order", count(*) AS n, any_value(total) AS total,
+       count(*)::DOUBLE / any_value(total)::DOUBLE * 100.0::DOUBLE AS percent
+FROM lineitem JOIN ranks ON l_partkey = part_id JOIN feed ON l_linestatus = park WHERE "order" <> '' GROUP BY park, "order"
+"""
+)
+def order_share_by_park(spark, sf):
+    lines = S.lines(spark, sf)
+    per_order = taxonomy.counts_by_rank(lines, _ranks(spark, sf), "order", by="park", key="part_id")
+    return counts.share_of_total(
+        per_order, keep=P.all_filled("order"), digits=None, total_name="total", by="park", feed=lines
+    )
+
+
+@query(
+    """
+WITH units AS (SELECT l_linestatus AS park, count(DISTINCT l_orderkey) AS units FROM lineitem GROUP BY park)
+SELECT park, l_suppkey AS site_id, count(*) AS n, any_value(units) AS units,
+       count(*)::DOUBLE / any_value(units)::DOUBLE * 100.0::DOUBLE AS frequency
+FROM lineitem JOIN units ON l_linestatus = park GROUP BY park, site_id
+"""
+)
+def site_frequency_by_park(spark, sf):
+    return counts.frequency_by_taxon(S.lines(spark, sf), "site_id", "checklist_id", digits=None, by="park")
+
+
 @query(
     """
 SELECT scientific_name, family, count(*) AS n, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS units,
@@ -216,6 +244,20 @@ def taxon_parent_child(spark, sf):
     return taxonomy.parent_child(per_part, ["order", "family", "scientific_name"], path_parents=True, weight="k")
 
 
+@query(
+    f"""
+WITH {SQL_RANKS}, k AS (
+    SELECT l_linestatus AS park, "order", family, count(*) AS n FROM lineitem JOIN ranks ON l_partkey = part_id GROUP BY ALL)
+SELECT park, 1 AS depth, '' AS parents, "order" AS labels, CAST(sum(n) AS BIGINT) AS num_obs FROM k WHERE "order" <> '' GROUP BY park, "order"
+UNION ALL
+SELECT park, 2, "order", family, CAST(sum(n) AS BIGINT) FROM k WHERE "order" <> '' AND family <> '' GROUP BY park, "order", family
+"""
+)
+def taxon_parent_child_by_park(spark, sf):
+    per_part = counts.count_rows(S.lines(spark, sf), ["park", "part_id"], "k").join(_ranks(spark, sf), "part_id")
+    return taxonomy.parent_child(per_part, ["order", "family"], path_parents=True, weight="k", by="park")
+
+
 @query(
     """
 SELECT row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS row, o_custkey AS user_id, count(*) AS count FROM orders GROUP BY o_custkey

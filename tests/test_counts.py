@@ -329,3 +329,24 @@ def test_row_numbers_over_many_partitions(spark):
 def test_calendar_that_ends_before_it_starts(spark, rows):
     series = spark.sql("SELECT * FROM VALUES (date'2020-01-01', 3) AS t(date, tot_obs)")
     assert rows(K.zero_filled(series, first="2021-01-01")) == [(dt.date(2020, 1, 1), 3)]
+
+
+def test_shares_frequencies_and_hierarchies_per_park(spark):
+    rows = [("a", "x", 1), ("a", "x", 2), ("a", "y", 1), ("b", "x", 3), (None, "y", 4), (None, "y", 5)]
+    df = spark.createDataFrame(rows, "park string, name string, list long")
+    got = lambda frame, *c: {tuple(r[x] for x in c) for r in frame.collect()}
+    per_name = counts.count_rows(df, ["park", "name"])
+    expected = {("a", "x", 66.67), ("a", "y", 33.33), ("b", "x", 100.0), (None, "y", 100.0)}
+    assert got(counts.share_of_total(per_name, by="park"), "park", "name", "percent") == expected
+    # a name that a join has repeated does not enlarge the whole
+    twice = per_name.withColumn("n", F.col("n") * 2)
+    shared = counts.share_of_total(twice, by="park", feed=df, total_name="total")
+    assert got(shared, "park", "name", "total", "percent") == {
+        ("a", "x", 3, 133.33), ("a", "y", 3, 66.67), ("b", "x", 1, 200.0), (None, "y", 2, 200.0)
+    }
+    found = counts.frequency_by_taxon(df, "name", "list", by="park")
+    assert got(found, "park", "name", "units", "frequency") == {
+        ("a", "x", 2, 100.0), ("a", "y", 2, 50.0), ("b", "x", 1, 100.0), (None, "y", 2, 100.0)
+    }
+    tree = taxonomy.parent_child(df, ["name"], by="park")
+    assert got(tree, "park", "labels", "num_obs") == {("a", "x", 2), ("a", "y", 1), ("b", "x", 1), (None, "y", 2)}
