@@ -149,8 +149,14 @@ def taxa(obs: DataFrame, chk: DataFrame, birds: DataFrame) -> dict[str, DataFram
         "order_share_checklists": counts.share_of_total(
             counts.count_rows(ranked_birds, "order", "n", "k"), keep=P.all_filled("order")
         ),
+        "order_share_checklists_by_park": counts.share_of_total(
+            counts.count_rows(ranked_birds, ["park", "order"], "n", "k"), keep=P.all_filled("order"), by="park"
+        ),
         "order_share_all": counts.share_of_total(all_orders, keep=P.all_filled("order")),
         "species_frequency": counts.frequency_by_taxon(chk, ["common_name", "scientific_name"], "checklist_id"),
+        "species_frequency_by_park": counts.frequency_by_taxon(
+            chk, ["common_name", "scientific_name"], "checklist_id", by="park"
+        ),
         "research_rate_by_kingdom": counts.rate_by_group(
             obs.where(P.all_filled("kingdom")), ["park", "kingdom"], P.is_research()
         ).orderBy("park", F.desc("percent_rg"), "kingdom"),
@@ -166,6 +172,10 @@ def taxa(obs: DataFrame, chk: DataFrame, birds: DataFrame) -> dict[str, DataFram
         "hierarchy_checklists": taxonomy.parent_child(
             ranked_birds.where(P.all_filled("order")), ["class", "order", "family"], weight="k"
         ),
+        "hierarchy_observations_by_park": taxonomy.parent_child(research, ["kingdom", "phylum", "class"], by="park"),
+        "hierarchy_checklists_by_park": taxonomy.parent_child(
+            ranked_birds.where(P.all_filled("order")), ["class", "order", "family"], weight="k", by="park"
+        ),
     }
 
 
