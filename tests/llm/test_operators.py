@@ -277,3 +277,18 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     ids = {r.doc_id for r in left.select("doc_id").collect()}
     assert len(ids) == left.count() > 150
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF_DIR).select("doc_id").distinct().collect()} == ids
+
+
+def test_toxicity_pairs_of_states():
+    field, rng = toxicity.Field(8, 5), np.random.default_rng(1)
+    field.step = rng.normal(size=(2, 2))
+    lengths, scores = np.array([4, 2, 1, 0]), rng.normal(size=(4, 4))
+    for row, n, mine in zip(scores, lengths, field.pairs(scores, lengths)):
+        total, pairs = 0.0, np.zeros((2, 2))
+        for path in range(1 << n):
+            y = [path >> t & 1 for t in range(n)]
+            w = np.exp(sum(row[t] * y[t] for t in range(n)) + sum(field.step[y[t - 1], y[t]] for t in range(1, n)))
+            total += w
+            for t in range(1, n):
+                pairs[y[t - 1], y[t]] += w
+        assert mine == pytest.approx(pairs / total)
