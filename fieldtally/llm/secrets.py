@@ -153,12 +153,13 @@ def secret_report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans become one mark. ``n_chars`` follows.
 
-    Rows without findings come back as they are.
+    Rows without findings come back as they are, as do all other columns, whatever their names.
     """
-    versions = addressed(docs)
-    found = scan_unseen(versions, None, rules).where(F.size("spans") > 0).select("blob", "spans")
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.withColumn("blob", F.unhex(F.sha2(text, 256))).join(found, "blob", "left")
+    found = scan_unseen(addressed(docs), None, rules).where(F.size("spans") > 0)
+    found = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    address = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    joined = docs.select(*own, address.alias("__address")).join(found, F.col("__address") == F.col("__blob"), "left")
 
     def cut(state: Column, span: Column) -> Column:
         fresh = span["start"] >= state["at"]
@@ -167,10 +168,12 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[sec
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    joined = joined.withColumn("clean", F.when(F.col("spans").isNotNull(), F.aggregate("spans", start, cut)))
-    tail = F.substring(F.col("text"), (F.col("clean.at") + 1).cast("int"), F.length("text"))
-    joined = joined.withColumn("text", F.when(F.col("clean").isNotNull(), F.concat(F.col("clean.out"), tail)).otherwise(F.col("text")))
+    clean = F.when(F.col("__spans").isNotNull(), F.aggregate("__spans", start, cut))
+    joined = joined.withColumn("__clean", clean)
+    tail = F.substring(F.col("text"), (F.col("__clean.at") + 1).cast("int"), F.length("text"))
+    changed = F.col("__clean").isNotNull()
+    joined = joined.withColumn("text", F.when(changed, F.concat(F.col("__clean.out"), tail)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.when(F.col("clean").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+        joined = joined.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return joined.select(*own)

@@ -92,6 +92,13 @@ def test_secrets_and_ledger(spark, docs):
     assert [(s.start, s.rule, s.end) for s in found.spans] == [(0, 0, 9)]
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [(1, "a token: abcdefghij b", "x", "y", "z", 21, "p"), (2, None, None, "y", None, None, None), (3, "plain", "x", None, "z", 5, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, blob string, spans string, clean string, n_chars int, `path` string")
+    found = {tuple(r) for r in secrets.redacted(df).collect()}
+    assert found == {(1, "a [secret] b", "x", "y", "z", 12, "p"), rows[1], rows[2]}
+
+
 def test_contamination(spark, docs):
     items = spark.createDataFrame([(1, SHARED.upper()), (2, "Ärger, ZWEI"), (3, None), (4, ""), (5, "absent")], "item_id long, text string")
     for limit in (16_000_000, 0):  # broadcast and shuffled
