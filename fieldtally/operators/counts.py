@@ -283,30 +283,33 @@ def two_feed_summary(
     observer_chk: str = "observer_id",
     checklist: str = "checklist_id",
     weight: str | None = None,
+    by: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row of totals over both feeds: records, shares, science-ready share, observers.
+    """Totals over both feeds: records, shares, science-ready share, observers. One row, or one per group of ``by``.
 
     Science-ready means research-grade observations plus complete checklists, by records and by
     units (an observation or a checklist). ``weight`` names a count column of reduced checklist lines.
     """
-    obs = observations.groupBy(observer_obs).agg(
+    groups = names_of(by)
+    obs = observations.groupBy(*groups, observer_obs).agg(
         F.count(F.lit(1)).alias("_rows"), F.count_if(research).alias("_research"), F.count_if(named).alias("_named")
-    ).agg(
+    ).groupBy(*groups).agg(
         F.sum("_rows").alias("obs_records"),
         F.sum("_research").alias("research_records"),
         F.sum("_named").alias("species_level_records"),
         F.count(F.lit(1)).alias("obs_observers"),
     )
-    chk = completeness_summary(checklists, checklist, observer_chk, complete, weight=weight).select(
+    chk = completeness_summary(checklists, checklist, observer_chk, complete, groups, weight).select(
+        *groups,
         F.col("records").alias("chk_records"),
         F.col("complete_records"),
         F.col("checklists"),
         F.col("complete_checklists"),
         F.col("observers").alias("chk_observers"),
     )
-    # two one-row frames become one row: stacked, then each total picked from the row that has it
+    # the feeds' rows of a group become one row: stacked, then each total picked from the row that has it
     merged = stack(obs, chk)
-    row = merged.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in merged.columns])
+    row = merged.groupBy(*groups).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in merged.columns if c not in groups])
     records = F.col("obs_records") + F.col("chk_records")
     return row.withColumns(
         {

@@ -7,6 +7,7 @@ test a short edge list. There is no nested loop and no pair of all points with a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -172,8 +173,7 @@ def points_in_polygons(points: DataFrame, cover: Cover, x: str = "longitude", y:
 
 # ---------------------------------------------------------------------------------------- grids
 
-# Grid shapes (rows, columns) and break lists in use.
-GRID_SHAPES = {"first_park": (93, 93), "second_park": (58, 38), "first_park_older": (100, 100), "second_park_older": (40, 40)}
+# The break list in use.
 DENSITY_BREAKS = (1, 100, 250, 500, 1000, 5000, 10000, 20000, 30000)
 
 
@@ -293,54 +293,42 @@ def nearest_features(
     points: DataFrame,
     edges: DataFrame,
     layers: Sequence[str],
-    cell_sizes: Sequence[float],
     x: str = "longitude",
     y: str = "latitude",
     layer: str = "layer",
     name: str = "distance",
-    edges_per_list: int = 10000,
+    split: int = 8,
+    levels: int = 2,
 ) -> DataFrame:
     """Distance from every point to the nearest line of each layer: one row per point and layer.
 
-    Searched on coarser and coarser grids: a cell lists the edges that reach it or one of its
-    neighbours, so a distance of at most one cell is certain. Points still open after the last grid
-    meet the whole layer, which keeps the result exact: equal rows are counted once, the layer is cut
-    into lists of about ``edges_per_list`` edges, and the smallest distance over the lists wins.
+    The box of the points is cut into ``split`` x ``split`` cells, and each of these again, ``levels`` times. A cell keeps
+    the edges that may be nearest to a point in it: those no farther from its centre than the nearest one and the cell's
+    diagonal together. Work on edges is per cell and grows with the map only; every point then meets the short list of its
+    cell in one join. Fetches the four numbers of the box. Without coordinates, or without lines, the distance is NULL.
     """
-    out = F.col(name)
-    rows = points.withColumn(layer, F.explode(F.array(*[F.lit(one) for one in layers])))
-    rows = rows.withColumn(name, F.lit(None).cast("double"))
+    box = points.where(~(F.isnan(x) | F.isnan(y))).agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    left, right, bottom, top = [0.0 if v is None else float(v) for v in box]
+    kept = edges.select(layer, F.struct("x1", "y1", "x2", "y2").alias("edge"), F.lit(0).alias("_cx"), F.lit(0).alias("_cy"))
+    steps = F.sequence(F.lit(0), F.lit(split - 1))
     keys = [layer, "_cx", "_cy"]
-    for size in cell_sizes:
-        width = F.lit(float(size))
-        nearby = edges.select(
-            layer,
-            F.struct("x1", "y1", "x2", "y2").alias("edge"),
-            F.explode(
-                F.sequence(_tile(F.least("x1", "x2"), width) - 1, _tile(F.greatest("x1", "x2"), width) + 1)
-            ).alias("_cx"),
-            _tile(F.least("y1", "y2"), width).alias("_y_from"),
-            _tile(F.greatest("y1", "y2"), width).alias("_y_to"),
-        ).select(layer, "_cx", "edge", F.explode(F.sequence(F.col("_y_from") - 1, F.col("_y_to") + 1)).alias("_cy"))
-        lists = nearby.groupBy(*keys).agg(F.collect_list("edge").alias("_edges"))
-        # settled rows carry no cell and meet no list
-        open_row = out.isNull()
-        placed = rows.withColumns(
-            {"_cx": F.when(open_row, _tile(x, width)), "_cy": F.when(open_row, _tile(y, width))}
-        )
-        found = nearest_edge_distance(x, y, "_edges")
-        joined = placed.join(lists, keys, "left").withColumn("_found", found)
-        certain = F.when(F.col("_found") <= size, F.col("_found"))
-        rows = joined.withColumn(name, F.coalesce(out, certain)).drop("_cx", "_cy", "_edges", "_found")
-    fullest = edges.groupBy(layer).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    last_list = max(0, (fullest - 1) // edges_per_list)
-    part = F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.lit(last_list + 1)).cast("int")
-    lists = edges.groupBy(layer, part.alias("_part")).agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges")
-    )
-    spot = [*points.columns, layer]
-    far = rows.where(out.isNull()).groupBy(*spot).agg(F.count(F.lit(1)).alias("_copies"))
-    met = far.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(last_list)))).join(lists, [layer, "_part"], "left")
-    nearest = met.groupBy(*spot, "_copies").agg(F.min(nearest_edge_distance(x, y, "_edges")).alias(name))
-    copies = nearest.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return rows.where(out.isNotNull()).unionByName(copies.select(*spot, name))
+    for level in range(1, levels + 1):
+        width, height = (right - left) / split**level, (top - bottom) / split**level
+        cut = kept.withColumn("_cx", F.explode(F.transform(steps, lambda i: F.col("_cx") * split + i)))
+        cut = cut.withColumn("_cy", F.explode(F.transform(steps, lambda i: F.col("_cy") * split + i)))
+        centre_x, centre_y = left + (F.col("_cx") + 0.5) * width, bottom + (F.col("_cy") + 0.5) * height
+        away = cut.withColumn("_away", nearest_edge_distance(centre_x, centre_y, F.array("edge")))
+        least = away.groupBy(*keys).agg(F.min("_away").alias("_least"))
+        slack = math.hypot(width, height) * 1.001 + 1e-9 * (abs(left) + abs(right) + abs(bottom) + abs(top))
+        kept = away.join(least, keys).where(F.col("_away") <= F.col("_least") + slack).select(*keys, "edge")
+    lists = kept.groupBy(*keys).agg(F.collect_list("edge").alias("_edges"))
+    cells = split**levels
+
+    def cell_of(value: str, low: float, high: float) -> Column:
+        at = F.floor((F.col(value) - low) * (cells / (high - low))) if high > low else F.lit(0)
+        return F.when(~F.isnan(value), F.least(F.greatest(at, F.lit(0)), F.lit(cells - 1)).cast("int"))
+
+    placed = points.withColumns({"_cx": cell_of(x, left, right), "_cy": cell_of(y, bottom, top)})
+    placed = placed.withColumn(layer, F.explode(F.array(*[F.lit(one) for one in layers])))
+    joined = placed.join(lists, keys, "left").withColumn(name, nearest_edge_distance(x, y, "_edges"))
+    return joined.select(*[F.col(f"`{c}`") for c in points.columns], layer, name)

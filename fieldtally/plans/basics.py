@@ -204,6 +204,40 @@ def two_feed_totals(spark, sf):
     return counts.two_feed_summary(obs, chk, F.col("park") == "F", complete, F.col("park") != "P", weight="k")
 
 
+@query(
+    f"""
+WITH {S.SQL_LINES}, {S.SQL_HEADERS}, chk AS (SELECT * FROM lines JOIN headers USING (checklist_id)),
+a AS (SELECT o_orderstatus AS park, count(*) AS obs_records, count(*) FILTER (year(o_orderdate) < 1998) AS research_records,
+             count(DISTINCT o_custkey) AS obs_observers,
+             count(*) FILTER (o_orderpriority <> '3-MEDIUM') AS species_level_records FROM orders GROUP BY 1),
+b AS (SELECT park, count(*) AS chk_records, count(*) FILTER ({SQL_COMPLETE}) AS complete_records,
+             count(DISTINCT checklist_id) AS checklists,
+             count(DISTINCT checklist_id) FILTER ({SQL_COMPLETE}) AS complete_checklists,
+             count(DISTINCT observer_id) AS chk_observers FROM chk GROUP BY 1),
+ab AS (SELECT park, coalesce(obs_records, 0) AS obs_records, coalesce(research_records, 0) AS research_records,
+              coalesce(obs_observers, 0) AS obs_observers, coalesce(species_level_records, 0) AS species_level_records,
+              coalesce(chk_records, 0) AS chk_records, coalesce(complete_records, 0) AS complete_records,
+              coalesce(checklists, 0) AS checklists, coalesce(complete_checklists, 0) AS complete_checklists,
+              coalesce(chk_observers, 0) AS chk_observers FROM a FULL JOIN b USING (park))
+SELECT *, obs_records + chk_records AS records, obs_observers + chk_observers AS observers,
+       obs_records::DOUBLE / nullif(obs_observers, 0)::DOUBLE AS records_per_observer,
+       obs_records::DOUBLE / (obs_records + chk_records)::DOUBLE * 100.0::DOUBLE AS percent_observation_feed,
+       chk_records::DOUBLE / (obs_records + chk_records)::DOUBLE * 100.0::DOUBLE AS percent_checklist_feed,
+       research_records::DOUBLE / nullif(obs_records, 0)::DOUBLE * 100.0::DOUBLE AS percent_research,
+       species_level_records::DOUBLE / nullif(obs_records, 0)::DOUBLE * 100.0::DOUBLE AS percent_species_level,
+       (research_records + complete_records)::DOUBLE / (obs_records + chk_records)::DOUBLE * 100.0::DOUBLE AS percent_ready_records,
+       (research_records + complete_checklists)::DOUBLE / (obs_records + checklists)::DOUBLE * 100.0::DOUBLE AS percent_ready_units
+FROM ab
+"""
+)
+def two_feed_totals_by_park(spark, sf):
+    """Each park's own totals; one of the parks has no checklists."""
+    research, named = F.year("observed_on") < 1998, F.col("place_guess") != "3-MEDIUM"
+    chk = S.reduced_lines_with_headers(spark, sf, "park")
+    complete = P.is_complete(**PROTOCOL_WORDS)
+    return counts.two_feed_summary(S.order_feed(spark, sf), chk, research, complete, named, weight="k", by="park")
+
+
 @query(
     """
 SELECT o_orderstatus AS park, count(*) AS n FROM orders WHERE o_totalprice < 50000 GROUP BY o_orderstatus

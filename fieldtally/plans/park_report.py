@@ -88,6 +88,7 @@ def totals(obs: DataFrame, chk: DataFrame) -> dict[str, DataFrame]:
         "species_level": species_level,
         "records_per_observer": counts.count_distinct(obs, "user_id", "park", "observers", rows_name="records"),
         "all_parks": counts.two_feed_summary(obs, chk, P.is_research(), complete, P.all_filled("scientific_name")),
+        "per_park": counts.two_feed_summary(obs, chk, P.is_research(), complete, P.all_filled("scientific_name"), by="park"),
     }
 
 

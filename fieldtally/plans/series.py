@@ -280,16 +280,18 @@ def yearly_cumulative_totals(spark, sf):
 
 SQL_VISITS = """visits AS (
     SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS park, count(*) * 10 AS visits FROM orders
-    WHERE o_orderstatus IN ('F', 'O') AND NOT (o_orderstatus = 'O' AND year(o_orderdate) < 1997) GROUP BY ALL)"""
+    WHERE NOT (o_orderstatus = 'O' AND year(o_orderdate) < 1997) GROUP BY ALL)"""
+
+
+_OPENED = {"F": 0, "O": 1997, "P": 0}  # every status is a park
 
 
 def _visits(spark, sf):
     """Visit counts in the wide shape of the input file, then long; the second park starts in 1997."""
-    yearly = S.order_feed(spark, sf).groupBy(F.year("observed_on").alias("year")).agg(
-        (F.count_if(F.col("park") == "F") * 10).alias("F"),
-        F.nullif(F.count_if((F.col("park") == "O") & (F.year("observed_on") >= 1997)) * 10, F.lit(0)).alias("O"),
-    )
-    long = reshape.wide_to_long(yearly, ["year"], ["F", "O"], "park", "visits")
+    feed, year = S.order_feed(spark, sf), F.year("observed_on")
+    counted = [F.nullif(F.count_if((F.col("park") == park) & (year >= first)) * 10, F.lit(0)).alias(park) for park, first in _OPENED.items()]
+    yearly = feed.groupBy(year.alias("year")).agg(*counted)
+    long = reshape.wide_to_long(yearly, ["year"], list(_OPENED), "park", "visits")
     return long.where(F.col("visits").isNotNull())
 
 

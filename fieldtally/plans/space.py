@@ -171,7 +171,7 @@ FROM nearest GROUP BY park, layer
 def nearest_feature(spark, sf):
     points = S.lines(spark, sf).select("park", "longitude", "latitude").distinct()
     edges = G.edges_of(S.line_rings(spark), closed=False, keys=("layer",))
-    found = G.nearest_features(points, edges, ["trail", "road"], [4.0, 16.0])
+    found = G.nearest_features(points, edges, ["trail", "road"])
     return found.groupBy("park", "layer").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("distance") < 5).alias("near"),

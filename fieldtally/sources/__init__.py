@@ -13,7 +13,7 @@ from fieldtally.sources.readers import (
     read_watch_list,
 )
 from fieldtally.sources.inline import inline_rows
-from fieldtally.sources.writers import write_csv, write_dataset, write_geojson_points
+from fieldtally.sources.writers import csv_format, geojson_lines, write_csv, write_dataset, write_geojson_points
 
 __all__ = [
     "inline_rows",

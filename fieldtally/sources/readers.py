@@ -5,10 +5,11 @@ CSV is read with ``multiLine``, so quoted line breaks stay in their record; pass
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldtally.functions import names as N
 from fieldtally.functions.dates import date_from_text
@@ -37,8 +38,38 @@ def _read_text_table(
         .option("multiLine", multi_line)
         .csv(path)
     )
-    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in raw.columns]
-    return raw.select(*[F.nullif(cell, F.lit(MISSING_TEXT)).alias(c) for cell, c in zip(cells, raw.columns)])
+    return raw.select(*_texts(raw.columns))
+
+
+def _texts(columns: Sequence[str]) -> list[Column]:
+    """Cells as read -> blank text for empty ones, NULL for the missing text."""
+    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in columns]
+    return [F.nullif(cell, F.lit(MISSING_TEXT)).alias(c) for cell, c in zip(cells, columns)]
+
+
+def table_of_lines(
+    lines: DataFrame, header: Sequence[str], sep: str = ",", quote: str = '"', column: str = "value"
+) -> DataFrame:
+    """Lines that did not come as files (a text column of a table or a stream) as a table of texts under ``header``.
+
+    Cells follow the rules of the file readers. ``malformed`` is true for a line with too few or too many cells, whose
+    cells may then be short; it is for the caller to count or to refuse such lines.
+    """
+    fields = ", ".join(f"`{c}` STRING" for c in [*header, "_bad"])
+    options = {"sep": sep, "quote": quote, "escape": '"' if quote else "\\", "columnNameOfCorruptRecord": "_bad"}
+    parsed = lines.select(F.from_csv(F.col(column), fields, options).alias("_row")).select("_row.*")
+    return parsed.select(*_texts(header), F.col("_bad").isNotNull().alias("malformed"))
+
+
+def unparsed_cells(raw: DataFrame, wanted: StructType) -> DataFrame:
+    """One row: rows of ``raw``, and per column of ``wanted`` the filled cells that are not of its type.
+
+    The typed readers turn such cells into NULL; this counts them.
+    """
+    failed = [
+        F.count_if((F.col(f.name) != "") & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in wanted.fields
+    ]
+    return raw.agg(F.count(F.lit(1)).alias("rows"), *failed)
 
 
 def read_observation_export(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -48,7 +79,12 @@ def read_observation_export(spark: SparkSession, path: str, multi_line: bool = T
     Spark reads only the picked ones. ``multi_line=False`` lets Spark split files without line breaks in texts; else a file is
     then one task, so split large exports into several files.
     """
-    raw = normalise_names(_read_text_table(spark, path, multi_line=multi_line), sep="_")
+    return observation_export(_read_text_table(spark, path, multi_line=multi_line))
+
+
+def observation_export(raw: DataFrame) -> DataFrame:
+    """Table of texts -> typed observation export."""
+    raw = normalise_names(raw, sep="_")
     wanted = S.OBSERVATION_EXPORT
     require_columns(raw.columns, wanted.names, "observation export")
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
@@ -91,7 +127,11 @@ def canonical_observations(export: DataFrame, genus_from: str = "name") -> DataF
 
 def read_checklist_dump(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated checklist dump; quote characters in it are plain text."""
-    raw = _read_text_table(spark, path, sep="\t", quote="")
+    return checklist_dump(_read_text_table(spark, path, sep="\t", quote=""))
+
+
+def checklist_dump(raw: DataFrame) -> DataFrame:
+    """Table of texts -> the columns of a checklist dump that are used, under their plain headers."""
     by_header = {" ".join(name.replace(".", " ").split()).upper(): name for name in raw.columns}
     require_columns(list(by_header), S.CHECKLIST_DUMP, "checklist dump")
     return raw.select(*[F.col(f"`{by_header[header]}`").alias(header) for header in S.CHECKLIST_DUMP])
@@ -128,7 +168,13 @@ def read_status_list(
 
     ``skip_common_names`` drops entries already covered by another list.
     """
-    df = read_dimension_csv(spark, path)
+    return status_list(read_dimension_csv(spark, path), level, status_column, skip_common_names)
+
+
+def status_list(
+    df: DataFrame, level: str, status_column: str = "listing_status", skip_common_names: tuple[str, ...] = ()
+) -> DataFrame:
+    """Dimension table -> status list, with the status tidied."""
     require_columns(df.columns, ["scientific_name", "common_name", status_column], "status list")
     kept = df.where(~F.coalesce(F.col("common_name").isin(*skip_common_names), F.lit(False))) if skip_common_names else df
     return kept.select(
@@ -183,5 +229,10 @@ def read_rings(spark: SparkSession, path: str) -> DataFrame:
         df = _read_text_table(spark, path)
     else:
         df = spark.read.parquet(path)
+    return vertices(df)
+
+
+def vertices(df: DataFrame) -> DataFrame:
+    """Table of texts or values -> typed vertex table."""
     require_columns(df.columns, S.RINGS.names, "vertex table")
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.RINGS.fields])

@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from fieldtally.types import require_columns
 
 
+def csv_format(null_text: str = "NA") -> dict[str, object]:
+    """Cell format of result tables: doubled quotes, blanks at the ends kept, NULL as ``null_text``."""
+    return {
+        "nullValue": null_text,
+        "emptyValue": "",
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+    }
+
+
 def write_csv(df: DataFrame, path: str, null_text: str = "NA", mode: str = "overwrite") -> None:
     """Result table as a CSV directory: header, no row numbers, NULL as ``NA``.
 
@@ -18,9 +29,7 @@ def write_csv(df: DataFrame, path: str, null_text: str = "NA", mode: str = "over
     """
     if path.endswith("/"):
         raise ValueError("the output path must not end with '/'")
-    writer = df.write.mode(mode).option("header", True).option("nullValue", null_text).option("emptyValue", "")
-    writer = writer.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    writer.csv(path)
+    df.write.mode(mode).option("header", True).options(**csv_format(null_text)).csv(path)
 
 
 def write_dataset(
@@ -35,14 +44,17 @@ def write_dataset(
     df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def write_geojson_points(
-    df: DataFrame, path: str, x: str = "longitude", y: str = "latitude", mode: str = "overwrite"
-) -> None:
-    """Points as newline-delimited GeoJSON features; all other columns become properties."""
+def geojson_lines(df: DataFrame, x: str = "longitude", y: str = "latitude") -> DataFrame:
+    """One ``value`` per point: a GeoJSON feature with all other columns as properties."""
     require_columns(df.columns, [x, y], "points")
     properties = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (x, y)])
     geometry = F.struct(F.lit("Point").alias("type"), F.array(F.col(x), F.col(y)).alias("coordinates"))
-    feature = F.struct(
-        F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")
-    )
-    df.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))
+    return df.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_geojson_points(
+    df: DataFrame, path: str, x: str = "longitude", y: str = "latitude", mode: str = "overwrite"
+) -> None:
+    """Points as newline-delimited GeoJSON features."""
+    geojson_lines(df, x, y).write.mode(mode).text(path)

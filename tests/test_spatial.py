@@ -177,8 +177,8 @@ def segment_distance(px, py, a, b):
     return math.hypot(px - (a[0] + t * dx), py - (a[1] + t * dy))
 
 
-@pytest.mark.parametrize("sizes, per_list", [([0.5, 2.0, 8.0], 10000), ([1.0], 3), ([], 1)])
-def test_nearest_features_equals_brute_force(spark, sizes, per_list):
+@pytest.mark.parametrize("split, levels", [(8, 2), (3, 1), (2, 4)])
+def test_nearest_features_equals_brute_force(spark, split, levels):
     rng = random.Random(11)
     lines = {"trail": [[(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(5)] for _ in range(4)], "road": [[(0, 20), (40, 20)]]}
     table = [(layer, i, 1, k, float(x), float(y)) for layer, parts in lines.items() for i, part in enumerate(parts) for k, (x, y) in enumerate(part)]
@@ -186,7 +186,7 @@ def test_nearest_features_equals_brute_force(spark, sizes, per_list):
     points = [(rng.uniform(-5, 45), rng.uniform(-5, 25)) for _ in range(200)]
     df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "id int, longitude double, latitude double")
     twice = df.union(df.where("id < 100"))
-    found = G.nearest_features(twice, edges, ["trail", "road"], sizes, edges_per_list=per_list).collect()
+    found = G.nearest_features(twice, edges, ["trail", "road"], split=split, levels=levels).collect()
     assert len(found) == 600
     for r in found:
         x, y = points[r["id"]]
@@ -194,6 +194,14 @@ def test_nearest_features_equals_brute_force(spark, sizes, per_list):
         assert r["distance"] == pytest.approx(want, abs=1e-9)
 
 
+def test_nearest_features_without_coordinates_or_lines(spark):
+    edges = inline_rows(spark, ["layer", "x1", "y1", "x2", "y2"], [("trail", 0.0, 0.0, 1.0, 1.0)])
+    df = spark.createDataFrame([(1, 3.0, 1.0), (2, None, 1.0), (3, float("nan"), 1.0)], "id int, longitude double, latitude double")
+    found = {(r["id"], r["layer"]): r["distance"] for r in G.nearest_features(df, edges, ["trail", "road"]).collect()}
+    assert found == {(1, "trail"): 2.0, (1, "road"): None, (2, "trail"): None, (2, "road"): None, (3, "trail"): None, (3, "road"): None}
+    assert G.nearest_features(df.where("id = 9"), edges, ["trail"]).count() == 0
+
+
 def test_line_layer_clip(spark):
     edges = inline_rows(spark, ["x1", "y1", "x2", "y2"], [(0.0, 0.0, 1.0, 1.0), (5.0, 5.0, 9.0, 9.0), (-5.0, 0.5, 20.0, 0.5)])
     assert G.clip_edges(edges, 0.0, 2.0, 0.0, 2.0).count() == 2
