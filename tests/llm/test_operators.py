@@ -299,3 +299,35 @@ def test_toxicity_pairs_of_states():
             for t in range(1, n):
                 pairs[y[t - 1], y[t]] += w
         assert mine == pytest.approx(pairs / total)
+
+
+def test_licenses_over_lines_whole_texts_and_tags(spark):
+    wordings = license_scan.forms()
+    whole = {name: max((t for n, t in wordings if n == name), key=len) for name, _ in wordings}
+    edited = " ".join("other" if i % 13 == 5 else w for i, w in enumerate(whole["GPL-3.0"].split(" ")))
+    wanted = [
+        ("x\nLicensed under the Apache License,\nVersion 2.0.\ny", "Apache-2.0"),
+        ("# Licensed under\n#\n# the Apache License,\n# Version 2.0.", "Apache-2.0"),
+        ("Copyright 2020 A. N. Other\n * " + whole["MIT"].replace("\n", "\n * "), "MIT"),
+        ("some code\n" + whole["BSD-2-Clause"] + "\nmore code", "BSD-2-Clause"),
+        (whole["BSD-3-Clause"], "BSD-3-Clause"),
+        (whole["MIT"] + "\n\n" + whole["Apache-2.0"], "Apache-2.0,MIT"),
+        (edited, "GPL-3.0"),
+        (" ".join(whole["ISC"].split()), "ISC"),
+        ("Licensed under the MIT License or the Apache License, Version 2.0", "Apache-2.0,MIT"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("Licensed under CC BY-ND 4.0.", ""),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-3.0-or-later WITH Classpath-exception-2.0", "Apache-2.0,GPL-3.0,MIT"),
+        ("SPDX-License-Identifier: EUPL-1.2", "EUPL-1.2"),
+        ("no permission of any kind is named in these words", ""),
+    ]
+    found = license_scan.scanned(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(wanted)], "doc_id long, text string"))
+    rows = {r.doc_id: r for r in found.collect()}
+    assert [rows[i].licenses for i in range(len(wanted))] == [names for _, names in wanted]
+    assert [(f.line, f.last, f.changes) for f in rows[0].findings] == [(1, 2, "")] and rows[13].n_blocks == 0
+
+
+def test_every_copy_of_a_notice_is_found(spark):
+    text = "\n".join([license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["CC-BY-4.0"]] * 50)
+    row = license_scan.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_blocks == 100 and [f.line for f in row.findings] == list(range(100)) and all(f.confirmed for f in row.findings)
