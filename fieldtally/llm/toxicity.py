@@ -3,8 +3,9 @@
 Labels are given per document. A word of a toxic document is labelled toxic if its form or its beginning is clearly more
 frequent, by documents, in toxic than in other documents of all training rows; all words of other documents are not.
 The field has two states, weights for hashed features of a word and of its neighbours, and weights for the four
-transitions, and is fitted by forward-backward on a bounded sample of labelled documents. Marginals of all words give the
-spans; the document's score is a logistic function of how much toxic mass they hold.
+transitions, and is fitted by forward-backward on a bounded sample of labelled documents of any length, long ones cut into
+windows. Marginals of all words give the spans; the document's score is a logistic function of how much toxic mass they
+hold, calibrated on whole documents.
 """
 
 from __future__ import annotations
@@ -176,6 +177,25 @@ def lexicon(labelled: DataFrame, buckets: int, start: int, odds: float, least: i
     return frozenset(np.flatnonzero((table[1] >= least) & (rate >= odds)).tolist()), toxic, clean
 
 
+def windows(lengths: list[int], longest: int, budget: int) -> list[tuple[int, int, int]]:
+    """Document, first and end word of training windows of at most ``longest`` words, which cover all documents.
+
+    Where that makes more than ``budget`` words, long documents give as many windows as fit, spread over their whole text.
+    """
+    counts = np.array([-(-n // longest) for n in lengths], np.int64)
+    most = int(counts.max(initial=1))
+    low, high = 1, most
+    while low < high:  # the largest number of windows a document may give
+        middle = (low + high + 1) // 2
+        words = sum(n if c <= middle else middle * longest for n, c in zip(lengths, counts))
+        low, high = (middle, high) if words <= budget else (low, middle - 1)
+    out = []
+    for i, (n, count) in enumerate(zip(lengths, counts)):
+        for k in np.unique(np.linspace(0, count - 1, min(int(count), low)).round().astype(int)) if n else ():
+            out.append((i, int(k * n // count), int((k + 1) * n // count)))
+    return out
+
+
 def fit(
     labelled: DataFrame,
     buckets: int = 1 << 18,
@@ -186,24 +206,33 @@ def fit(
     odds: float = 8.0,
     least: int = 3,
 ) -> Field:
-    """Learns from rows ``text, toxic``. The field is fitted on at most ``sample`` documents of each label, of not more than
-    ``longest`` words, chosen by a hash of their text; the word counts behind the labels cover all rows."""
+    """Learns from rows ``text, toxic``. The field is fitted on at most ``sample`` documents of each label, of any length, chosen
+    by a hash of their text, in windows of at most ``longest`` words and ``sample * longest`` words a label; slope and level
+    are set on the whole documents. The word counts behind the labels cover all rows. Without a toxic row every document gets
+    one low score."""
     known = labelled.where("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     field = Field(buckets, start)
     field.lexicon, toxic, _ = lexicon(known, buckets, start, odds, least)
     order = F.xxhash64("text", F.lit(1))
-    short = F.length("text") <= longest * 6
-    pick = lambda want: known.where(want & short).orderBy(order).limit(sample).select("text", "toxic")
+    pick = lambda want: known.where(want).orderBy(order).limit(sample).select("text", "toxic")
     rows = pick(F.col("toxic") > 0).union(pick(F.col("toxic") <= 0)).toArrow()
     if not toxic or not rows.num_rows:
-        field.level = -3.0
+        field.slope, field.level = 0.0, -3.0
         return field
     marks = np.zeros(buckets, bool)
     marks[list(field.lexicon)] = True
     labels = np.array(rows.column("toxic").to_pylist()) > 0
     hashes = Hashes(start)
-    documents = [features(text.as_py(), buckets, hashes) for text in rows.column("text")]
-    truth = [marks[d[:, :2]].any(1).astype(float) if y else np.zeros(len(d)) for d, y in zip(documents, labels)]
+    whole = [features(text.as_py(), buckets, hashes) for text in rows.column("text")]
+    cuts = []
+    for label in (True, False):
+        mine = np.flatnonzero(labels == label)
+        cuts += [(mine[i], a, b) for i, a, b in windows([len(whole[i]) for i in mine], longest, sample * longest)]
+    documents = [whole[i][a:b] for i, a, b in cuts]
+    truth = [marks[d[:, :2]].any(1).astype(float) if labels[i] else np.zeros(len(d)) for (i, _, _), d in zip(cuts, documents)]
+    if not documents:
+        field.slope, field.level = 0.0, -3.0
+        return field
     used, place = np.unique(np.concatenate([d.ravel() for d in documents]), return_inverse=True)
     ends = np.cumsum([len(d) for d in documents])
     errors = np.zeros(ends[-1])
@@ -225,7 +254,7 @@ def fit(
         field.emit[used] += 0.7 * slope / np.sqrt(squares)
         field.bias += 0.7 * bias / np.sqrt(square_bias)
         field.step += 0.3 * step / np.sqrt(square_step)
-    mass = np.array([field.mass(m) for m in field.all_marginals(documents)])
+    mass = np.array([field.mass(m) for m in field.all_marginals(whole)])
     weight = np.where(labels, 0.5 / max(1, labels.sum()), 0.5 / max(1, (~labels).sum()))
     center, spread = mass.mean(), max(1e-6, mass.std())
     z, a, b = (mass - center) / spread, 1.0, 0.0

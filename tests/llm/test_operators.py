@@ -331,3 +331,33 @@ def test_every_copy_of_a_notice_is_found(spark):
     text = "\n".join([license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["CC-BY-4.0"]] * 50)
     row = license_scan.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.n_blocks == 100 and [f.line for f in row.findings] == list(range(100)) and all(f.confirmed for f in row.findings)
+
+
+def test_toxicity_of_long_documents(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"word{x}" for x in rng.integers(0, 300, n)]
+    rows = []
+    for i in range(60):
+        text = words(1500)
+        if i % 3 == 0:
+            text[int(rng.integers(0, 1500))] = "vileness"
+        rows.append((" ".join(text), int(i % 3 == 0)))
+    assert min(len(t) for t, _ in rows) > 4800
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"), buckets=1 << 14)
+    texts = [(1, " ".join([*words(1400), "vileness", *words(200)])), (2, " ".join(words(1600))), (3, " ".join(words(20)))]
+    schema = "doc_id long, text string"
+    found = {r.doc_id: r for r in toxicity.tagged(spark.createDataFrame(texts, schema), model).collect()}
+    assert found[1].score > 0.5 > max(found[2].score, found[3].score) and len(found[1].spans) == 1
+    plain = toxicity.fit(spark.createDataFrame([(t, 0) for t, _ in rows], "text string, toxic int"), buckets=1 << 14)
+    scores = [r.score for r in toxicity.tagged(spark.createDataFrame([*texts, (4, None), (5, " ".join(words(20_000)))], schema), plain).collect()]
+    assert max(scores) < 0.1
+
+
+def test_training_windows_cover_documents():
+    lengths = [0, 5, 800, 801, 20_000]
+    found = toxicity.windows(lengths, 800, 10**6)
+    for i, n in enumerate(lengths):
+        mine = [(a, b) for k, a, b in found if k == i]
+        assert sum(b - a for a, b in mine) == n and all(b - a <= 800 for a, b in mine)
+    few = [(a, b) for k, a, b in toxicity.windows(lengths, 800, 6000) if k == 4]
+    assert 1 < len(few) < 8 and few[0][0] == 0 and few[-1][1] == 20_000
