@@ -30,6 +30,18 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(parts)
 
 
+def distinct_labelled(rows: DataFrame, label: str) -> DataFrame:
+    """``text, label, weight, turn``: each text of a label once.
+
+    A single text weighs one, and one more each time its copies double. Texts in order of ``turn``, a number made from a
+    hash of the text, are a random sample in which a text with n copies comes as early as the first of n texts would.
+    """
+    found = rows.groupBy("text", label).agg(F.count(F.lit(1)).alias("copies"))
+    share = (F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 11) + 1).cast("double") / float(1 << 53)
+    weight = F.length(F.bin("copies")).cast("long").alias("weight")
+    return found.select("text", label, weight, (-F.log(share) / F.col("copies")).alias("turn"))
+
+
 def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a text column; NULL counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

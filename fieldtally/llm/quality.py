@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import ngram_buckets
+from fieldtally.llm.common import distinct_labelled, ngram_buckets
 
 
 def vector(text: str | None, buckets: int) -> np.ndarray:
@@ -36,17 +36,21 @@ class Model:
 
 
 def fit(rated: DataFrame, grades: int, buckets: int = 4096, sample: int = 6000, rounds: int = 300, rate: float = 0.3) -> Model:
-    """Learns from rows ``text, grade`` (0 to ``grades`` - 1): at most ``sample`` rows, chosen by a hash of their text."""
+    """Learns from rows ``text, grade`` (0 to ``grades`` - 1): at most ``sample`` distinct ones, chosen by a hash of their text.
+
+    Copies of a text with one grade are one row, that is chosen the sooner and weighs more, by the logarithm of their number.
+    """
     known = rated.where("grade is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("grade").cast("int"))
-    rows = known.orderBy(F.xxhash64("text", F.lit(1)), "grade").limit(sample).toArrow()
+    rows = distinct_labelled(known, "grade").orderBy("turn", "text", "grade").limit(sample).toArrow()
     steps = np.linspace(-1, 1, grades - 1)
     if not rows.num_rows:
         return Model(np.zeros(buckets, np.float32), steps)
     x = np.stack([vector(t.as_py(), buckets) for t in rows.column("text")])
     y = rows.column("grade").to_numpy()
     above = (y[:, None] >= np.arange(1, grades)[None, :]).astype(np.float64)
-    share = np.bincount(y, minlength=grades) / len(y)
-    weight = (1.0 / np.maximum(share[y], 1e-3)) ** 0.5
+    copies = rows.column("weight").to_numpy()
+    share = np.bincount(y, copies, minlength=grades) / copies.sum()
+    weight = copies * (1.0 / np.maximum(share[y], 1e-3)) ** 0.5
     weight /= weight.sum()
     w, first, gaps = np.zeros(buckets), steps[0], np.log(np.maximum(np.diff(steps), 1e-3))
     state = [np.zeros(buckets), np.zeros(buckets), np.zeros(grades - 1), np.zeros(grades - 1)]

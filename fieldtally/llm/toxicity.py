@@ -1,7 +1,8 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
 Labels are given per document. A word of a toxic document is labelled toxic if its form or its beginning is clearly more
-frequent, by documents, in toxic than in other documents of all training rows; all words of other documents are not.
+frequent, by documents, in toxic than in other documents of all training rows, copies counted once and once more each
+time they double; all words of other documents are not.
 The field has two states, weights for hashed features of a word and of its neighbours, and weights for the four
 transitions, and is fitted by forward-backward on a bounded sample of labelled documents of any length, long ones cut into
 windows. Marginals of all words give the spans; the document's score is a logistic function of how much toxic mass they
@@ -19,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldtally.llm.common import cut_lineage, distinct_labelled
+
 _WORD = re.compile(r"\w+")
 _FEATURES = 3  # form, beginning, previous form with this one's beginning
 
@@ -151,8 +154,8 @@ def _counts(buckets: int, start: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, known = np.zeros((2, buckets), np.int64), Hashes(start)
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-                totals[int(label > 0), np.unique(features(text.as_py(), buckets, known)[:, :2])] += 1
+            for text, label, weight in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("toxic", "weight"))):
+                totals[int(label > 0), np.unique(features(text.as_py(), buckets, known)[:, :2])] += weight
         for label in (0, 1):
             used = np.flatnonzero(totals[label])
             yield pa.RecordBatch.from_pydict({
@@ -165,11 +168,11 @@ def _counts(buckets: int, start: int):
 def lexicon(labelled: DataFrame, buckets: int, start: int, odds: float, least: int) -> tuple[frozenset[int], int, int]:
     """Buckets of words and beginnings found in ``least`` or more toxic documents and there ``odds`` times as often; documents per label.
 
-    Counted over all labelled rows; what reaches the driver is at most one number per bucket and label.
+    Counted over all rows ``text, toxic, weight``, a document as often as it weighs; what reaches the driver is at most one number per bucket and label.
     """
     counted = labelled.mapInArrow(_counts(buckets, start), "label long, bucket long, n long")
     sums = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    size = labelled.agg(F.sum((F.col("toxic") > 0).cast("long")), F.count(F.lit(1))).first()
+    size = labelled.agg(F.sum(F.when(F.col("toxic") > 0, F.col("weight"))), F.sum("weight")).first()
     toxic, clean = int(size[0] or 0), int((size[1] or 0) - (size[0] or 0))
     table = np.zeros((2, buckets))
     table[sums.column("label").to_numpy(), sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
@@ -206,15 +209,18 @@ def fit(
     odds: float = 8.0,
     least: int = 3,
 ) -> Field:
-    """Learns from rows ``text, toxic``. The field is fitted on at most ``sample`` documents of each label, of any length, chosen
-    by a hash of their text, in windows of at most ``longest`` words and ``sample * longest`` words a label; slope and level
-    are set on the whole documents. The word counts behind the labels cover all rows. Without a toxic row every document gets
-    one low score."""
-    known = labelled.where("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    """Learns from rows ``text, toxic``. The field is fitted on at most ``sample`` distinct documents of each label, of any length,
+    chosen by a hash of their text, in windows of at most ``longest`` words and ``sample * longest`` words a label; slope and
+    level are set on the whole documents. Copies of a document are one, that is chosen the sooner and weighs more, by the
+    logarithm of their number. The word counts behind the labels cover all distinct documents. Without a toxic row every
+    document gets one low score."""
+    known = labelled.where("toxic is not null").select(
+        F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic")
+    )
+    known = cut_lineage(distinct_labelled(known, "toxic"))
     field = Field(buckets, start)
-    field.lexicon, toxic, _ = lexicon(known, buckets, start, odds, least)
-    order = F.xxhash64("text", F.lit(1))
-    pick = lambda want: known.where(want).orderBy(order).limit(sample).select("text", "toxic")
+    field.lexicon, toxic, _ = lexicon(known.select("text", "toxic", "weight"), buckets, start, odds, least)
+    pick = lambda want: known.where(want).orderBy("turn", "text").limit(sample).select("text", "toxic", "weight")
     rows = pick(F.col("toxic") > 0).union(pick(F.col("toxic") <= 0)).toArrow()
     if not toxic or not rows.num_rows:
         field.slope, field.level = 0.0, -3.0
@@ -222,6 +228,7 @@ def fit(
     marks = np.zeros(buckets, bool)
     marks[list(field.lexicon)] = True
     labels = np.array(rows.column("toxic").to_pylist()) > 0
+    copies = rows.column("weight").to_numpy()
     hashes = Hashes(start)
     whole = [features(text.as_py(), buckets, hashes) for text in rows.column("text")]
     cuts = []
@@ -242,11 +249,12 @@ def fit(
         for chosen, scores, lengths in field.batches(documents):
             found = field.marginals(scores, lengths)
             for i, row, n, pair in zip(chosen, found, lengths, field.pairs(scores, lengths)):
-                off = truth[i] - row[:n]
+                much = copies[cuts[i][0]]
+                off = much * (truth[i] - row[:n])
                 errors[ends[i] - n : ends[i]] = off
                 bias += off.sum()
                 y = truth[i].astype(int)
-                step += np.bincount(2 * y[:-1] + y[1:], minlength=4).reshape(2, 2) - pair
+                step += much * (np.bincount(2 * y[:-1] + y[1:], minlength=4).reshape(2, 2) - pair)
         slope = np.bincount(place, np.repeat(errors, _FEATURES), minlength=len(used)) - 0.02 * field.emit[used]
         squares += slope**2
         square_bias += bias**2
@@ -255,7 +263,7 @@ def fit(
         field.bias += 0.7 * bias / np.sqrt(square_bias)
         field.step += 0.3 * step / np.sqrt(square_step)
     mass = np.array([field.mass(m) for m in field.all_marginals(whole)])
-    weight = np.where(labels, 0.5 / max(1, labels.sum()), 0.5 / max(1, (~labels).sum()))
+    weight = copies * np.where(labels, 0.5 / max(1, copies[labels].sum()), 0.5 / max(1, copies[~labels].sum()))
     center, spread = mass.mean(), max(1e-6, mass.std())
     z, a, b = (mass - center) / spread, 1.0, 0.0
     for _ in range(300):

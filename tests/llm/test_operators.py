@@ -361,3 +361,20 @@ def test_training_windows_cover_documents():
         assert sum(b - a for a, b in mine) == n and all(b - a <= 800 for a, b in mine)
     few = [(a, b) for k, a, b in toxicity.windows(lengths, 800, 6000) if k == 4]
     assert 1 < len(few) < 8 and few[0][0] == 0 and few[-1][1] == 20_000
+
+
+def test_copies_do_not_fill_the_training_sample(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join(f"word{x}" for x in rng.integers(0, 300, n))
+    copied, others = words(30) + " vileness", [words(30) + " spite" for _ in range(30)]
+    clean = [words(30) for _ in range(400)]
+    rows = [(t, 1) for t in [copied] * 400 + others] + [(t, 0) for t in clean + [clean[0]] * 400]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"), buckets=1 << 14, sample=40)
+    texts = [(1, copied), (2, words(10) + " spite " + words(10)), (3, words(20)), (4, " ".join(copied.split()[:-1]))]
+    found = {r.doc_id: r.score for r in toxicity.tagged(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert min(found[1], found[2]) > 0.5 > max(found[3], found[4])
+    graded = [("%%% poor", 0)] * 500 + [(f"plain text {i}", 1) for i in range(20)] + [(f"good deed {i}", 2) for i in range(20)]
+    model = quality.fit(spark.createDataFrame(graded, "text string, grade int"), 3, buckets=512, sample=41)
+    texts = [(0, "%%% poor"), (1, "plain text 99"), (2, "good deed 99")]
+    found = {r.doc_id: r.expected_grade for r in quality.graded(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert found[0] < 0.5 < found[1] < found[2]
