@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 _SPECIAL = "<|endoftext|>"
 _ODD = re.compile(r"^\s|\s\s|\s\Z")
 
@@ -119,14 +119,14 @@ def _pack(size: int, end_id: int, ranks_path: str, special_path: str, open_windo
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = Encoder(ranks_path, special_path), SumOfSquares(size, open_windows)
-        sequence, out = TaskContext.get().partitionId() << 40, [[] for _ in range(7)]
+        sequence, out = TaskContext.get().partitionId() << 40, [[] for _ in range(8)]
 
         def close(window) -> None:
             nonlocal sequence
             offset = 0
             for doc, start, ids, total in window:
                 n = len(ids) // 4
-                for column, value in zip(out, (doc, start, n, zlib.crc32(ids), total, sequence, offset)):
+                for column, value in zip(out, (doc, start, n, zlib.crc32(ids), total, sequence, offset, ids)):
                     column.append(value)
                 offset += n
             sequence += 1
@@ -159,7 +159,9 @@ def _pack(size: int, end_id: int, ranks_path: str, special_path: str, open_windo
                 close(full)
 
         def batch_of() -> pa.RecordBatch:
-            columns = [pa.array(c, pa.int64()) for c in out]
+            columns = [pa.array(c, pa.int64()) for c in out[:-1]]
+            ends = np.cumsum([0, *(len(ids) // 4 for ids in out[-1])], dtype=np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out[-1]), np.int32))))
             for c in out:
                 c.clear()
             return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PIECES.split(", ")])
@@ -191,7 +193,7 @@ def pack(
     end_id: int = 0,
     open_windows: int = 512,
 ) -> DataFrame:
-    """One row per piece of a document: its place in the document and in its window (``sequence_id, offset``).
+    """One row per piece of a document: its place in the document and in its window (``sequence_id, offset``), and its ``ids``.
 
     Every document's ids end with ``end_id``; NULL and empty texts are that id alone. Repeated rows are packed
     each on its own; a NULL ``doc_id`` stays NULL. An empty table gives no rows. Windows hold ``size`` ids, but for

@@ -174,7 +174,7 @@ def tokenizer_files() -> tuple[str, str]:
 
 @query()
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_files(), size=1024, end_id=0)
+    return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_files(), size=1024, end_id=0).drop("ids")
 
 
 def language_model(docs: DataFrame) -> language_id.Model:

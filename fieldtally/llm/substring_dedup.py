@@ -13,7 +13,6 @@ documents holds is one entry per chunk. Chance hits only cost a comparison: wind
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from itertools import compress
@@ -31,7 +30,7 @@ _CHUNKS = "chunk long, n_bytes long, ids binary, offsets binary, packed binary"
 _SENT = "bucket long, chunk long, plain binary, anchors binary"
 _FOUND = "chunk long, bucket long, found binary"
 _WINDOWS = "bucket long, chunk long, hashes binary, checks binary, owners binary"
-_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+_RESULT = "doc_id long, n_words long, n_removed long, kept binary, removed array<struct<start:bigint,end:bigint>>"
 
 
 def _packer(chunk_bytes: int):
@@ -117,7 +116,10 @@ _ARROW = {
         [("bucket", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("checks", pa.binary()), ("owners", pa.binary())]
     ),
     "result": pa.schema(
-        [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
+        [
+            ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()),
+            ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        ]
     ),
 }
 
@@ -250,10 +252,10 @@ def _repeats(group: pa.Table) -> pa.Table:
 
 
 def _remover(size: int):
-    """Word counts and the digest of the kept words, per document of a chunk."""
+    """Word counts, the kept words and the removed spans, per document of a chunk."""
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for row in left.to_pylist():
             chunk = _Chunk(row["ids"], row["offsets"], row["packed"])
             found = [np.frombuffer(r["found"], _PAIR) for r in right.to_pylist()]
@@ -281,16 +283,21 @@ def _remover(size: int):
                 out[0].append(int(doc_id))
                 out[1].append(len(mask))
                 out[2].append(int(len(mask) - mask.sum()))
-                out[3].append(hashlib.sha256(b" ".join(left_words)).hexdigest())
+                out[3].append(b" ".join(left_words))
+                edges = np.flatnonzero(np.diff(np.concatenate([[True], mask, [True]]).astype(np.int8))) if len(words) else mask
+                out[4].append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
         return _table(_ARROW["result"], out)
 
     return remove
 
 
-def remove_repeats(
+def deduplicated(
     docs: DataFrame, size: int = 13, chunk_bytes: int = 4_000_000, bucket_bytes: int = 8_000_000
 ) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256``.
+    """Per row of ``docs``: ``doc_id, n_words, n_removed``, the kept words and the removed ones.
+
+    ``kept_text`` has the kept words with one blank between them; ``removed`` has the maximal runs of removed words as numbers
+    of the first word and of the one after the last, from 0.
 
     A word goes if a window of ``size`` words (odd) covers it that also starts in a document with a smaller
     ``doc_id``. Words are runs of anything but ASCII white space. NULL text has no words. Rows that share an
@@ -315,11 +322,21 @@ def remove_repeats(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "").alias("words"),
     )
-    return result.unionByName(
+    every = result.unionByName(
         nameless.select(
             "doc_id",
             F.size("words").cast("long").alias("n_words"),
             F.lit(0).cast("long").alias("n_removed"),
-            F.sha2(F.array_join("words", " "), 256).alias("kept_sha256"),
+            F.array_join("words", " ").cast("binary").alias("kept"),
+            F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"),
         )
     )
+    return every.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"), "removed")
+
+
+def remove_repeats(
+    docs: DataFrame, size: int = 13, chunk_bytes: int = 4_000_000, bucket_bytes: int = 8_000_000
+) -> DataFrame:
+    """``doc_id, n_words, n_removed`` of ``deduplicated`` and ``kept_sha256``, the digest of its kept text."""
+    found = deduplicated(docs, size, chunk_bytes, bucket_bytes)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

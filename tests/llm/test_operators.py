@@ -378,3 +378,30 @@ def test_copies_do_not_fill_the_training_sample(spark):
     texts = [(0, "%%% poor"), (1, "plain text 99"), (2, "good deed 99")]
     found = {r.doc_id: r.expected_grade for r in quality.graded(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
     assert found[0] < 0.5 < found[1] < found[2]
+
+
+def test_deduplicated_text_and_removed_spans(docs):
+    rows = substring_dedup.deduplicated(docs, chunk_bytes=300, bucket_bytes=2_000).collect()
+    texts = {i: [w.decode() for w in (t or "").encode().split()] for i, t in TEXTS}
+    for r in rows:
+        words, gone = texts[r.doc_id], [k for s in r.removed for k in range(s.start, s.end)]
+        assert len(gone) == r.n_removed and r.kept_text == " ".join(w for k, w in enumerate(words) if k not in set(gone))
+        assert all(a.end < b.start for a, b in zip(r.removed, r.removed[1:]))
+    found = {r.doc_id: r for r in rows}
+    assert found[3].kept_text == "" and [(s.start, s.end) for s in found[4].removed] == [(3, 43)]
+    assert found[4].kept_text.startswith("other words before and after;")
+
+
+def test_packed_pieces_hold_their_ids(docs):
+    from tokenizers import Tokenizer
+
+    ranks, special = queries.tokenizer_files()
+    real = Tokenizer.from_file(special)
+    pieces = defaultdict(list)
+    for r in packing.pack(docs.where("doc_id <> 8"), ranks, special, size=64, open_windows=3).collect():
+        pieces[r.doc_id].append(r)
+        assert len(r.ids) == r.length and r.ids_crc32 == zlib.crc32(np.array(r.ids, np.uint32).tobytes())
+    for i, text in TEXTS:
+        if i not in (None, 8):
+            whole = [x for r in sorted(pieces[i], key=lambda r: r.start) for x in r.ids]
+            assert whole == real.encode(text or "", add_special_tokens=False).ids + [0]
