@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.llm import (
+    conversation_repair,
     decontamination,
     fingerprints,
     language_id,
     license_scan,
     packing,
+    periodic_runs,
     quality,
+    quality_rules,
     secrets,
     simhash_dedup,
     substring_dedup,
@@ -188,3 +191,54 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     named = language_id.identified(docs.select("doc_id", "text"), language_model(docs))
     return named.select("doc_id", held_out, "lang_pred", "score")
+
+
+@query()
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """Rows with the damage that the repair is asked to mend, and how often each of them stands there."""
+    words = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    harm = F.crc32(F.concat(words["conv_id"], F.lit(":"), words["turn"]).cast("binary")) % 20
+    text = F.when(harm == 1, F.lit("")).when(harm == 2, F.translate(words["text"], ".!?", "")).otherwise(words["text"])
+    return rows.select(
+        "conv_id", "turn", F.when(harm == 4, F.lit("user")).otherwise(words["role"]).alias("role"), text.alias("text"),
+        F.when(harm == 0, 0).when(harm == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged_conversations(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_report(rows, F.col("copies"))
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: every tenth document, by a hash of its id, goes on with a period of its own words."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    some = docs.select("doc_id", "text", hashed.alias("h"), F.when(hashed % 10 == 0, words).alias("w"))
+    start = F.when(F.size("w") > 0, F.floor(F.col("h") / 10) % F.size("w"))
+    some = some.withColumn("a", start.cast("int"))
+    period = 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.floor(F.col("h") / 10) % 8))
+    some = some.withColumn("p", period.cast("int"))
+    again = F.expr("transform(w, (x, i) -> get(w, CASE WHEN i < a THEN i ELSE a + (i - a) % p END))")
+    return some.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_period(table(spark, sf_dir, "documents"))
+    found = periodic_runs.periodic_runs(docs, times=4, least=6, hashed=True)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))
+    best = F.array_min(order)
+    length = -best["less"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), length.alias("length"),
+        best["period"].alias("period"), F.floor(1000 * length / best["period"]).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.col("kept").alias("collapsed_sha256"),
+    )
