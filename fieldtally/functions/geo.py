@@ -62,6 +62,45 @@ def inside_edges(x: ColumnLike, y: ColumnLike, edges: ColumnLike) -> Column:
     return (crossings % 2 == 1) | F.exists(ring, lambda e: _touches(e, px, py))
 
 
+def _beside(edge: Column, x: Column, y: Column) -> Column:
+    """Side of the edge's line a point is on; a point on it counts as moved a little up, and far less to the right."""
+    dx, dy = edge["x2"] - edge["x1"], edge["y2"] - edge["y1"]
+    side = dx * (y - edge["y1"]) - (x - edge["x1"]) * dy
+    return (side > 0) | ((side == 0) & ((dx > 0) | ((dx == 0) & (dy < 0))))
+
+
+def path_crosses(edge: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Does the path from a point along the x axis to ``x2`` and from there along the y axis to ``y2`` cross the edge an odd number of times?
+
+    Both legs ask on which side of the edge their common corner is, so a corner next to the edge is counted by both or by none.
+    """
+    corner = _beside(edge, x2, y1)
+    level = ((edge["y1"] > y1) != (edge["y2"] > y1)) & (_beside(edge, x1, y1) != corner)
+    upright = ((edge["x1"] > x2) != (edge["x2"] > x2)) & (corner != _beside(edge, x2, y2))
+    return level != upright
+
+
+def inside_from_anchor(
+    x: ColumnLike, y: ColumnLike, edges: ColumnLike, anchor_x: ColumnLike, anchor_y: ColumnLike, anchor_inside: ColumnLike
+) -> Column:
+    """Point in polygon from a point near by of which it is known; ``edges`` are those that come near both. The boundary is inside."""
+    px, py, ring, ax, ay = (col_of(c) for c in (x, y, edges, anchor_x, anchor_y))
+    crossings = F.size(F.filter(ring, lambda e: path_crosses(e, px, py, ax, ay)))
+    return (col_of(anchor_inside) != (crossings % 2 == 1)) | F.exists(ring, lambda e: _touches(e, px, py))
+
+
+def edge_meets_box(edge: Column, left: Column, bottom: Column, size: Column, margin: Column) -> Column:
+    """Does the edge come into a square, widened by ``margin`` on all sides? May say yes for an edge that just misses it."""
+    low_x, low_y, high_x, high_y = left - margin, bottom - margin, left + size + margin, bottom + size + margin
+    apart = (F.greatest(edge["x1"], edge["x2"]) < low_x) | (F.least(edge["x1"], edge["x2"]) > high_x)
+    apart = apart | (F.greatest(edge["y1"], edge["y2"]) < low_y) | (F.least(edge["y1"], edge["y2"]) > high_y)
+    dx, dy = edge["x2"] - edge["x1"], edge["y2"] - edge["y1"]
+    # the centre's distance from the edge's line against the reach of the square across that line
+    across = dx * (bottom + size / 2.0 - edge["y1"]) - (left + size / 2.0 - edge["x1"]) * dy
+    reach = (F.abs(dx) + F.abs(dy)) * (size / 2.0 + margin)
+    return ~apart & (F.abs(across) <= reach)
+
+
 def _position_along(px: Column, py: Column, edge: Column) -> Column:
     """Where the foot of the point falls on the segment, from 0 to 1; a segment of length 0 is a point."""
     dx, dy = edge["x2"] - edge["x1"], edge["y2"] - edge["y1"]

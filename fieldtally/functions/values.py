@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +48,21 @@ def is_filled(column: ColumnLike) -> Column:
 def message(template: str, *columns: ColumnLike) -> Column:
     """Fill a printf-style template from columns, for example ``"%s checklists"``."""
     return F.format_string(template, *[col_of(c) for c in columns])
+
+
+def two_sided_p(z: ColumnLike) -> Column:
+    """Chance that a standard normal value is at least as far from 0: a series near 0, a continued fraction beyond."""
+    x = F.abs(col_of(z)) / math.sqrt(2.0)
+    square = x * x
+
+    def term(state: Column, k: Column) -> Column:
+        power = -state["power"] * square / k
+        return F.struct(power.alias("power"), (state["sum"] + power / (2.0 * k + 1.0)).alias("sum"))
+
+    steps = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: k.cast("double"))
+    near = F.aggregate(steps, F.struct(x.alias("power"), x.alias("sum")), term, lambda s: 1.0 - s["sum"] * (2.0 / math.sqrt(math.pi)))
+    far = F.aggregate(
+        F.reverse(F.transform(F.sequence(F.lit(1), F.lit(160)), lambda k: k.cast("double") / 2.0)), x, lambda s, k: x + k / s
+    )
+    tail = F.exp(-square) / math.sqrt(math.pi) / far
+    return F.when(x.isNotNull() & ~F.isnan(x), F.when(x < 1.5, near).otherwise(tail))

@@ -6,8 +6,10 @@ Everything here works on aggregated series (a row per month), never on records.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +96,27 @@ def mean_se(
     )
 
 
+def _exact_totals(values: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Sum of real values per key that does not depend on how rows are dealt: ``keys, name, _k`` (values that are known).
+
+    A value is a whole number of at most 55 bits times a power of two. Whole numbers are summed as such, per key and power;
+    the few sums of a key are then added in the order of their powers.
+    """
+    known = F.col(value).isNotNull()
+    power = F.when(F.col(value) == 0, 0).otherwise(F.greatest(F.lit(-960), F.floor(F.log2(F.abs(value))).cast("int")))
+    whole = (F.col(value) * F.pow(F.lit(2.0), (53 - F.col("_power")).cast("double"))).cast("long").cast("decimal(38,0)")
+    rows = values.select(*keys, value, F.when(known, power).alias("_power"))
+    per_power = rows.groupBy(*keys, "_power").agg(F.sum(whole).alias("_whole"), F.count(value).alias("_k"))
+    part = F.struct(F.col("_power").alias("power"), F.col("_whole").cast("double").alias("whole"))
+    folded = per_power.groupBy(*keys).agg(
+        F.sum("_k").alias("_k"), F.array_sort(F.collect_list(F.when(F.col("_power").isNotNull(), part))).alias("_parts")
+    )
+    total = F.aggregate(
+        "_parts", F.lit(0.0), lambda s, p: s + p["whole"] * F.pow(F.lit(2.0), (p["power"] - 53).cast("double"))
+    )
+    return folded.select(*keys, total.alias(name), "_k")
+
+
 def mean_se_real(
     df: DataFrame,
     values: Mapping[str, str],
@@ -104,17 +127,41 @@ def mean_se_real(
     """Mean and standard error of real-valued measures; ``values`` maps a column to a result suffix.
 
     A missing or NaN value makes both NULL. With ``skip_missing`` it is left out, and ``n_<suffix>`` counts the values used.
+    Sums are exact up to the last step, so results are the same to the last bit however the rows are partitioned. Reads the
+    rows twice: squares are taken from the mean. An infinite value makes mean and error NaN.
     """
     groups = names_of(by)
-    out = [F.count(F.lit(1)).alias(n_name)]
-    for column, suffix in values.items():
-        known = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
-        whole = F.lit(True) if skip_missing else F.count(known) == F.count(F.lit(1))
-        out.append(F.when(whole, F.avg(known)).alias(f"mean_{suffix}"))
-        out.append(F.when(whole, F.stddev_samp(known) / F.sqrt(F.count(known).cast("double"))).alias(f"se_{suffix}"))
+    named = [F.struct(F.lit(suffix).alias("m"), F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")).alias("v")) for column, suffix in values.items()]
+    long = df.select(*groups, F.explode(F.array(*named)).alias("_l")).select(*groups, F.col("_l.m").alias("_m"), F.col("_l.v").alias("_v"))
+    keys = [*groups, "_m"]
+    infinite = F.abs("_v") == float("inf")
+    finite = long.withColumn("_v", F.when(~infinite, F.col("_v")))
+    sums = _exact_totals(finite, keys, "_v", "_sum")
+    marks = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(infinite).alias("_infinite"))
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        other = right.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+        return left.join(other, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])).drop(*[f"_of_{c}" for c in keys])
+
+    means = joined(sums, marks).withColumn("_mean", F.col("_sum") / F.nullif(F.col("_k").cast("double"), F.lit(0.0)))
+    away = joined(finite, means.select(*keys, "_mean"))
+    away = away.withColumn("_v", (F.col("_v") - F.col("_mean")) * (F.col("_v") - F.col("_mean")))
+    squares = _exact_totals(away, keys, "_v", "_squares").drop("_k")
+    known = F.col("_k") + F.col("_infinite")
+    asked = F.lit(skip_missing) | (known == F.col("_n"))
+    spread = F.sqrt(F.col("_squares") / F.nullif((F.col("_k") - 1).cast("double"), F.lit(0.0))) / F.nullif(F.sqrt(F.col("_k").cast("double")), F.lit(0.0))
+    found = joined(means, squares).select(
+        *keys, "_n", known.alias("_known"),
+        F.when(asked, F.when(F.col("_infinite") > 0, F.lit(float("nan"))).otherwise(F.col("_mean"))).alias("_mean"),
+        F.when(asked, F.when(F.col("_infinite") > 0, F.lit(float("nan"))).otherwise(spread)).alias("_se"),
+    )
+    out = [F.coalesce(F.max("_n"), F.lit(0).cast("long")).alias(n_name)]
+    for suffix in values.values():
+        mine = F.col("_m") == suffix
+        out += [F.max(F.when(mine, F.col("_mean"))).alias(f"mean_{suffix}"), F.max(F.when(mine, F.col("_se"))).alias(f"se_{suffix}")]
         if skip_missing:
-            out.append(F.count(known).alias(f"n_{suffix}"))
-    return df.groupBy(*groups).agg(*out) if groups else df.agg(*out)
+            out.append(F.coalesce(F.max(F.when(mine, F.col("_known"))), F.lit(0).cast("long")).alias(f"n_{suffix}"))
+    return found.groupBy(*groups).agg(*out) if groups else found.agg(*out)
 
 
 def period_mean_se(

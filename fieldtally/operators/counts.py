@@ -169,13 +169,14 @@ def share_of_total(
     number is the whole then, also where a join has repeated some of them.
 
     ``keep`` then drops groups from the report (blank keys) without taking them out of the
-    denominator. The total is a window over the counts, one row per group (orders, species), so the
-    records behind them are read and shuffled once.
+    denominator. The total of each group of ``by`` is a window over its counts, the total of all a scalar subquery.
     """
     total = total_name or "_total"
     groups = names_of(by)
-    if feed is None:
+    if feed is None and groups:
         whole = counts.withColumn(total, F.sum(value).over(Window.partitionBy(*groups)))
+    elif feed is None:
+        whole = counts.withColumn(total, counts.agg(F.sum(value)).scalar())
     elif groups:
         whole = with_totals(counts, count_rows(feed, groups, total), groups)
     else:

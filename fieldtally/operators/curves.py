@@ -6,8 +6,10 @@ Records are reduced by ``min`` / ``min_by`` aggregates; running totals are windo
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.operators.counts import count_rows
@@ -22,43 +24,56 @@ def first_date(
     ``strict`` also leaves out a key as soon as one of its dates is missing.
     """
     keys, out = names_of(key), name or date
-    found = df.groupBy(*keys).agg(F.min(date).alias(out), F.max(F.col(date).isNull()).alias("_gap"))
-    wanted = F.col(out).isNotNull()
+    found = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+        F.min(f"`{date}`").alias(out), F.max(F.col(f"`{date}`").isNull()).alias("_gap")
+    )
+    wanted = F.col(f"`{out}`").isNotNull()
     return found.where(wanted & ~F.col("_gap") if strict else wanted).drop("_gap")
 
 
+def _same(left: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_of_{c}`")) for c in left])
+
+
+def _smallest(df: DataFrame, keys: list[str], order: Sequence[str]) -> DataFrame:
+    """Smallest row per key by ``order`` and then by the remaining columns, among few rows per key."""
+    rest = [c for c in df.columns if c not in keys]
+    tie_break = [*order, *[c for c in rest if c not in order]]
+    row, rank = (F.struct(*[F.col(f"`{c}`") for c in columns]) for columns in (rest, tie_break))
+    found = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min_by(row, rank).alias("_row"))
+    return found.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"_row.`{c}`").alias(c) for c in rest]).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def first_row(
     df: DataFrame, key: str | Sequence[str], order: Sequence[str], strict: bool = False
 ) -> DataFrame:
     """Whole first row per key in the order of the ``order`` columns, the first of which is the date.
 
     Ties that ``order`` leaves open fall back to the remaining columns, so the row is well defined.
-    One aggregation, but over whole rows, which Spark sorts by key within each task.
+    Only key and date are aggregated over all rows; the rows of each first date are fetched by a semi-join, and whole rows are
+    compared among those few.
     """
     keys = names_of(key)
     require_columns(df.columns, [*keys, *order], "first row")
-    date = order[0]
-    rest = [c for c in df.columns if c not in keys]
-    tie_break = [*order, *[c for c in rest if c not in order]]
-    # rows without a date never win; their key goes in strict mode
-    dated = F.col(date).isNotNull()
-    row = F.struct(*[F.col(f"`{c}`") for c in rest])
-    rank = F.when(dated, F.struct(*[F.col(f"`{c}`") for c in tie_break]))
-    found = df.groupBy(*keys).agg(F.min_by(row, rank).alias("_row"), F.max(~dated).alias("_gap"))
-    wanted = F.col(f"_row.`{date}`").isNotNull()
-    kept = found.where(wanted & ~F.col("_gap") if strict else wanted)
-    return kept.select(*[F.col(k) for k in keys], *[F.col(f"_row.`{c}`").alias(c) for c in rest]).select(*df.columns)
+    firsts = first_date(df, keys, order[0], strict)
+    named = firsts.withColumnsRenamed({c: f"_of_{c}" for c in firsts.columns})
+    return _smallest(df.join(named, _same([*keys, order[0]]), "left_semi"), keys, order)
 
 
 def one_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep one row per key, the smallest by ``order`` and then by the remaining columns."""
+    """Keep one row per key, the smallest by ``order`` and then by the remaining columns; a missing value is the smallest.
+
+    As in :func:`first_row` only the key and the first column of ``order`` are aggregated over all rows.
+    """
     keys = names_of(key)
-    rest = [c for c in df.columns if c not in keys]
-    tie_break = [*order, *[c for c in rest if c not in order]]
-    row = F.struct(*[F.col(f"`{c}`") for c in rest])
-    rank = F.struct(*[F.col(f"`{c}`") for c in tie_break])
-    found = df.groupBy(*keys).agg(F.min_by(row, rank).alias("_row"))
-    return found.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest]).select(*df.columns)
+    if not order:
+        return _smallest(df, keys, order)
+    first = F.col(f"`{order[0]}`")
+    least = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min(first).alias("_least"), F.max(first.isNull()).alias("_gap"))
+    named = least.select(
+        *[F.col(f"`{k}`").alias(f"_of_{k}") for k in keys], F.when(~F.col("_gap"), F.col("_least")).alias(f"_of_{order[0]}")
+    )
+    return _smallest(df.join(named, _same([*keys, order[0]]), "left_semi"), keys, order)
 
 
 def running_total(

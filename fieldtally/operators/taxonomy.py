@@ -13,22 +13,19 @@ from fieldtally.operators.curves import one_per_key
 from fieldtally.types import ColumnLike, names_of
 
 
-def enrich(df: DataFrame, taxonomy: DataFrame, key: str = "scientific_name", salts: int = 1) -> DataFrame:
+def enrich(df: DataFrame, taxonomy: DataFrame, key: str = "scientific_name") -> DataFrame:
     """Left join to the taxonomy; a name listed several times fans out.
 
-    No hint: Spark broadcasts a list under its size threshold, and sorts and merges a larger one. A blank or missing
-    name matches nothing; as there can be very many, each such record goes to a join key of its own hash.
-    ``salts`` spreads every other name over that many join keys, for a list too large to broadcast and a
-    name that holds a large share of the records: the salt is a hash of the record, so a retried
-    task gives the same one, and the taxonomy is repeated once per salt.
+    No hint: Spark broadcasts a list under its size threshold, and sorts and merges a larger one, where adaptive execution splits
+    a name that holds a large share of the records. A blank or missing name matches nothing, and there can be very many: such
+    records do not take part in the join and are added behind it. Only the columns that are asked for are read.
     """
-    record = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    filled = F.coalesce(F.trim(F.col(key).cast("string")) != "", F.lit(False))
-    salt = F.when(filled, F.pmod(record, F.lit(salts)) if salts > 1 else F.lit(0).cast("long"))
-    salt = salt.otherwise(-1 - F.pmod(record, F.lit(1 << 20)))
+    name = F.coalesce(F.trim(F.col(key).cast("string")), F.lit(""))
     named = taxonomy.where(F.trim(F.col(key).cast("string")) != "")
-    repeated = named.withColumn("_salt", F.explode(F.sequence(F.expr("0L"), F.expr(f"{max(salts, 1) - 1}L"))))
-    return df.withColumn("_salt", salt).join(repeated, [key, "_salt"], "left").drop("_salt")
+    joined = df.where(name != "").join(named, key, "left")
+    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in taxonomy.schema.fields if f.name != key]
+    blank = df.where(name == "").select(key, *[F.col(f"`{c}`") for c in df.columns if c != key], *added)
+    return joined.unionAll(blank)
 
 
 def counts_by_rank(

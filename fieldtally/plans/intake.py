@@ -63,10 +63,7 @@ def observation_lines(spark, sf):
 def observation_cells_unparsed(spark, sf):
     """Cells that the typed reader turns into NULL because they are no numbers, and lines with a wrong count of cells."""
     raw = _export_lines(spark, sf)
-    bad = readers.unparsed_cells(raw, schemas.OBSERVATION_EXPORT).select("rows", "positional_accuracy", "latitude")
-    return reshape.stack(bad, raw.agg(F.count_if("malformed").alias("malformed"))).agg(
-        *[F.max(c).alias(c) for c in ("rows", "positional_accuracy", "latitude", "malformed")]
-    )
+    return readers.unparsed_cells(raw, schemas.OBSERVATION_EXPORT).select("rows", "positional_accuracy", "latitude", "malformed")
 
 
 @query(
@@ -93,7 +90,7 @@ def checklist_lines(spark, sf):
         F.concat_ws("\t", *[cells.get(h, F.lit("")) for h in schemas.CHECKLIST_DUMP]).alias("value")
     )
     header = [h.replace(" ", ".") for h in schemas.CHECKLIST_DUMP]
-    found = readers.canonical_checklists(readers.checklist_dump(readers.table_of_lines(lines, header, sep="\t", quote="")))
+    found = readers.canonical_checklists(readers.checklist_dump(readers.cells_of_lines(lines, header, "\t")))
     return found.select("checklist_id", "observer_id", "obs_date", "count", "duration_min", "protocol", "all_species_reported")
 
 
@@ -120,6 +117,23 @@ def status_list_lines(spark, sf):
     return readers.status_list(table, "state", skip_common_names=("Brand#11",))
 
 
+@query(
+    """
+SELECT p_name AS scientific_name, nullif(p_brand, 'Brand#22') AS common_name, CASE WHEN p_size > 25 THEN 'invasive' ELSE 'pest' END AS category,
+       CASE WHEN p_size % 2 = 0 THEN 'Y' ELSE '' END AS in_park
+FROM part
+"""
+)
+def watch_list_lines(spark, sf):
+    """A watch list whose presence column has a name of its own; one brand is written as missing."""
+    present = F.when(F.col("p_size") % 2 == 0, "Y").otherwise("")
+    brand = F.when(F.col("p_brand") == "Brand#22", "NA").otherwise(F.col("p_brand"))
+    kind = F.when(F.col("p_size") > 25, "invasive").otherwise("pest")
+    lines = S.table(spark, sf, "part").select(F.concat_ws(",", _quoted(F.col("p_name")), brand, kind, present).alias("value"))
+    table = readers.table_of_lines(lines, ["Scientific Name", "Common Name", "Category", "North Park"]).drop("malformed")
+    return readers.watch_list(table, "north_park")
+
+
 @query(
     """
 SELECT CAST(s_suppkey AS VARCHAR) AS poly_id, count(*) AS edges, 4.0::DOUBLE * (1 + s_nationkey) AS outline

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from fieldtally.functions import names as N
 from fieldtally.operators import calendar as K
 from fieldtally.operators import counts, curves, participation, predicates as P, reshape, spatial, stats, taxonomy
+from fieldtally.lineage import cut_lineage
 from fieldtally.operators import watchlist as W
+from fieldtally.sources.inline import inline_rows
 from fieldtally.sources.writers import write_dataset
 
 TOTAL_CHECKLISTS, COMPLETE_CHECKLISTS = "Total checklists", "Complete checklists"
@@ -192,24 +194,32 @@ def visit_rates(obs: DataFrame, chk: DataFrame, visits: DataFrame, settings: Set
 
 
 def coverage(obs: DataFrame, chk: DataFrame, parks: DataFrame, settings: Settings) -> dict[str, DataFrame]:
-    """Per park with a grid: zero-filled cells with density classes, and the share of covered cells."""
-    out = {}
+    """Zero-filled cells with density classes and the share of covered cells, of all parks with a grid in one pass."""
+    if not settings.grid_shapes:
+        return {}
     relabelled = chk
     for checklist, label in settings.relabel.items():
         relabelled = relabelled.withColumn("locality", P.relabelled("locality", "checklist_id", [checklist], label))
     (key,) = [c for c in parks.columns if c not in ("x1", "y1", "x2", "y2")]
-    for park, (rows, cols) in settings.grid_shapes.items():
-        located = relabelled.where(F.col("park") == park)
-        if park in settings.hotspots:
-            located = located.where(P.not_hotspot("locality", settings.hotspots[park]))
-        points = reshape.stack_strict(
-            obs.where(F.col("park") == park).select("longitude", "latitude"), located.select("longitude", "latitude")
-        )
-        grid = spatial.grid_over(points, rows, cols, pad=settings.grid_pads.get(park, (0.01, 0.01, 0.01, 0.01)))
-        cells = spatial.zero_filled_grid(spatial.grid_counts(points, grid), grid)
-        cover = spatial.cover_of(parks.where(F.col(key) == park), (key,))
-        out[f"grid_{park}"] = cells.withColumn("density", spatial.density_class("count", settings.density_breaks))
-        out[f"grid_coverage_{park}"] = spatial.grid_coverage(cells, cover)
+    names = list(settings.grid_shapes)
+    rows = [(n, *settings.grid_shapes[n], *map(float, settings.grid_pads.get(n, (0.01,) * 4))) for n in names]
+    shapes = inline_rows(obs.sparkSession, ["park", "rows", "cols", "left", "right", "bottom", "top"], rows)
+    kept = F.lit(True)
+    for park, hotspot in settings.hotspots.items():
+        kept = kept & ((F.col("park") != park) | P.not_hotspot("locality", hotspot))
+    points = reshape.stack_strict(
+        obs.where(F.col("park").isin(*names)).select("park", "longitude", "latitude"),
+        relabelled.where(F.col("park").isin(*names) & kept).select("park", "longitude", "latitude"),
+    )
+    grids = cut_lineage(spatial.grid_table(points, shapes))
+    cells = cut_lineage(spatial.zero_filled_grids(spatial.grid_counts_by(points, grids), grids))
+    classed = cells.withColumn("density", spatial.density_class("count", settings.density_breaks))
+    covered = spatial.grid_coverage(cells, spatial.cover_of(parks.where(F.col(key).isin(*names)), (key,)), own="park")
+    out = {"grids": classed, "grid_coverage": covered.withColumnRenamed(key, "park")}
+    for park in names:
+        here = F.col("park") == park
+        out[f"grid_{park}"] = classed.where(here).drop("park")
+        out[f"grid_coverage_{park}"] = out["grid_coverage"].where(here).drop("park")
     return out
 
 

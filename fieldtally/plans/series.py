@@ -133,12 +133,9 @@ SELECT {_MEAN_SE} FROM richness
 """
 )
 def richness_per_checklist(spark, sf):
-    # the line-level tests run before the count, the header-level ones on one row per checklist
-    long_enough = S.lines(spark, sf).where(P.is_species() & (F.col("duration_min") >= P.MIN_DURATION))
-    richness = counts.count_rows(long_enough, "checklist_id", "richness")
-    standard = (F.col("all_species_reported") == 1) & (F.col("protocol") != S.INCIDENTAL)
-    complete = S.headers(spark, sf).where(standard).select("checklist_id")
-    return K.mean_se(richness.join(complete, "checklist_id", "left_semi"), "richness")
+    reduced = S.reduced_lines_with_headers(spark, sf, "category")
+    complete = reduced.where(P.is_species() & P.is_complete(**PROTOCOL_WORDS))
+    return K.mean_se(counts.count_rows(complete, "checklist_id", "richness", "k"), "richness")
 
 
 def _first_dates(spark, sf):
@@ -157,6 +154,20 @@ def first_record_date(spark, sf):
     return curves.first_date(_first_dates(spark, sf), ["park", "observer_id"], "obs_date")
 
 
+@query(
+    """
+SELECT part_id, min(d) AS obs_date FROM (
+    SELECT l_partkey AS part_id, CASE WHEN l_linenumber < 7 OR l_quantity <= 40 THEN CAST(l_shipdate AS DATE) END AS d FROM lineitem)
+GROUP BY part_id HAVING count(*) = count(d)
+"""
+)
+def first_record_strict(spark, sf):
+    """First dates where every date of the taxon is known."""
+    known = (F.col("line") < 7) | (F.col("duration_min") <= 40)
+    dated = S.lines(spark, sf).withColumn("obs_date", F.when(known, F.col("obs_date")))
+    return curves.first_date(dated, "part_id", "obs_date", strict=True)
+
+
 _FIRST_COLUMNS = ["observer_id", "obs_date", "checklist_id", "line", "part_id", "site_id", "duration_min", "longitude"]
 
 

@@ -8,6 +8,7 @@ from fieldtally.functions.geo import mercator_to_lat, mercator_to_lon
 from fieldtally.operators import counts, spatial as G
 from fieldtally.plans import standin as S
 from fieldtally.plans.registry import query
+from fieldtally.sources.inline import inline_rows
 
 def _inside_sql(points: str) -> str:
     """Points (id, x, y, ...) paired with every edge, grouped to one verdict per point and polygon."""
@@ -95,6 +96,67 @@ def grid_zero_filled(spark, sf):
     return G.zero_filled_grid(G.grid_counts(points, grid), grid)
 
 
+SQL_GRIDS = f"""{S.SQL_LINES}, boxes AS (
+    SELECT park, min(longitude) - 0.01::DOUBLE AS xmin, max(longitude) + 0.02::DOUBLE AS xmax, min(latitude) - 0.03::DOUBLE AS ymin,
+           max(latitude) + 0.04::DOUBLE AS ymax, CASE park WHEN 'F' THEN 12 ELSE 9 END AS rows, CASE park WHEN 'F' THEN 20 ELSE 31 END AS cols
+    FROM lines GROUP BY park)"""
+
+
+@query(
+    f"""
+WITH {SQL_GRIDS}
+SELECT park, CAST(least(floor((ymax - latitude) * (rows::DOUBLE / (ymax - ymin))), rows - 1) AS INTEGER) AS "row",
+       CAST(least(floor((longitude - xmin) * (cols::DOUBLE / (xmax - xmin))), cols - 1) AS INTEGER) AS col, count(*) AS count
+FROM lines JOIN boxes USING (park) GROUP BY ALL
+"""
+)
+def grid_counts_by_park(spark, sf):
+    """Cells of both parks, each on its own grid, from one scan for the extents and one for the counts."""
+    points = S.lines(spark, sf).select("park", "longitude", "latitude")
+    shapes = inline_rows(spark, ["park", "rows", "cols", "left", "right", "bottom", "top"], [(p, r, c, 0.01, 0.02, 0.03, 0.04) for p, r, c in (("F", 12, 20), ("O", 9, 31))])
+    return G.grid_counts_by(points, G.grid_table(points, shapes))
+
+
+# One square per supplier, one in seven of them in the same place, and points on and around them.
+_SQUARES = """squares AS (
+    SELECT s_suppkey AS poly_id, CASE WHEN s_suppkey % 7 = 0 THEN 100.0::DOUBLE ELSE (s_suppkey % 37) * 10.0::DOUBLE END AS x,
+           CASE WHEN s_suppkey % 7 = 0 THEN 100.0::DOUBLE ELSE (s_suppkey % 41) * 10.0::DOUBLE END AS y,
+           (1 + s_nationkey) * 0.5::DOUBLE AS side FROM supplier),
+spots AS (
+    SELECT l_orderkey, CASE WHEN l_linenumber < 3 THEN 100.0::DOUBLE + (l_partkey % 16) * 0.25::DOUBLE ELSE (l_partkey % 400) * 0.9375::DOUBLE END AS x,
+           CASE WHEN l_linenumber < 3 THEN 100.0::DOUBLE + (l_orderkey % 16) * 0.25::DOUBLE ELSE (l_orderkey % 420) * 0.9375::DOUBLE END AS y FROM lineitem)"""
+
+
+@query(
+    f"""
+WITH {_SQUARES}, distinct_spots AS (SELECT x, y, count(*) AS k FROM spots GROUP BY x, y)
+SELECT poly_id, CAST(sum(k) AS BIGINT) AS n, min(p.x) AS west, max(p.y) AS north
+FROM distinct_spots p JOIN squares s ON p.x BETWEEN s.x AND s.x + side AND p.y BETWEEN s.y AND s.y + side GROUP BY poly_id
+"""
+)
+def points_in_square_per_supplier(spark, sf):
+    """A layer from a table, of squares of many sizes, some on top of each other; a third of the points is in one cell."""
+    sevenths, place = F.col("s_suppkey") % 7 == 0, lambda n: (F.col("s_suppkey") % n) * 10.0
+    squares = S.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("poly_id"), F.when(sevenths, 100.0).otherwise(place(37)).alias("x"),
+        F.when(sevenths, 100.0).otherwise(place(41)).alias("y"), ((1 + F.col("s_nationkey")) * 0.5).alias("side"),
+    )
+    corner = F.posexplode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))]))
+    corners = squares.select("poly_id", "x", "y", "side", corner.alias("seq", "c"))
+    rings = corners.select(
+        "poly_id", F.lit(1).alias("part"), F.lit(1).alias("ring"), "seq",
+        (F.col("x") + F.col("side") * F.col("c.i")).alias("x"), (F.col("y") + F.col("side") * F.col("c.j")).alias("y"),
+    )
+    near = F.col("l_linenumber") < 3
+    spots = S.table(spark, sf, "lineitem").select(
+        F.when(near, 100.0 + (F.col("l_partkey") % 16) * 0.25).otherwise((F.col("l_partkey") % 400) * 0.9375).alias("x"),
+        F.when(near, 100.0 + (F.col("l_orderkey") % 16) * 0.25).otherwise((F.col("l_orderkey") % 420) * 0.9375).alias("y"),
+    )
+    places = spots.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"))
+    found = G.points_in_polygons(places, G.cover_of(G.edges_of(rings)), "x", "y")
+    return found.groupBy("poly_id").agg(F.sum("k").alias("n"), F.min("x").alias("west"), F.max("y").alias("north"))
+
+
 @query(
     f"""
 WITH {SQL_GRID}, centres AS (SELECT cell AS id, x, y FROM filled), {_inside_sql("centres")}

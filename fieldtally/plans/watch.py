@@ -67,12 +67,12 @@ FROM feed WHERE scientific_name IN (SELECT scientific_name FROM watch WHERE cate
 """
 )
 def watch_rare(spark, sf):
-    return W.newest_first(W.rare(_feed(spark, sf), S.watch_list(spark)))
+    return W.rare(_feed(spark, sf), S.watch_list(spark))
 
 
 @query(f"WITH {SQL_FEED}, {SQL_INVASIVE} SELECT * FROM invasive")
 def watch_invasive(spark, sf):
-    return W.newest_first(W.invasive(_feed(spark, sf), S.watch_list(spark)))
+    return W.invasive(_feed(spark, sf), S.watch_list(spark))
 
 
 @query(

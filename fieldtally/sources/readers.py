@@ -1,11 +1,13 @@
 """File readers. Every reader declares its schema, so no file is read twice to guess types.
 
 CSV is read with ``multiLine``, so quoted line breaks stay in their record; pass ``multi_line=False`` for files without any, which Spark can then split.
+The checklist dump has no quoting, so its cells hold no line breaks: it is read as lines, in as many tasks as its size asks for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,14 +63,64 @@ def table_of_lines(
     return parsed.select(*_texts(header), F.col("_bad").isNotNull().alias("malformed"))
 
 
+@dataclass(frozen=True)
+class LineTable:
+    """Well-formed lines as a table of texts, and the others as they stand: ``file, line, cells`` (how many they have)."""
+
+    rows: DataFrame
+    malformed: DataFrame
+
+
+def cells_of_lines(lines: DataFrame, header: Sequence[str], sep: str, column: str = "value") -> DataFrame:
+    """Unquoted lines as a table of texts under ``header``, with ``malformed`` for a wrong number of cells.
+
+    A line is cut once, at every ``sep``; only cells that are asked for become texts.
+    """
+    cut = lines.select(_without_return(column).alias("_line")).select(F.split("_line", _literally(sep), -1).alias("_cells"))
+    cells = [F.nullif(F.coalesce(F.get("_cells", F.lit(i)), F.lit("")), F.lit(MISSING_TEXT)).alias(c) for i, c in enumerate(header)]
+    return cut.select(*cells, (F.size("_cells") != len(header)).alias("malformed"))
+
+
+def _literally(sep: str) -> str:
+    return "".join(f"\\x{ord(c):02x}" for c in sep)
+
+
+def _without_return(column: str) -> Column:
+    """The line without the carriage return of a foreign line end."""
+    text = F.col(column)
+    return F.when(text.endswith("\r"), F.expr(f"left(`{column}`, length(`{column}`) - 1)")).otherwise(text)
+
+
+def read_line_table(spark: SparkSession, path: str, sep: str = "\t") -> LineTable:
+    """Files of unquoted cells, one line a row, split over tasks at line ends wherever Spark likes.
+
+    The header is the first line of the first file; lines equal to it head the other files and are left out, as are blank ones. A
+    line with too few or too many cells is not guessed at: it goes to ``malformed``, with its file.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    first = lines.select(_without_return("value").alias("value")).head(1)
+    if not first:
+        raise ValueError(f"no header in {path}")
+    header = first[0][0]
+    names = header.removeprefix("\ufeff").split(sep)
+    filled = lines.select("value", F.col("_metadata.file_path").alias("file"))
+    filled = filled.where((_without_return("value") != header) & (F.trim(_without_return("value")) != ""))
+    size = F.size(F.split("value", _literally(sep), -1))
+    good = cells_of_lines(filled.where(size == len(names)), names, sep).drop("malformed")
+    bad = filled.where(size != len(names)).select("file", _without_return("value").alias("line"), size.alias("cells"))
+    return LineTable(good, bad)
+
+
 def unparsed_cells(raw: DataFrame, wanted: StructType) -> DataFrame:
     """One row: rows of ``raw``, and per column of ``wanted`` the filled cells that are not of its type.
 
-    The typed readers turn such cells into NULL; this counts them.
+    The typed readers turn such cells into NULL; this counts them, and lines that are ``malformed`` where ``raw`` marks those.
     """
     failed = [
         F.count_if((F.col(f.name) != "") & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in wanted.fields
     ]
+    if "malformed" in raw.columns:
+        failed.append(F.count_if("malformed").alias("malformed"))
     return raw.agg(F.count(F.lit(1)).alias("rows"), *failed)
 
 
@@ -126,8 +178,13 @@ def canonical_observations(export: DataFrame, genus_from: str = "name") -> DataF
 
 
 def read_checklist_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated checklist dump; quote characters in it are plain text."""
-    return checklist_dump(_read_text_table(spark, path, sep="\t", quote=""))
+    """Tab-separated checklist dump; quote characters in it are plain text. Malformed lines are in :func:`malformed_checklist_lines`."""
+    return checklist_dump(read_line_table(spark, path).rows)
+
+
+def malformed_checklist_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a checklist dump with a wrong number of cells: ``file, line, cells``."""
+    return read_line_table(spark, path).malformed
 
 
 def checklist_dump(raw: DataFrame) -> DataFrame:
@@ -187,7 +244,12 @@ def status_list(
 def read_watch_list(spark: SparkSession, path: str, in_park_column: str | None = None) -> DataFrame:
     """Watch list from CSV or a Parquet directory, with the presence column renamed to ``in_park``."""
     is_text = path.rstrip("/").lower().endswith((".csv", ".csv.gz", ".txt"))
-    df = normalise_names(_read_text_table(spark, path) if is_text else spark.read.parquet(path), sep="_")
+    return watch_list(_read_text_table(spark, path) if is_text else spark.read.parquet(path), in_park_column)
+
+
+def watch_list(df: DataFrame, in_park_column: str | None = None) -> DataFrame:
+    """Table of texts -> watch list."""
+    df = normalise_names(df, sep="_")
     common = F.col("common_name") if "common_name" in df.columns else F.lit(None).cast("string")
     in_park = F.col(in_park_column) if in_park_column else F.lit(None).cast("string")
     return df.select("scientific_name", common.alias("common_name"), "category", in_park.alias("in_park"))

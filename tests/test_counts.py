@@ -4,9 +4,12 @@ import datetime as dt
 import math
 import statistics
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from fieldtally.operators.calendar import mean_se_real
 from fieldtally.operators import calendar as K
 from fieldtally.operators import columns as C
 from fieldtally.operators import counts, participation, predicates as P, reshape, taxonomy
@@ -293,7 +296,6 @@ def test_enrich_once_and_fan_out(spark, rows):
     taxa = inline_rows(spark, ["scientific_name", "order"], [("a", "Z"), ("a", "Y")])
     assert rows(taxonomy.enrich_once(totals, taxa, ["order"])) == [("a", 3, "Y"), ("b", 1, None)]
     assert taxonomy.enrich(totals, taxa).count() == 3
-    assert rows(taxonomy.enrich(totals, taxa, salts=3)) == rows(taxonomy.enrich(totals, taxa))
     by_order = taxonomy.counts_by_rank(totals, taxa, "order", weight="total")
     assert rows(by_order) == [(None, 1), ("Y", 3), ("Z", 3)]
 
@@ -303,20 +305,17 @@ def test_ranked_summary(spark, rows):
     assert rows(taxonomy.ranked_summary(df, "u")) == [(1, "c", 2), (2, "a", 1), (3, "b", 1)]
 
 
-def test_a_hot_name_is_spread_by_salts(spark):
-    hot = spark.range(3000).select("id", F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("n"), "id")).alias("scientific_name"))
-    taxa = hot.select("scientific_name", F.upper("scientific_name").alias("order")).distinct()
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = taxonomy.enrich(hot, taxa, salts=16)
-        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert sum(sizes) == 3000 and joined.where("order <> upper(scientific_name)").count() == 0
-    # without salts one of the four tasks would hold the 2000 hot rows
-    assert max(sizes) < 1500
+def test_enrich_reads_only_what_is_asked_for(spark, tmp_path, rows):
+    """Counting by a rank reads the name alone; records without a name do not meet the taxonomy but stay."""
+    names = F.when(F.col("id") % 3 == 0, F.lit(" ")).when(F.col("id") % 3 == 1, F.concat(F.lit("n"), F.col("id") % 5))
+    spark.range(300).select("id", names.alias("scientific_name"), F.create_map(F.lit("a"), "id").alias("extra")).write.parquet(f"{tmp_path}/r")
+    taxa = inline_rows(spark, ["scientific_name", "order"], [("n1", "A"), ("n2", "B"), ("n2", "C"), (" ", "never"), (None, "never")])
+    joined = taxonomy.enrich(spark.read.parquet(f"{tmp_path}/r"), taxa)
+    by_order = joined.groupBy("order").count()
+    assert rows(by_order) == [(None, 260), ("A", 20), ("B", 20), ("C", 20)]
+    assert joined.columns == ["scientific_name", "id", "extra", "order"]
+    plan = by_order._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema: struct<scientific_name:string>") >= 2 and "extra" not in plan
 
 
 def test_row_numbers_over_many_partitions(spark):
@@ -350,3 +349,25 @@ def test_shares_frequencies_and_hierarchies_per_park(spark):
     }
     tree = taxonomy.parent_child(df, ["name"], by="park")
     assert got(tree, "park", "labels", "num_obs") == {("a", "x", 2), ("a", "y", 1), ("b", "x", 1), (None, "y", 2)}
+
+
+def test_real_means_do_not_depend_on_partitions(spark):
+    """Equal to the last bit for any dealing of the rows, and right."""
+    import statistics
+
+    rng = random.Random(12)
+    values = [rng.uniform(-1, 1) * 10.0 ** rng.randint(-12, 12) for _ in range(4000)]
+    table = [(i % 2, v, None if i % 50 == 0 else v * 3) for i, v in enumerate(values)] + [(2, 5.0, None), (3, float("inf"), 1.0), (3, 1.0, 2.0)]
+    df = spark.createDataFrame(table, "park int, v double, w double")
+    found = []
+    for dealt in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("v")), df.repartition(3, "w")):
+        means = mean_se_real(dealt, {"v": "v", "w": "w"}, "park", skip_missing=True)
+        found.append(sorted(map(str, means.collect())))
+    assert all(f == found[0] for f in found)
+    by = {r["park"]: r for r in mean_se_real(df, {"v": "v", "w": "w"}, "park").collect()}
+    for park in (0, 1):
+        mine = [v for p, v, _ in table if p == park]
+        assert by[park]["mean_v"] == pytest.approx(statistics.fmean(mine), rel=1e-12)
+        assert by[park]["se_v"] == pytest.approx(statistics.stdev(mine) / len(mine) ** 0.5, rel=1e-12)
+    assert by[0]["mean_w"] is None and by[2]["se_v"] is None and by[2]["mean_v"] == 5.0 and math.isnan(by[3]["mean_v"])
+    assert by[3]["mean_w"] == 1.5 and mean_se_real(df.limit(0), {"v": "v"}).first()["n"] == 0

@@ -1,5 +1,6 @@
 """First records and cumulative series."""
 
+import random
 import datetime as dt
 
 import pytest
@@ -104,3 +105,21 @@ def test_yearly_totals_start_at_zero(spark, rows):
 def test_one_per_key(spark, rows):
     df = inline_rows(spark, ["k", "a", "b"], [("x", 2, "p"), ("x", 1, "r"), ("x", 1, "q"), ("y", 5, "z")])
     assert rows(curves.one_per_key(df, "k", ["a"])) == [("x", 1, "q"), ("y", 5, "z")]
+
+
+def test_first_rows_are_found_late(spark):
+    """Whole rows are compared only where the first date is shared; over all rows key and date are aggregated."""
+    rng = random.Random(2)
+    table = [(rng.choice(["a", "b", None, "c"]), rng.choice([None, "2020-01-01", "2020-01-02", "2020-01-02"]), rng.randint(0, 9), "x" * rng.randint(0, 3)) for _ in range(300)]
+    df = spark.createDataFrame(table, "k string, d string, n int, `t.x` string").withColumn("d", F.col("d").cast("date"))
+    rank = lambda r: (r[1], r[2], r[3])
+    wanted = [min((r for r in table if r[0] == k and r[1]), key=rank) for k in ("a", "b", None, "c")]
+    found = curves.first_row(df, "k", ["d", "n"])
+    assert sorted(((r[0], str(r[1]), r[2], r[3]) for r in found.collect()), key=str) == sorted(wanted, key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("min_by") < plan.index("LeftSemi") < plan.index("min(d")
+    assert curves.first_row(df, "k", ["d", "n"], strict=True).count() == 0
+    least = curves.one_per_key(df, "k", ["n", "d"])
+    none_first = lambda r: (r[2], r[1] is not None, r[1] or "", r[3])
+    wanted = [min((r for r in table if r[0] == k), key=none_first) for k in ("a", "b", None, "c")]
+    assert sorted(((r[0], r[1] and str(r[1]), r[2], r[3]) for r in least.collect()), key=str) == sorted(wanted, key=str)

@@ -21,6 +21,7 @@ from fieldtally.sources import (
     read_taxonomy,
     read_visits,
     read_watch_list,
+    readers,
     schemas,
     write_csv,
     write_dataset,
@@ -187,3 +188,37 @@ def test_geojson(spark, tmp_path):
 def test_inline_rows_quote_text(spark, rows):
     df = inline_rows(spark, ["a", "b"], [("it's", 1.5), ("back\\slash", None)])
     assert rows(df) == [("back\\slash", None), ("it's", 1.5)]
+
+
+def test_checklist_dump_is_read_in_parts_with_malformed_lines_apart(spark, tmp_path):
+    """Two files with headers, foreign line ends, blank lines and broken lines, cut into many parts."""
+    header = "﻿" + "\t".join([*schemas.CHECKLIST_DUMP, "EXTRA"])
+    width = len(schemas.CHECKLIST_DUMP) + 1
+    at = {h: i for i, h in enumerate(schemas.CHECKLIST_DUMP)}
+    wanted, broken = [], []
+    for part, end in (("a", "\n"), ("b", "\r\n")):
+        lines = [header, ""]
+        for i in range(4000):
+            cells = [""] * width
+            cells[at["SAMPLING EVENT IDENTIFIER"]] = f'S{part}"{i}'
+            cells[at["OBSERVATION COUNT"]] = "NA" if i % 5 == 0 else "X"
+            cells[at["DURATION MINUTES"]] = str(i % 90)
+            if i % 1000 == 7:
+                cells = cells[:-2] if part == "a" else [*cells, "more"]
+                broken.append(("\t".join(cells), len(cells)))
+            else:
+                wanted.append((f'S{part}"{i}', None if i % 5 == 0 else "X", float(i % 90)))
+            lines.append("\t".join(cells))
+        (tmp_path / f"{part}.txt").write_bytes((end.join(lines) + end).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        found = readers.canonical_checklists(readers.read_checklist_dump(spark, str(tmp_path)))
+        assert found.rdd.getNumPartitions() > 4
+        rows = found.select("checklist_id", "count", F.col("duration_min").cast("double")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(map(tuple, rows), key=str) == sorted(wanted, key=str)
+    bad = readers.malformed_checklist_lines(spark, str(tmp_path)).collect()
+    assert sorted((r["line"], r["cells"]) for r in bad) == sorted(broken) and {r["file"][-5:] for r in bad} == {"a.txt", "b.txt"}

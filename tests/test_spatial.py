@@ -51,12 +51,12 @@ def sample_points():
     return points
 
 
-@pytest.mark.parametrize("cell", [None, (1.0, 1.0), (0.37, 5.0), (100.0, 100.0)])
-def test_points_in_polygons_equals_brute_force(spark, cell):
+@pytest.mark.parametrize("most", [2, 12])
+def test_points_in_polygons_equals_brute_force(spark, most):
     points = sample_points()
     df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "id int, longitude double, latitude double")
     edges = G.edges_of(inline_rows(spark, RING, rings_of(SHAPES)))
-    found = {(r["id"], r["poly_id"]) for r in G.points_in_polygons(df, G.cover_of(edges, cell=cell)).collect()}
+    found = {(r["id"], r["poly_id"]) for r in G.points_in_polygons(df, G.cover_of(edges, most=most)).collect()}
     want = {(i, name) for i, (x, y) in enumerate(points) for name, rings in SHAPES.items() if brute_inside(x, y, rings)}
     assert found == want
     assert {(i, n) for i, n in want if points[i] == (3.0, 3.0)} and len([1 for i, n in want if points[i] == (3.0, 3.0)]) == 2
@@ -75,9 +75,35 @@ def test_ring_direction_and_start_do_not_matter(spark):
 
 def test_interior_cells_need_no_edges(spark):
     edges = G.edges_of(inline_rows(spark, RING, rings_of({"square": SHAPES["square"]})))
-    cells = G.cover_of(edges, cell=(0.25, 0.25)).cells
-    interior = cells.where(F.col("_edges").isNull()).count()
-    assert interior > cells.count() / 3
+    cover = G.cover_of(edges, most=2)
+    interior = cover.cells.where(F.col("_edges").isNull())
+    covered = interior.selectExpr("sum(pow(16, -_level))").first()[0] * cover.side**2
+    assert 4.0 < covered <= 16.0 and cover.cells.agg(F.max(F.size("_edges"))).first()[0] <= 2
+
+
+def test_long_outlines_have_short_lists(spark):
+    """A star of 100,000 vertices and a small square far off: no list grows with the outline, each has its own resolution."""
+    n = 100_000
+    k = spark.range(n).select(F.lit("star").alias("poly_id"), F.lit(1).alias("part"), F.lit(1).alias("ring"), F.col("id").alias("seq"), "id")
+    angle = F.col("id") * (2 * math.pi / n)
+    radius = 10.0 + 2.0 * F.sin(angle * 7) + (F.col("id") % 2) * 0.001
+    star = k.select("poly_id", "part", "ring", "seq", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
+    small = inline_rows(spark, RING, rings_of({"small": [[(500, 500), (500.5, 500), (500.5, 500.5), (500, 500.5)]]}))
+    cover = G.cover_of(G.edges_of(star.unionByName(small)), most=20)
+    assert cover.cells.agg(F.max(F.size("_edges"))).first()[0] <= 20 and len(cover.levels) > 2
+    rng = random.Random(8)
+    points = [(rng.uniform(-13, 13), rng.uniform(-13, 13)) for _ in range(4000)] + [(500.25, 500.25), (500.0, 500.1), (499.9, 500.1)]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "id int, longitude double, latitude double")
+    found = {(r["id"], r["poly_id"]) for r in G.points_in_polygons(df, cover).collect()}
+    want, close = set(), set()
+    for i, (x, y) in enumerate(points[:4000]):
+        a = math.atan2(y, x) % (2 * math.pi)
+        edge = 10.0 + 2.0 * math.sin(a * 7)
+        if abs(math.hypot(x, y) - edge) < 0.01:
+            close.add(i)
+        elif math.hypot(x, y) < edge:
+            want.add((i, "star"))
+    assert {f for f in found if f[0] not in close} == want | {(4000, "small"), (4001, "small")}
 
 
 def test_missing_coordinates_drop(spark):
@@ -177,8 +203,8 @@ def segment_distance(px, py, a, b):
     return math.hypot(px - (a[0] + t * dx), py - (a[1] + t * dy))
 
 
-@pytest.mark.parametrize("split, levels", [(8, 2), (3, 1), (2, 4)])
-def test_nearest_features_equals_brute_force(spark, split, levels):
+@pytest.mark.parametrize("most", [2, 12])
+def test_nearest_features_equals_brute_force(spark, most):
     rng = random.Random(11)
     lines = {"trail": [[(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(5)] for _ in range(4)], "road": [[(0, 20), (40, 20)]]}
     table = [(layer, i, 1, k, float(x), float(y)) for layer, parts in lines.items() for i, part in enumerate(parts) for k, (x, y) in enumerate(part)]
@@ -186,7 +212,7 @@ def test_nearest_features_equals_brute_force(spark, split, levels):
     points = [(rng.uniform(-5, 45), rng.uniform(-5, 25)) for _ in range(200)]
     df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "id int, longitude double, latitude double")
     twice = df.union(df.where("id < 100"))
-    found = G.nearest_features(twice, edges, ["trail", "road"], split=split, levels=levels).collect()
+    found = G.nearest_features(twice, edges, ["trail", "road"], most=most).collect()
     assert len(found) == 600
     for r in found:
         x, y = points[r["id"]]
@@ -194,6 +220,19 @@ def test_nearest_features_equals_brute_force(spark, split, levels):
         assert r["distance"] == pytest.approx(want, abs=1e-9)
 
 
+def test_lists_of_nearest_lines_stay_short(spark):
+    """1,000 short lines: cells that hold points are cut until few lines are left, others are not."""
+    k = spark.range(1000).select(F.lit("trail").alias("layer"), (F.col("id") % 40).alias("i"), F.floor(F.col("id") / 40).alias("j"))
+    x, y = F.col("i") * 0.02, F.col("j") * 0.02
+    edges = k.select("layer", x.alias("x1"), y.alias("y1"), (x + 0.004).alias("x2"), (y + 0.003).alias("y2"))
+    points = spark.range(4000).select((F.col("id") % 100 * 0.008).alias("longitude"), (F.floor(F.col("id") / 100) * 0.0125).alias("latitude"))
+    crowd = G.crowds(points, -1.0, -1.0, 10.0)
+    lists = G.nearest_lists(edges, crowd, -1.0, -1.0, 10.0, most=12, least=0)
+    full = crowd.selectExpr("int(floor(_px / 4)) _cx", "int(floor(_py / 4)) _cy").distinct()
+    sizes = lists.where("_level = 5").join(full, ["_cx", "_cy"]).groupBy("layer", "_cx", "_cy").count()
+    assert 0 < sizes.agg(F.max("count")).first()[0] <= 12 and lists.select("_level").distinct().count() > 2
+
+
 def test_nearest_features_without_coordinates_or_lines(spark):
     edges = inline_rows(spark, ["layer", "x1", "y1", "x2", "y2"], [("trail", 0.0, 0.0, 1.0, 1.0)])
     df = spark.createDataFrame([(1, 3.0, 1.0), (2, None, 1.0), (3, float("nan"), 1.0)], "id int, longitude double, latitude double")

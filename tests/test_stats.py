@@ -19,8 +19,7 @@ def frame(spark, a, b):
     return spark.createDataFrame([("a", float(v)) for v in a] + [("b", float(v)) for v in b], "g string, v double")
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 64])
-def test_w_with_and_without_ties(spark, buckets):
+def test_w_with_and_without_ties(spark):
     rng = random.Random(3)
     for a, b in (
         ([1.1, 2.5, 3.2], [0.5, 2.0, 9.0, 10.0]),
@@ -28,8 +27,8 @@ def test_w_with_and_without_ties(spark, buckets):
         ([rng.random() for _ in range(200)], [rng.random() for _ in range(150)]),
     ):
         df = frame(spark, a, b)
-        first = stats.rank_sum(df, "v", "g", "a", "b", buckets).first()
-        second = stats.rank_sum(df, "v", "g", "b", "a", buckets).first()
+        first = stats.rank_sum(df, "v", "g", "a", "b").first()
+        second = stats.rank_sum(df, "v", "g", "b", "a").first()
         assert (first["n1"], first["n2"], first["w"]) == (len(a), len(b), brute_w(a, b))
         assert first["w"] + second["w"] == len(a) * len(b)
         pooled = a + b
@@ -88,3 +87,59 @@ def test_poisson_trend_recovers_a_known_rate(spark):
     fitted = [math.exp(fit["(intercept)"]["estimate"] + fit["year"]["estimate"] * y) for y in years]
     assert sum(fitted) == pytest.approx(sum(n for _, n in table), rel=1e-6)
     assert sum(f * y for f, y in zip(fitted, years)) == pytest.approx(sum(n * y for y, n in table), rel=1e-6)
+
+
+def ways(n1, n2):
+    """Arrangements by statistic, by adding pooled places one at a time."""
+    table = {(0, 0): 1}
+    for j in range(1, n1 + n2 + 1):
+        new = {}
+        for (k, u), c in table.items():
+            for key in ((k, u), (k + 1, u + j - k - 1)):
+                if key[0] <= n1 and key[1] <= n1 * n2 and j - key[0] <= n2:
+                    new[key] = new.get(key, 0) + c
+        table = new
+    return {u: c for (k, u), c in table.items() if k == n1}
+
+
+def test_exact_distribution_of_unequal_and_large_samples(spark):
+    for n1, n2, w in ((3, 9, 5.0), (9, 3, 22.0), (12, 17, 60.5), (1, 1, 0.0), (20, 20, 130.0)):
+        counts = ways(n1, n2)
+        whole = sum(counts.values())
+        low = sum(c for u, c in counts.items() if u <= w) / whole
+        high = sum(c for u, c in counts.items() if u >= w) / whole
+        row = spark.range(1).select(stats.p_value(F.lit(n1), F.lit(n2), F.lit(w), F.lit(0.0), exact=True).alias("p")).first()
+        assert row["p"] == pytest.approx(min(1.0, 2 * min(low, high)), rel=1e-9)
+    large = spark.range(1).select(
+        stats.p_value(F.lit(400), F.lit(400), F.lit(73000.0), F.lit(0.0), exact=True).alias("e"),
+        stats.p_value(F.lit(400), F.lit(400), F.lit(73000.0), F.lit(0.0), exact=False).alias("n"),
+    ).first()
+    assert large["e"] == pytest.approx(large["n"], rel=0.01)
+
+
+def test_two_sided_p(spark):
+    from fieldtally.functions.values import two_sided_p
+
+    zs = [0.0, 0.3, -1.0, 2.0, 2.2, 5.0, -9.0, 30.0]
+    rows = inline_rows(spark, ["z"], [(z,) for z in zs]).select("z", two_sided_p("z").alias("p")).collect()
+    for r in rows:
+        assert r["p"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2)), rel=1e-9, abs=1e-300)
+
+
+def test_trend_per_group(spark):
+    table = [("up", y, round(50 * math.exp(0.08 * (y - 2000)))) for y in range(2000, 2020)]
+    table += [("flat", y, 7) for y in range(2000, 2010)] + [("single", 2001, 9), ("none", 2001, 0), ("none", 2002, 0)]
+    table += [("steep", y, n) for y, n in zip(range(2000, 2006), (0, 0, 1, 0, 40, 4000))] + [("up", None, 5), ("up", 2003, None)]
+    df = inline_rows(spark, ["park", "year", "n"], table)
+    fit = {(r["park"], r["term"]): r for r in stats.poisson_trend(df, by="park").collect()}
+    assert len(fit) == 10
+    alone = {r["term"]: r for r in stats.poisson_trend(df.where("park = 'up'")).collect()}
+    for term in ("(intercept)", "year"):
+        assert tuple(fit["up", term])[2:] == pytest.approx(tuple(alone[term])[1:])
+    assert fit["flat", "year"]["estimate"] == pytest.approx(0.0, abs=1e-12) and fit["flat", "year"]["p_value"] == pytest.approx(1.0)
+    assert fit["single", "(intercept)"]["estimate"] == pytest.approx(math.log(9)) and fit["single", "year"]["estimate"] is None
+    assert fit["none", "(intercept)"]["estimate"] is None and fit["none", "year"]["p_value"] is None
+    a, b = (fit["steep", t]["estimate"] for t in ("(intercept)", "year"))
+    means = [math.exp(a + b * y) for y in range(2000, 2006)]
+    assert sum(means) == pytest.approx(4041, rel=1e-6) and sum(m * k for k, m in enumerate(means)) == pytest.approx(2 + 160 + 20000, rel=1e-6)
+    assert {r["term"]: r["estimate"] for r in stats.poisson_trend(df.limit(0)).collect()} == {"(intercept)": None, "year": None}
