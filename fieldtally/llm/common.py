@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.lineage import cut_lineage
@@ -30,16 +30,41 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(parts)
 
 
-def distinct_labelled(rows: DataFrame, label: str) -> DataFrame:
-    """``text, label, weight, turn``: each text of a label once.
+def with_digest(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and two independent 64-bit hashes of the text (NULL: empty), by which equal texts are known."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    plain = docs.select("doc_id", text.alias("text"))
+    return plain.select("doc_id", "text", *(F.xxhash64(F.lit(i), F.col("text")).alias(f"h{i}") for i in (1, 2)))
 
-    A single text weighs one, and one more each time its copies double. Texts in order of ``turn``, a number made from a
-    hash of the text, are a random sample in which a text with n copies comes as early as the first of n texts would.
+
+def distinct_labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``h1, h2, label, doc_id, weight, rows, turn``: each text of a label once, without the text; ``doc_id`` has it, in ``rows`` rows.
+
+    Only ids, hashes and labels are joined and grouped. A single text weighs one, and one more each time its copies double.
+    Texts in order of ``turn``, a number made from their hash, are a random sample in which a text with n copies comes as early
+    as the first of n texts would.
     """
-    found = rows.groupBy("text", label).agg(F.count(F.lit(1)).alias("copies"))
-    share = (F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 11) + 1).cast("double") / float(1 << 53)
+    known = labels.select("doc_id", label).where(F.col(label).isNotNull())
+    rows = with_digest(docs).drop("text").join(known, "doc_id")
+    per_doc = rows.groupBy("h1", "h2", label, "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    found = per_doc.groupBy("h1", "h2", label).agg(
+        F.sum("rows").alias("copies"), F.min("doc_id").alias("doc_id"), F.min_by("rows", "doc_id").alias("rows")
+    )
+    share = (F.shiftrightunsigned("h1", 11) + 1).cast("double") / float(1 << 53)
     weight = F.length(F.bin("copies")).cast("long").alias("weight")
-    return found.select("text", label, weight, (-F.log(share) / F.col("copies")).alias("turn"))
+    return found.select("h1", "h2", label, "doc_id", weight, "rows", (-F.log(share) / F.col("copies")).alias("turn"))
+
+
+def sampled_rows(distinct: DataFrame, sample: int) -> list[Row]:
+    """The first ``sample`` rows of ``distinct_labelled`` by turn: a bounded number of short rows."""
+    return distinct.orderBy("turn", "h1", "h2").limit(sample).collect()
+
+
+def sampled_texts(docs: DataFrame, rows: list[Row]) -> DataFrame:
+    """``h1, h2, text`` of sampled rows, which are few and sent to all tasks; the texts stay in the shared folder."""
+    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.h1, r.h2) for r in rows], "doc_id long, h1 long, h2 long").distinct()
+    found = with_digest(docs).join(F.broadcast(wanted), ["doc_id", "h1", "h2"])
+    return cut_lineage(found.select("h1", "h2", "text"))
 
 
 def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import distinct_labelled, ngram_buckets
+from fieldtally.llm.common import distinct_labelled, ngram_buckets, sampled_rows, sampled_texts
 
 
 def vector(text: str | None, buckets: int) -> np.ndarray:
@@ -35,20 +35,43 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def fit(rated: DataFrame, grades: int, buckets: int = 4096, sample: int = 6000, rounds: int = 300, rate: float = 0.3) -> Model:
-    """Learns from rows ``text, grade`` (0 to ``grades`` - 1): at most ``sample`` distinct ones, chosen by a hash of their text.
+def _vectors(buckets: int):
+    """Used buckets and their values of sampled texts; no text leaves its task."""
 
-    Copies of a text with one grade are one row, that is chosen the sooner and weighs more, by the logarithm of their number.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("text")):
+                found = vector(text.as_py(), buckets)
+                used = np.flatnonzero(found)
+                sent = [pa.array([a.tobytes()], pa.binary()) for a in (used.astype(np.int32), found[used])]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, 1) for c in ("h1", "h2")] + sent, names=["h1", "h2", "used", "share"])
+
+    return work
+
+
+def fit(
+    docs: DataFrame, rated: DataFrame, grades: int, buckets: int = 4096, sample: int = 6000, rounds: int = 300, rate: float = 0.3
+) -> Model:
+    """Learns from ``docs`` (``doc_id, text``) and ``rated`` (``doc_id, grade``, 0 to ``grades`` - 1): at most ``sample`` distinct texts,
+    chosen by a hash of their text.
+
+    Copies of a text with one grade are one row, that is chosen the sooner and weighs more, by the logarithm of their number. Ids,
+    hashes and grades are joined, never texts; the texts of the sample are read where they are, and the driver gets their vectors.
     """
-    known = rated.where("grade is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("grade").cast("int"))
-    rows = distinct_labelled(known, "grade").orderBy("turn", "text", "grade").limit(sample).toArrow()
+    known = rated.where("grade is not null").select("doc_id", F.col("grade").cast("int").alias("grade"))
+    rows = sampled_rows(distinct_labelled(docs, known, "grade"), sample)
     steps = np.linspace(-1, 1, grades - 1)
-    if not rows.num_rows:
+    if not rows:
         return Model(np.zeros(buckets, np.float32), steps)
-    x = np.stack([vector(t.as_py(), buckets) for t in rows.column("text")])
-    y = rows.column("grade").to_numpy()
+    sent = sampled_texts(docs, rows).mapInArrow(_vectors(buckets), "h1 long, h2 long, used binary, share binary").collect()
+    found = {(r.h1, r.h2): (np.frombuffer(r.used, np.int32), np.frombuffer(r.share, np.float32)) for r in sent}
+    x = np.zeros((len(rows), buckets), np.float32)
+    for line, r in zip(x, rows):
+        used, share = found[r.h1, r.h2]
+        line[used] = share
+    y = np.array([r.grade for r in rows])
     above = (y[:, None] >= np.arange(1, grades)[None, :]).astype(np.float64)
-    copies = rows.column("weight").to_numpy()
+    copies = np.array([r.weight for r in rows])
     share = np.bincount(y, copies, minlength=grades) / copies.sum()
     weight = copies * (1.0 / np.maximum(share[y], 1e-3)) ** 0.5
     weight /= weight.sum()

@@ -129,10 +129,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(docs, items, size=13, share=20).drop("mark")
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with their labels, without the held-out fifth."""
-    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and labels without the held-out fifth."""
+    docs, labels = (table(spark, sf_dir, name).where(fold("doc_id", 5) != 0) for name in ("documents", "labels"))
+    return docs.select("doc_id", "text"), labels
 
 
 def _held_out() -> Column:
@@ -141,7 +141,7 @@ def _held_out() -> Column:
 
 @query()
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = toxicity.fit(_labelled(spark, sf_dir).select("text", "toxic"))
+    field = toxicity.fit(*_training(spark, sf_dir))
     found = toxicity.tagged(table(spark, sf_dir, "documents"), field)
     return found.select("doc_id", _held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
@@ -150,7 +150,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 low quality, 1 good but toxic, 2 good."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
-    model = quality.fit(_labelled(spark, sf_dir).select("text", grade.alias("grade")), grades=3)
+    docs, labels = _training(spark, sf_dir)
+    model = quality.fit(docs, labels.select("doc_id", grade.alias("grade")), grades=3)
     found = quality.graded(table(spark, sf_dir, "documents"), model, least=1)
     return found.select("doc_id", _held_out(), "expected_grade", "tail_probability", "keep")
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import cut_lineage, distinct_labelled
+from fieldtally.llm.common import cut_lineage, distinct_labelled, sampled_rows, sampled_texts, with_digest
 
 _WORD = re.compile(r"\w+")
 _FEATURES = 3  # form, beginning, previous form with this one's beginning
@@ -152,7 +152,7 @@ class Field:
 
 def _counts(buckets: int, start: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, known = np.zeros((2, buckets), np.int64), Hashes(start)
+        totals, known = np.zeros((2, buckets)), Hashes(start)
         for batch in batches:
             for text, label, weight in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("toxic", "weight"))):
                 totals[int(label > 0), np.unique(features(text.as_py(), buckets, known)[:, :2])] += weight
@@ -165,14 +165,17 @@ def _counts(buckets: int, start: int):
     return count
 
 
-def lexicon(labelled: DataFrame, buckets: int, start: int, odds: float, least: int) -> tuple[frozenset[int], int, int]:
+def lexicon(docs: DataFrame, known: DataFrame, buckets: int, start: int, odds: float, least: int) -> tuple[frozenset[int], int, int]:
     """Buckets of words and beginnings found in ``least`` or more toxic documents and there ``odds`` times as often; documents per label.
 
-    Counted over all rows ``text, toxic, weight``, a document as often as it weighs; what reaches the driver is at most one number per bucket and label.
+    Counted over all texts of ``known``, one document each, as often as it weighs. Every text is shuffled once, by its document,
+    to meet its label, at any size of the tables; what reaches the driver is at most one number per bucket and label.
     """
-    counted = labelled.mapInArrow(_counts(buckets, start), "label long, bucket long, n long")
+    weighed = known.select("doc_id", "h1", "h2", "toxic", (F.col("weight") / F.col("rows")).alias("weight"))
+    labelled = with_digest(docs).join(weighed.hint("merge"), ["doc_id", "h1", "h2"]).select("text", "toxic", "weight")
+    counted = labelled.mapInArrow(_counts(buckets, start), "label long, bucket long, n double")
     sums = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    size = labelled.agg(F.sum(F.when(F.col("toxic") > 0, F.col("weight"))), F.sum("weight")).first()
+    size = known.agg(F.sum(F.when(F.col("toxic") > 0, F.col("weight"))), F.sum("weight")).first()
     toxic, clean = int(size[0] or 0), int((size[1] or 0) - (size[0] or 0))
     table = np.zeros((2, buckets))
     table[sums.column("label").to_numpy(), sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
@@ -199,8 +202,22 @@ def windows(lengths: list[int], longest: int, budget: int) -> list[tuple[int, in
     return out
 
 
+def _keyed(kind: str, answer):
+    """A task over rows ``h1, h2, text`` that answers with rows ``h1, h2`` and what ``answer(key, text)`` yields."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, text in zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), batch.column("text")):
+                rows = [(a, b, *found) for found in answer((a, b), text.as_py())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["h1", "h2", *(k.split()[0] for k in kind.split(", "))])
+
+    return work, f"h1 long, h2 long, {kind}"
+
+
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     buckets: int = 1 << 18,
     start: int = 5,
     sample: int = 1500,
@@ -209,37 +226,49 @@ def fit(
     odds: float = 8.0,
     least: int = 3,
 ) -> Field:
-    """Learns from rows ``text, toxic``. The field is fitted on at most ``sample`` distinct documents of each label, of any length,
-    chosen by a hash of their text, in windows of at most ``longest`` words and ``sample * longest`` words a label; slope and
-    level are set on the whole documents. Copies of a document are one, that is chosen the sooner and weighs more, by the
-    logarithm of their number. The word counts behind the labels cover all distinct documents. Without a toxic row every
-    document gets one low score."""
-    known = labelled.where("toxic is not null").select(
-        F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic")
-    )
-    known = cut_lineage(distinct_labelled(known, "toxic"))
+    """Learns from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, toxic``).
+
+    The field is fitted on at most ``sample`` distinct documents of each label, of any length, chosen by a hash of their text, in
+    windows of at most ``longest`` words and ``sample * longest`` words a label; slope and level are set on the whole documents,
+    by their tasks. Copies of a document are one, that is chosen the sooner and weighs more, by the logarithm of their number. The
+    word counts behind the labels cover all distinct documents. Texts do not reach the driver: only the windows' numbers do.
+    Without a toxic row every document gets one low score.
+    """
+    marked = labels.where("toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    known = cut_lineage(distinct_labelled(docs, marked, "toxic"))
     field = Field(buckets, start)
-    field.lexicon, toxic, _ = lexicon(known.select("text", "toxic", "weight"), buckets, start, odds, least)
-    pick = lambda want: known.where(want).orderBy("turn", "text").limit(sample).select("text", "toxic", "weight")
-    rows = pick(F.col("toxic") > 0).union(pick(F.col("toxic") <= 0)).toArrow()
-    if not toxic or not rows.num_rows:
+    field.lexicon, toxic, _ = lexicon(docs, known, buckets, start, odds, least)
+    rows = [r for want in ("toxic > 0", "toxic <= 0") for r in sampled_rows(known.where(want), sample)]
+    if not toxic or not rows:
         field.slope, field.level = 0.0, -3.0
         return field
     marks = np.zeros(buckets, bool)
     marks[list(field.lexicon)] = True
-    labels = np.array(rows.column("toxic").to_pylist()) > 0
-    copies = rows.column("weight").to_numpy()
-    hashes = Hashes(start)
-    whole = [features(text.as_py(), buckets, hashes) for text in rows.column("text")]
+    labels = np.array([r.toxic for r in rows]) > 0
+    copies = np.array([r.weight for r in rows])
+    keys = [(r.h1, r.h2) for r in rows]
+    picked = sampled_texts(docs, rows)
+    sizes = _keyed("n long", lambda key, text: [(sum(1 for _ in _WORD.finditer(text)),)])
+    lengths = {(r.h1, r.h2): r.n for r in picked.mapInArrow(*sizes).collect()}
     cuts = []
     for label in (True, False):
         mine = np.flatnonzero(labels == label)
-        cuts += [(mine[i], a, b) for i, a, b in windows([len(whole[i]) for i in mine], longest, sample * longest)]
-    documents = [whole[i][a:b] for i, a, b in cuts]
-    truth = [marks[d[:, :2]].any(1).astype(float) if labels[i] else np.zeros(len(d)) for (i, _, _), d in zip(cuts, documents)]
-    if not documents:
+        cuts += [(mine[i], a, b) for i, a, b in windows([lengths[keys[i]] for i in mine], longest, sample * longest)]
+    if not cuts:
         field.slope, field.level = 0.0, -3.0
         return field
+    asked: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, a, b in cuts:
+        asked.setdefault(keys[i], []).append((a, b))
+
+    def cut_out(key: tuple[int, int], text: str) -> Iterator[tuple[int, int, bytes]]:
+        rows = features(text, buckets, Hashes(start)).astype(np.int32)
+        return ((a, b, rows[a:b].tobytes()) for a, b in set(asked[key]))
+
+    sent = picked.mapInArrow(*_keyed("first long, last long, rows binary", cut_out)).collect()
+    found = {(r.h1, r.h2, r.first, r["last"]): np.frombuffer(r.rows, np.int32).reshape(-1, _FEATURES).astype(np.int64) for r in sent}
+    documents = [found[(*keys[i], a, b)] for i, a, b in cuts]
+    truth = [marks[d[:, :2]].any(1).astype(float) if labels[i] else np.zeros(len(d)) for (i, _, _), d in zip(cuts, documents)]
     used, place = np.unique(np.concatenate([d.ravel() for d in documents]), return_inverse=True)
     ends = np.cumsum([len(d) for d in documents])
     errors = np.zeros(ends[-1])
@@ -262,7 +291,9 @@ def fit(
         field.emit[used] += 0.7 * slope / np.sqrt(squares)
         field.bias += 0.7 * bias / np.sqrt(square_bias)
         field.step += 0.3 * step / np.sqrt(square_step)
-    mass = np.array([field.mass(m) for m in field.all_marginals(whole)])
+    weigh = _keyed("mass double", lambda key, text: [(field.mass(field.all_marginals([features(text, buckets, Hashes(start))])[0]),)])
+    masses = {(r.h1, r.h2): r.mass for r in picked.mapInArrow(*weigh).collect()}
+    mass = np.array([masses[key] for key in keys])
     weight = copies * np.where(labels, 0.5 / max(1, copies[labels].sum()), 0.5 / max(1, copies[~labels].sum()))
     center, spread = mass.mean(), max(1e-6, mass.std())
     z, a, b = (mass - center) / spread, 1.0, 0.0

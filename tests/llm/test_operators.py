@@ -202,6 +202,12 @@ def test_language_mixture(spark):
     assert 0.5 < found[5].score < 1.0 and found[3].score == 0.0
 
 
+def labelled(spark, rows, name):
+    """Documents and their labels as two tables."""
+    texts = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    return texts, spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows)], f"doc_id long, {name} int")
+
+
 def test_toxicity_marginals_and_spans(spark):
     field = toxicity.Field(1 << 12, 5)
     field.step = np.array([[0.3, -0.2], [0.1, 0.5]])
@@ -217,7 +223,7 @@ def test_toxicity_marginals_and_spans(spark):
             assert mine[t] == pytest.approx(sum(w for y, w in weights.items() if y[t]) / total)
     rng = np.random.default_rng(3)
     rows = [(" ".join(f"word{x}" for x in rng.integers(0, 300, 30)) + (" vileness" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(90)]
-    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"), buckets=1 << 14)
+    model = toxicity.fit(*labelled(spark, rows, "toxic"), buckets=1 << 14)
     texts = [(1, "word1 vileness word2"), (2, "word1 word2 word7"), (3, None), (4, "")]
     found = {r.doc_id: r for r in toxicity.tagged(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
     assert found[1].score > 0.5 > max(found[i].score for i in (2, 3, 4))
@@ -226,7 +232,7 @@ def test_toxicity_marginals_and_spans(spark):
 
 def test_quality_grades_are_ordered(spark):
     rows = [(word * 8, grade) for grade, word in enumerate(("%%% ", "plain ", "good ")) for _ in range(30)]
-    model = quality.fit(spark.createDataFrame(rows, "text string, grade int"), 3, buckets=512)
+    model = quality.fit(*labelled(spark, rows, "grade"), 3, buckets=512)
     assert (np.diff(model.thresholds) > 0).all()
     texts = [(0, "%%% %%%"), (1, "plain plain"), (2, "good good"), (3, None), (4, "")]
     found = {r.doc_id: r for r in quality.graded(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
@@ -249,8 +255,8 @@ def test_empty_tables(spark, none):
         substring_dedup.remove_repeats(none), secrets.secret_report(none), decontamination.contamination(none, items),
         simhash_dedup.near_duplicates(none), packing.pack(none, ranks, special), fingerprints.edited_fingerprints(none),
         language_id.identified(none, model), license_scan.scanned(none),
-        toxicity.tagged(none, toxicity.fit(none.selectExpr("text", "words toxic"))),
-        quality.graded(none, quality.fit(none.selectExpr("text", "words grade"), 3)),
+        toxicity.tagged(none, toxicity.fit(none.select("doc_id", "text"), none.selectExpr("doc_id", "words toxic"))),
+        quality.graded(none, quality.fit(none.select("doc_id", "text"), none.selectExpr("doc_id", "words grade"), 3)),
     ):
         assert df.collect() == []
 
@@ -343,12 +349,12 @@ def test_toxicity_of_long_documents(spark):
             text[int(rng.integers(0, 1500))] = "vileness"
         rows.append((" ".join(text), int(i % 3 == 0)))
     assert min(len(t) for t, _ in rows) > 4800
-    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"), buckets=1 << 14)
+    model = toxicity.fit(*labelled(spark, rows, "toxic"), buckets=1 << 14)
     texts = [(1, " ".join([*words(1400), "vileness", *words(200)])), (2, " ".join(words(1600))), (3, " ".join(words(20)))]
     schema = "doc_id long, text string"
     found = {r.doc_id: r for r in toxicity.tagged(spark.createDataFrame(texts, schema), model).collect()}
     assert found[1].score > 0.5 > max(found[2].score, found[3].score) and len(found[1].spans) == 1
-    plain = toxicity.fit(spark.createDataFrame([(t, 0) for t, _ in rows], "text string, toxic int"), buckets=1 << 14)
+    plain = toxicity.fit(*labelled(spark, [(t, 0) for t, _ in rows], "toxic"), buckets=1 << 14)
     scores = [r.score for r in toxicity.tagged(spark.createDataFrame([*texts, (4, None), (5, " ".join(words(20_000)))], schema), plain).collect()]
     assert max(scores) < 0.1
 
@@ -369,12 +375,12 @@ def test_copies_do_not_fill_the_training_sample(spark):
     copied, others = words(30) + " vileness", [words(30) + " spite" for _ in range(30)]
     clean = [words(30) for _ in range(400)]
     rows = [(t, 1) for t in [copied] * 400 + others] + [(t, 0) for t in clean + [clean[0]] * 400]
-    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"), buckets=1 << 14, sample=40)
+    model = toxicity.fit(*labelled(spark, rows, "toxic"), buckets=1 << 14, sample=40)
     texts = [(1, copied), (2, words(10) + " spite " + words(10)), (3, words(20)), (4, " ".join(copied.split()[:-1]))]
     found = {r.doc_id: r.score for r in toxicity.tagged(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
     assert min(found[1], found[2]) > 0.5 > max(found[3], found[4])
     graded = [("%%% poor", 0)] * 500 + [(f"plain text {i}", 1) for i in range(20)] + [(f"good deed {i}", 2) for i in range(20)]
-    model = quality.fit(spark.createDataFrame(graded, "text string, grade int"), 3, buckets=512, sample=41)
+    model = quality.fit(*labelled(spark, graded, "grade"), 3, buckets=512, sample=41)
     texts = [(0, "%%% poor"), (1, "plain text 99"), (2, "good deed 99")]
     found = {r.doc_id: r.expected_grade for r in quality.graded(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
     assert found[0] < 0.5 < found[1] < found[2]
@@ -405,3 +411,18 @@ def test_packed_pieces_hold_their_ids(docs):
         if i not in (None, 8):
             whole = [x for r in sorted(pieces[i], key=lambda r: r.start) for x in r.ids]
             assert whole == real.encode(text or "", add_special_tokens=False).ids + [0]
+
+
+def test_labels_are_joined_without_texts(spark):
+    """No exchange below the sample holds a text, and the word counts shuffle each text once whatever the tables' sizes."""
+    from fieldtally.llm import common
+
+    docs, labels = labelled(spark, [(f"w{i % 7} x", i % 2) for i in range(40)] + [(None, 1)], "toxic")
+    found = common.distinct_labelled(docs, labels, "toxic")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join")
+    assert "text" not in plan[:join] and found.count() == 15
+    rows = {(r.h1, r.h2): r for r in common.sampled_rows(found.where("toxic = 1"), 100)}
+    texts = {(r.h1, r.h2): r.text for r in common.sampled_texts(docs, list(rows.values())).collect()}
+    assert set(texts) == set(rows) and sorted(texts.values()) == ["", *(f"w{i} x" for i in range(7))]
+    assert {r.weight for r in rows.values()} == {1, 2}
