@@ -13,9 +13,10 @@ documents holds is one entry per chunk. Chance hits only cost a comparison: wind
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import utf8_of, window_hashes, word_hashes
+from fieldtally.llm.common import utf8_of, window_hashes
 
 _CHUNKS = "chunk long, n_bytes long, ids binary, offsets binary, packed binary"
 _SENT = "bucket long, chunk long, plain binary, anchors binary"
@@ -56,15 +57,28 @@ def _packer(chunk_bytes: int):
     return pack
 
 
+class _Words(dict):
+    """64 bits of the BLAKE2 digest of each word: unlike words meet by chance only, however they are made. Emptied at 400,000."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return found
+
+
 class _Chunk:
     """Words of one chunk: hash, document row and id, place in the document."""
 
     def __init__(self, ids: bytes, offsets: bytes, packed: bytes):
         self.ids, self.offsets = np.frombuffer(ids, np.int64), np.frombuffer(offsets, np.int64)
-        self.raw = zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, int(self.offsets[-1])))
-        self.hashes, self.rows, _, _ = word_hashes(np.frombuffer(self.raw, np.uint8), self.offsets)
-        self.n_words = np.bincount(self.rows, minlength=len(self.ids))
-        self.place = np.arange(len(self.rows)) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
+        raw = zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, int(self.offsets[-1])))
+        self.words = [raw[a:b].split() for a, b in zip(self.offsets.tolist(), self.offsets[1:].tolist())]
+        self.n_words = np.array([len(words) for words in self.words], np.int64)
+        total = int(self.n_words.sum())
+        self.hashes = np.fromiter(map(_Words().__getitem__, chain.from_iterable(self.words)), np.uint64, total)
+        self.rows = np.repeat(np.arange(len(self.ids)), self.n_words)
+        self.place = np.arange(total) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
 
     def runs(self, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of every run of ``size`` words within a document."""
@@ -278,7 +292,7 @@ def _remover(size: int):
             ends = np.cumsum(chunk.n_words)
             for i, doc_id in enumerate(chunk.ids):
                 mask = kept[ends[i] - chunk.n_words[i] : ends[i]]
-                words = chunk.raw[chunk.offsets[i] : chunk.offsets[i + 1]].split()
+                words = chunk.words[i]
                 left_words = words if mask.all() else compress(words, mask.tolist())
                 out[0].append(int(doc_id))
                 out[1].append(len(mask))
