@@ -24,6 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by name, whatever the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, or a name like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; NULL for a NULL id."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

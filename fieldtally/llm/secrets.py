@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import cut_lineage
+from fieldtally.llm.common import cut_lineage, free_name, quoted
 
 LEDGER = "blob binary, scanned array<string>, spans array<struct<start:bigint,rule:int,end:bigint>>"
 _SPANS = "array<struct<start:bigint,rule:int,end:bigint>>"
@@ -42,10 +42,36 @@ RULES = (
 )
 
 
+_BLOCK = 256  # entries that one fold goes over: a fold copies what it has gathered at each step
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(entries: Column) -> Column:
+    """An array as an array of blocks."""
+    numbers = F.when(F.size(entries) > 0, F.sequence(F.lit(0), F.floor((F.size(entries) - 1) / _BLOCK).cast("int")))
+    cut = F.transform(numbers, lambda b: F.slice(entries, b * _BLOCK + 1, F.lit(_BLOCK)))
+    return F.coalesce(cut, F.slice(F.transform(F.array(F.lit(0)), lambda b: F.slice(entries, 1, 1)), 1, 0))
+
+
+def _running(blocks: Column, step, value) -> Column:
+    """What the blocks before each block come to, from 0 on by ``step``."""
+
+    def add(state: Column, block: Column) -> Column:
+        return F.struct(step(state["at"], value(block)).alias("at"), F.concat(state["list"], F.array(state["at"])).alias("list"))
+
+    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("list"))
+    return F.aggregate(blocks, nothing, add, lambda s: s["list"])
+
+
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
     """``start, rule, end`` of a rule's matches in code points, end exclusive, from the left without overlap.
 
-    The texts between the matches and the matches alternate; places are running sums of their lengths.
+    The texts between the matches and the matches alternate; places are running sums of their lengths, in blocks, so that many
+    matches in a text cost as much each as few.
     """
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, 0)
@@ -62,9 +88,21 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
         spans = F.when(F.length(part["value"]) >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
+    def placed(blocks: Column) -> Column:
+        starts = _running(blocks, lambda before, block: before + block["at"], lambda block: block)
+        moved = F.zip_with(
+            blocks, starts,
+            lambda block, at: F.transform(
+                block["spans"],
+                lambda s: F.struct((s["start"] + at).alias("start"), s["rule"].alias("rule"), (s["end"] + at).alias("end")),
+            ),
+        )
+        return F.flatten(moved)
+
     nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("spans"))
     first = text.contains(rule.literal) if rule.literal else text.rlike(rule.pattern)
-    return F.when(first, F.aggregate(parts, nothing, walk, lambda s: s["spans"])).otherwise(F.array().cast(_SPANS))
+    walked = _let(parts, lambda p: _let(F.transform(_blocks(p), lambda block: F.aggregate(block, nothing, walk)), placed))
+    return F.when(first, walked).otherwise(F.array().cast(_SPANS))
 
 
 def addressed(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,30 +188,54 @@ def secret_report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     )
 
 
+def _marked_over(text: Column, spans: Column, mark: str) -> Column:
+    """The text with ``mark`` in place of its spans, which are in order; overlapping spans get one mark.
+
+    A block of spans works on its own piece of the text, so no step walks the text from its start.
+    """
+
+    def last(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0).cast("long"), lambda end, s: F.greatest(end, s["end"]))
+
+    def cut_block(block: Column, begin: Column) -> Column:
+        length = F.greatest(begin, last(block)) - begin
+        own = F.substring(text, (begin + 1).cast("int"), length.cast("int"))
+
+        def cut(piece: Column) -> Column:
+            def step(state: Column, span: Column) -> Column:
+                fresh = span["start"] - begin >= state["at"]
+                between = F.substring(piece, (state["at"] + 1).cast("int"), (span["start"] - begin - state["at"]).cast("int"))
+                out = F.when(fresh, F.concat(state["out"], between, F.lit(mark))).otherwise(state["out"])
+                return F.struct(F.greatest(state["at"], span["end"] - begin).alias("at"), out.alias("out"))
+
+            return F.aggregate(block, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+        return _let(own, cut)
+
+    def joined(blocks: Column) -> Column:
+        begins = _running(blocks, lambda before, end: F.greatest(before, end), last)
+        return F.array_join(F.zip_with(blocks, begins, cut_block), "")
+
+    rest = F.substring(text, (last(spans) + 1).cast("int"), F.length(text))
+    return F.concat(_let(_blocks(spans), joined), rest)
+
+
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans become one mark. ``n_chars`` follows.
 
-    Rows without findings come back as they are, as do all other columns, whatever their names.
+    Rows without findings come back as they are, as do all other columns, whatever their names. NULL texts stay NULL, repeated
+    rows each get their row, no rows give no rows.
     """
-    found = scan_unseen(addressed(docs), None, rules).where(F.size("spans") > 0)
-    found = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    address = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = docs.select(*own, address.alias("__address")).join(found, F.col("__address") == F.col("__blob"), "left")
-
-    def cut(state: Column, span: Column) -> Column:
-        fresh = span["start"] >= state["at"]
-        piece = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        out = F.when(fresh, F.concat(state["out"], piece, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.when(F.col("__spans").isNotNull(), F.aggregate("__spans", start, cut))
-    joined = joined.withColumn("__clean", clean)
-    tail = F.substring(F.col("text"), (F.col("__clean.at") + 1).cast("int"), F.length("text"))
-    changed = F.col("__clean").isNotNull()
-    joined = joined.withColumn("text", F.when(changed, F.concat(F.col("__clean.out"), tail)).otherwise(F.col("text")))
+    own = quoted(docs.columns)
+    address = free_name(docs, "address")
+    addressed_docs = docs.select(*own, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias(address))
+    blob, spans, clean = (free_name(addressed_docs, name) for name in ("blob", "spans", "clean"))
+    found = scan_unseen(addressed(docs), None, rules).where(F.size("spans") > 0).select("blob", "spans").toDF(blob, spans)
+    joined = addressed_docs.join(found, addressed_docs[address] == found[blob], "left")
+    changed = F.col(spans).isNotNull()
+    joined = joined.select(*own, F.when(changed, _marked_over(F.col("text"), F.col(spans), mark)).alias(clean))
+    changed = F.col(clean).isNotNull()
+    out = {"text": F.coalesce(F.col(clean), F.col("text"))}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return joined.select(*own)
+        out["n_chars"] = F.when(changed, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return joined.select(*[out[c].alias(c) if c in out else column for c, column in zip(docs.columns, own)])
