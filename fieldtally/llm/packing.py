@@ -2,8 +2,9 @@
 
 Each partition packs its own rows: whole windows are cut off a document first, the rest is placed online
 into the fill level that leaves the least sum of squared counts of partly filled windows. The counts stand
-in an array over the levels. Windows still open when a task ends, or beyond ``open_windows``, are laid end
-to end and cut into whole windows; a task's very last ids become windows of powers of two, without padding.
+in an array over the levels. Windows still open when a task ends are laid end to end and cut into whole windows; its very
+last ids become windows of powers of two, without padding. ``open_windows`` bounds the memory (8,192 hold 34 MB of ids at most, real
+lengths need about 1,000): beyond it the windows of the fullest level are closed in the same way, and no others.
 """
 
 from __future__ import annotations
@@ -105,6 +106,14 @@ class SumOfSquares:
         self.open += 1
         return None
 
+    def fullest(self) -> list:
+        """Pieces of the open windows of the fullest level in use, which are closed."""
+        level = int(np.flatnonzero(self.counts[: self.size])[-1])
+        pieces = [piece for window in self.windows[level] for piece in window]
+        self.open -= len(self.windows[level])
+        self.counts[level], self.windows[level] = 0, []
+        return pieces
+
     def emptied(self) -> list:
         """Pieces of all open windows, which are closed."""
         pieces = [piece for level in self.windows for window in level for piece in window]
@@ -176,7 +185,7 @@ def _pack(size: int, end_id: int, ranks_path: str, special_path: str, open_windo
                 if whole < total:
                     put(doc, whole, ids[4 * whole :], total)
                 if packer.open > packer.limit:
-                    cut(packer.emptied(), last=False)
+                    cut(packer.fullest(), last=False)
                 if len(out[0]) >= 20_000:
                     yield batch_of()
         cut(packer.emptied(), last=True)
@@ -191,7 +200,7 @@ def pack(
     special_path: str,
     size: int = 1024,
     end_id: int = 0,
-    open_windows: int = 512,
+    open_windows: int = 8192,
 ) -> DataFrame:
     """One row per piece of a document: its place in the document and in its window (``sequence_id, offset``), and its ``ids``.
 
