@@ -25,6 +25,7 @@ FLOORS = (0.05, 0.05, 0.25, 0.4, 0.4)  # deviations that no cell's estimate goes
 _SIZE = len(FLOORS)
 _LOWER = [(i, j) for i in range(_SIZE) for j in range(i + 1)]
 _POOLED = ""
+_FEW = 20_000  # languages and sources whose estimates, of some 200 bytes each, are sent to all tasks
 
 
 def let(value: Column, use) -> Column:
@@ -217,13 +218,16 @@ def _concentrated(points: DataFrame, metric: DataFrame, share: float, factor: fl
     return _metric(near.groupBy("cell", "start").agg(*(F.sum(c).alias(c) for c in sums)), factor)
 
 
-def estimates(points: DataFrame, share: float, steps: int) -> DataFrame:
-    """Metric of each cell of ``cell, y<i>, n``: concentration from both starts, the smaller determinant (ties: the first start)."""
+def estimates(points: DataFrame, share: float, steps: int, small) -> DataFrame:
+    """Metric of each cell of ``cell, y<i>, n``: concentration from both starts, the smaller determinant (ties: the first start).
+
+    ``small`` marks a frame of a row per cell that is to be sent to all tasks.
+    """
     factor = share / _gamma_share((_SIZE + 2) / 2, chi_squared(share, _SIZE) / 2)
     plain = _metric(points.groupBy("cell").agg(*_sums()), 1.0).withColumn("start", F.lit(1))
     metric = cut_lineage(_robust_start(points).unionByName(plain))
     for _ in range(steps):
-        metric = cut_lineage(_concentrated(points, metric, share, factor))
+        metric = cut_lineage(_concentrated(points, small(metric), share, factor))
     first = Window.partitionBy("cell").orderBy("size", "start")
     return metric.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank", "start", "size")
 
@@ -244,11 +248,13 @@ def quality_rules(docs: DataFrame, share: float = 0.75, steps: int = 6, quantile
     single = single.agg(F.count(F.lit(1)).alias("n"))
     sizes = cut_lineage(single.groupBy("own").agg(F.sum("n").alias("texts")))
     names = sizes.select("own", F.when(F.col("texts") >= least, F.col("own")).otherwise(_POOLED).alias("cell"), "texts")
-    points = single.join(names.drop("texts"), "own").groupBy("cell", *(f"y{i}" for i in range(_SIZE))).agg(F.sum("n").alias("n"))
-    points = cut_lineage(points)
-    enough = names.groupBy("cell").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= least).select("cell")
-    metric = estimates(points.join(enough, "cell"), share, steps)
-    known = names.select("own", "cell").join(metric, "cell").drop("cell")
+    # one row per language and source: sent to all tasks while they are few enough, shuffled beyond
+    known_cells = names.groupBy("cell").agg(F.sum("texts").alias("texts"))
+    enough = cut_lineage(names.drop("texts").join(known_cells.where(F.col("texts") >= least).select("cell"), "cell"))
+    small = F.broadcast if enough.count() <= _FEW else lambda df: df
+    points = single.join(small(enough), "own").groupBy("cell", *(f"y{i}" for i in range(_SIZE))).agg(F.sum("n").alias("n"))
+    metric = estimates(cut_lineage(points), share, steps, small)
+    known = small(enough.select("own", "cell").join(metric, "cell").drop("cell"))
     judged = rows.select("*", *(F.get("y", F.lit(i)).alias(f"y{i}") for i in range(_SIZE))).join(known, "own", "left")
     judged = judged.withColumn("distance", squared_distance())
     near = F.coalesce(F.col("distance") <= chi_squared(quantile, _SIZE), F.lit(True))
