@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import cut_lineage
+from fieldtally.llm.common import cut_lineage, free_name, quoted
 
 _UPPER = "".join(map(chr, range(65, 91)))
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -124,8 +124,10 @@ def contamination(
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
-    """``docs`` without contaminated rows; all others stay as they are."""
+    """``docs`` without contaminated rows; all others stay as they are, whatever their columns are called."""
     bad = contamination(docs, items, size, share).where("contaminated").select("doc_id", "mark").distinct()
-    marked = docs.withColumn("__mark", F.xxhash64("text")).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.__mark") == F.col("b.mark"))
-    return marked.join(bad.alias("b"), same, "left_anti").select(*docs.columns)
+    mark = free_name(docs, "mark")
+    marked = docs.select(*quoted(docs.columns), F.xxhash64("text").alias(mark))
+    named = bad.toDF(free_name(marked, "of_id"), free_name(marked, "of_mark"))
+    same = marked["doc_id"].eqNullSafe(named[named.columns[0]]) & (marked[mark] == named[named.columns[1]])
+    return marked.join(named, same, "left_anti").select(*quoted(docs.columns))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from fieldtally.llm.common import ngram_buckets
+from fieldtally.llm.common import ngram_buckets, quoted
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -145,7 +145,9 @@ def identified(
     NULL texts and texts without a letter are ``und`` with score 0, as is everything where nothing was learned.
     Columns of ``docs`` with these names are replaced; all others, and repeated rows, stay.
     """
-    kept = docs.select(*[c for c in docs.columns if c not in names])
-    added = [StructField(name, kind) for name, kind in zip(names, (StringType(), DoubleType()))]
+    columns = [c for c in docs.columns if c not in names]
+    # under plain names through the tasks, as a name may hold anything
+    kept = docs.select(*quoted(columns)).toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(columns)])
+    added = [StructField(name, kind) for name, kind in zip(("lang_pred", "score"), (StringType(), DoubleType()))]
     schema = StructType([*kept.schema.fields, *added])
-    return kept.mapInArrow(_identifier(model, rounds, penalty, names), schema)
+    return kept.mapInArrow(_identifier(model, rounds, penalty, ("lang_pred", "score")), schema).toDF(*columns, *names)

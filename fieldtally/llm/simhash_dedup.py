@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import cut_lineage
+from fieldtally.llm.common import cut_lineage, free_name, quoted
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 1 << 16
@@ -47,16 +47,17 @@ def _fingerprints(shingle: int):
         for batch in batches:
             prints = [simhash((t.as_py() or "").encode(), shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "bits"]
+                [batch.column("doc_id"), batch.column("mark"), pa.array(np.array(prints, np.uint64).view(np.int64))],
+                names=["doc_id", "mark", "bits"],
             )
 
     return batch_prints
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id`` and the 64 fingerprint ``bits`` (signed) of every row; NULL text has no words and fingerprint zero."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, bits long")
+    """``doc_id, mark`` (a hash of the text) and the 64 fingerprint ``bits`` (signed) of every row; NULL text has no words and fingerprint zero."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, mark long, bits long")
 
 
 def _forest(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -194,7 +195,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, node_rows: int = 4096) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, fingerprint`` (16 hex digits) and ``component_id``.
+    """Per row of ``docs``: ``doc_id, fingerprint`` and ``component_id`` of :func:`grouped`."""
+    return grouped(docs, shingle, budget, node_rows).drop("mark", "root")
+
+
+def grouped(docs: DataFrame, shingle: int = 3, budget: int = 2, node_rows: int = 4096) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, mark`` (a hash of the text), ``fingerprint`` (16 hex digits), ``component_id`` and the ``root`` that tells components apart.
 
     ``component_id`` is the smallest ``doc_id`` that links of at most ``budget`` differing bits reach. Empty and NULL
     texts have fingerprint zero and link like any other. Repeated rows stay, each with its component. A NULL id is
@@ -206,18 +212,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, node_row
     rooted = distinct.join(roots, F.col("bits") == F.col("node"), "left")
     rooted = cut_lineage(rooted.select("bits", "first", F.coalesce("root", "bits").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("bits", "component_id")
+    named = rooted.join(least, "root").select("bits", "root", "component_id")
     return prints.join(named, "bits").select(
-        "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", "mark", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id", "root"
     )
 
 
 def first_of_each(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest ``doc_id``.
 
-    Of rows that share that id one is kept. Rows with a NULL id cannot be chosen between and stay.
+    Of rows that share that id the one with the smallest hash of its text is kept, and of rows alike in both any one. Rows of
+    other components stay, also where they share an id. Rows with a NULL id cannot be chosen between and stay. Columns may have
+    any names; no rows give no rows.
     """
-    found = near_duplicates(docs.where("doc_id is not null"), shingle, budget)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    own, mark = quoted(docs.columns), free_name(docs, "mark")
+    known = docs.where("doc_id is not null")
+    found = grouped(known, shingle, budget).where("doc_id = component_id")
+    first = found.groupBy("root").agg(F.min("doc_id").alias("of_id"), F.min("mark").alias("of_mark")).drop("root")
+    marked = known.select(*own, F.xxhash64("text").alias(mark))
+    taken = first.withColumnsRenamed({c: free_name(marked, c) for c in first.columns})
+    same = (marked["doc_id"] == taken[taken.columns[0]]) & (marked[mark] == taken[taken.columns[1]])
+    chosen = marked.join(taken, same, "left_semi").dropDuplicates(["doc_id", mark])
+    return chosen.select(*own).unionByName(docs.where("doc_id is null"))

@@ -426,3 +426,87 @@ def test_labels_are_joined_without_texts(spark):
     texts = {(r.h1, r.h2): r.text for r in common.sampled_texts(docs, list(rows.values())).collect()}
     assert set(texts) == set(rows) and sorted(texts.values()) == ["", *(f"w{i} x" for i in range(7))]
     assert {r.weight for r in rows.values()} == {1, 2}
+
+
+def test_unlike_words_are_never_taken_for_each_other(spark):
+    """Two words that collide under any polynomial hash modulo 2^64: Thue-Morse order and its mirror."""
+    bits = [k.bit_count() & 1 for k in range(4096)]
+    words = passage(9, 12)
+    rows = [(1, words + " " + "".join("ab"[b] for b in bits)), (2, words + " " + "".join("ba"[b] for b in bits))]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in found} == {1: 0, 2: 0}
+
+
+def test_many_findings_in_a_text(spark):
+    """More findings than a block holds, overlapping ones too; places and redaction equal to Python's."""
+    text = "".join(f"é{k} token: {'ab12' * 3}{k} {'0123456789abcdef' * 2}{k % 10} AKIA{'ABCD' * 3}{k} secret={'f0' * 20}\n" for k in range(900))
+    df = spark.createDataFrame([(1, text, len(text)), (2, "x" + text, 0), (3, "secret: short", 13)], "doc_id long, text string, n_chars int")
+    wanted = []
+    for i, rule in enumerate(secrets.RULES):
+        for m in re.finditer(rule.pattern, text):
+            if len(m.group(rule.group)) >= rule.least:
+                wanted.append((m.start(), i, m.end()))
+    rows = {r.doc_id: r for r in secrets.secret_report(df).collect()}
+    kinds = [r.kind for r in secrets.RULES]
+    assert rows[1].spans == ",".join(f"{kinds[i]}:{a}:{b}" for a, i, b in sorted(wanted)) and len(wanted) > 3000
+    out, at = [], 0
+    for a, _, b in sorted(wanted):
+        if a >= at:
+            out.append(text[at:a] + "[secret]")
+        at = max(at, b)
+    clean = "".join(out) + text[at:]
+    found = {r.doc_id: (r.text, r.n_chars) for r in secrets.redacted(df).collect()}
+    assert found == {1: (clean, len(clean)), 2: ("x" + clean, len(clean) + 1), 3: ("secret: short", 13)}
+
+
+def test_ledger_grows_by_unseen_blobs(spark, docs):
+    old = docs.where("doc_id < 5")
+    ledger = secrets.scan_unseen(secrets.addressed(old))
+    whole = sorted(map(str, secrets.secret_report(docs).collect()))
+    assert sorted(map(str, secrets.secret_report(docs, ledger).collect())) == whole
+
+
+AWKWARD_NAMES = "`a.b` string, `mark` string, score double, lang_pred string, address string, blob string, spans string, clean string, of_id int"
+
+
+def test_stages_keep_columns_of_any_name_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    shared, extra = passage(21, 60), ("p", "q", 1.5, "r", "s", "t", "u", "v", 9)
+    texts = [(5, "first text " + passage(22, 50)), (5, "another one " + passage(23, 50)), (6, "first text " + passage(22, 50)), (7, None),
+             (8, "12 34"), (9, shared + " token: abcdefgh123"), (9, shared + " token: abcdefgh123"), (10, passage(24, 70))]
+    kind = "doc_id long, text string, lang string, n_chars int, " + AWKWARD_NAMES
+    df = spark.createDataFrame([(i, t, "en", len(t or ""), *extra) for i, t in texts], kind)
+    left = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, SF_DIR)
+        assert left.columns == df.columns, name
+    rows = sorted(left.collect(), key=lambda r: (r.doc_id, r.text))
+    assert [(r.doc_id, r.text) for r in rows] == sorted([texts[0], texts[1], (9, shared + " [secret]"), texts[7]])
+    assert all(tuple(r)[4:] == extra and r.n_chars == len(r.text) for r in rows)
+    none = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF_DIR).collect() == []
+
+
+def test_windows_are_packed_by_least_squares():
+    """Every placement is one of least sum of squared counts; real lengths stay far below the bound on open windows."""
+    rng = np.random.default_rng(5)
+    packer, counts = packing.SumOfSquares(64, 10_000), np.zeros(65, int)
+    for n in rng.integers(1, 64, 600).tolist():
+        costs = {}
+        for level in range(0, 64 - n + 1):
+            if level == 0 or counts[level]:
+                after = counts.copy()
+                after[level] -= level > 0
+                after[level + n] += 1
+                costs[level] = int((after[1:64] ** 2).sum())
+        before = packer.counts.copy()
+        packer.place(("d", 0, b"", n), n)
+        change = packer.counts - before
+        gone = np.flatnonzero(change[:64] < 0)
+        level = int(gone[0]) if len(gone) else 0
+        assert costs[level] == min(costs.values())
+        counts[level] -= level > 0
+        counts[level + n] += 1
+        counts[64] = 0
