@@ -10,6 +10,8 @@ and the number of partitions follows the number of digests. Column expressions,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,31 +35,32 @@ def _cells(key: Column, slots: int) -> list[Column]:
     return [(F.shiftright(key, 20 * j).bitwiseAND(F.lit(slots - 1)) + j * slots).cast("int") for j in range(3)]
 
 
-def sketches(rows: DataFrame, slots: int) -> DataFrame:
-    """Sketches of the three sides of every ``row``: ``row, c`` and per side i ``n{i}, k{i}, h{i}``, one row per cell in use."""
-    sides = [F.struct(F.lit(i).alias("side"), F.col(keys).alias("found")) for i, keys in enumerate(_SIDES)]
-    keys = rows.select("row", F.explode(F.array(*sides)).alias("s")).select("row", "s.side", F.explode("s.found").alias("k"))
+def sketches(rows: DataFrame, slots: int, sides: Sequence[str] = _SIDES) -> DataFrame:
+    """Sketches of the sides of every ``row``: ``row, c`` and per side i ``n{i}, k{i}, h{i}``, one row per cell in use."""
+    found = [F.struct(F.lit(i).alias("side"), F.col(keys).alias("found")) for i, keys in enumerate(sides)]
+    keys = rows.select("row", F.explode(F.array(*found)).alias("s")).select("row", "s.side", F.explode("s.found").alias("k"))
     entries = keys.select("row", "side", "k", F.xxhash64("k").alias("h"), F.explode(F.array(*_cells(F.col("k"), slots))).alias("c"))
     sums = []
-    for i in range(len(_SIDES)):
+    for i in range(len(sides)):
         own = lambda x: F.when(F.col("side") == i, x).otherwise(F.lit(0).cast("long"))  # noqa: E731, B023
         sums += [F.sum(own(F.lit(1))).alias(f"n{i}"), F.bit_xor(own(F.col("k"))).alias(f"k{i}"), F.bit_xor(own(F.col("h"))).alias(f"h{i}")]
     return entries.groupBy("row", "c").agg(*sums)
 
 
-def _cell(pair: Column, place: Column, n: Column, k: Column, h: Column) -> Column:
-    return F.struct(pair.alias("pair"), place.alias("c"), n.cast("long").alias("n"), k.alias("k"), h.alias("h"))
+def _cell(pair: Column, place: Column, own: Column, n: Column, k: Column, h: Column) -> Column:
+    return F.struct(pair.alias("pair"), place.alias("c"), own.alias("own"), n.cast("long").alias("n"), k.alias("k"), h.alias("h"))
 
 
 def _used() -> Column:
     return (F.col("n") != 0) | (F.col("k") != 0) | (F.col("h") != 0)
 
 
-def subtracted(sketched: DataFrame) -> DataFrame:
-    """First side less each other one: ``row, pair, c, n, k, h``, cells that are not empty."""
+def subtracted(sketched: DataFrame, sides: int = len(_SIDES)) -> DataFrame:
+    """First side less each other one: ``row, pair, c, own, n, k, h``, cells that are not empty."""
+    none = F.lit(0).cast("long")
     pairs = [
-        _cell(F.lit(i), F.col("c"), F.col("n0") - F.col(f"n{i}"), F.col("k0").bitwiseXOR(F.col(f"k{i}")), F.col("h0").bitwiseXOR(F.col(f"h{i}")))
-        for i in range(1, len(_SIDES))
+        _cell(F.lit(i), F.col("c"), none, F.col("n0") - F.col(f"n{i}"), F.col("k0").bitwiseXOR(F.col(f"k{i}")), F.col("h0").bitwiseXOR(F.col(f"h{i}")))
+        for i in range(1, sides)
     ]
     return sketched.select("row", F.inline(F.array(*pairs))).where(_used())
 
@@ -65,37 +68,35 @@ def subtracted(sketched: DataFrame) -> DataFrame:
 def peeled(cells: DataFrame, slots: int, rounds: int = _ROUNDS) -> DataFrame:
     """Takes single digests out of subtracted sketches, in turn from each subtable, where a digest has one cell.
 
-    Per ``row``: ``d{i}`` digests recovered from pair i, NULL if cells are left. Rows without cells are absent. The number
-    recovered so far is kept in a cell of its own, numbered -1.
+    The same columns: a recovered digest is a row of its own with ``c`` -1, the digest in ``k`` and ``own``, and ``n`` 1 if the first side
+    has it, -1 if the other one has it. Rows with ``c`` from 0 are cells that could not be peeled.
     """
     none = F.lit(0).cast("long")
     for turn in range(rounds):
         j = turn % 3
-        places, (pair, n, k, h) = _cells(F.col("k"), slots), (F.col(x) for x in ("pair", "n", "k", "h"))
-        single = F.col("c").between(j * slots, (j + 1) * slots - 1) & (F.abs(n) == 1) & (h == F.xxhash64(k))
-        elsewhere = [_cell(pair, places[i], -n, k, h) for i in range(3) if i != j]
-        taken = F.array(_cell(pair, F.lit(-1), F.lit(1), none, none), *elsewhere)
-        moved = F.when(single, taken).otherwise(F.array(_cell(pair, F.col("c"), n, k, h)))
-        cells = cells.select("row", F.inline(moved)).groupBy("row", "pair", "c")
+        places, (pair, c, own, n, k, h) = _cells(F.col("k"), slots), (F.col(x) for x in ("pair", "c", "own", "n", "k", "h"))
+        single = c.between(j * slots, (j + 1) * slots - 1) & (F.abs(n) == 1) & (h == F.xxhash64(k))
+        elsewhere = [_cell(pair, places[i], none, -n, k, h) for i in range(3) if i != j]
+        taken = F.array(_cell(pair, F.lit(-1), k, n, k, none), *elsewhere)
+        moved = F.when(single, taken).otherwise(F.array(_cell(pair, c, own, n, k, h)))
+        cells = cells.select("row", F.inline(moved)).groupBy("row", "pair", "c", "own")
         cells = cells.agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).where(_used())
-    found = []
-    for i in range(1, len(_SIDES)):
-        own = F.col("pair") == i
-        left = F.coalesce(F.max(F.when(own, F.col("c"))), F.lit(-1)) >= 0
-        found.append(F.when(~left, F.coalesce(F.sum(F.when(own, F.col("n"))), none)).alias(f"d{i}"))
-    return cells.groupBy("row").agg(*found)
+    return cells
 
 
 def differing(rows: DataFrame, parts: int) -> DataFrame:
     """``row, d1, d2``: how many digests differ between the first side and each other one; rows without a difference are absent.
 
-    ``rows`` is stored and dealt by ``row``. Rows whose sketches do not peel are sketched larger; beyond the largest size
-    the digests themselves are compared.
+    ``rows`` is stored and dealt by ``row``. The digests that peeling recovers are counted. Rows whose sketches do not peel are
+    sketched larger; beyond the largest size the digests themselves are compared.
     """
     out, numbers = None, [f"d{i}" for i in range(1, len(_SIDES))]
     stuck = F.col("d1").isNull() | F.col("d2").isNull()
     for slots in (_SLOTS, *_RETRIES):
-        tried = cut_lineage(peeled(subtracted(sketches(rows, slots)), slots))
+        own = [F.col("pair") == i for i in range(1, len(_SIDES))]
+        left = [F.coalesce(F.max(F.when(x, F.col("c"))), F.lit(-1)) >= 0 for x in own]
+        found = [F.when(~over, F.count_if(x & (F.col("c") < 0))).alias(name) for x, over, name in zip(own, left, numbers)]
+        tried = cut_lineage(peeled(subtracted(sketches(rows, slots)), slots).groupBy("row").agg(*found))
         done = tried.where(~stuck)
         out = done if out is None else out.unionByName(done)
         again = tried.where(stuck).select("row")
@@ -109,6 +110,43 @@ def differing(rows: DataFrame, parts: int) -> DataFrame:
     return out.unionByName(rows.select("row", *apart))
 
 
+def changed_paragraphs(before: DataFrame, after: DataFrame, sizes: Sequence[int] = (_SLOTS, *_RETRIES)) -> DataFrame:
+    """Digests of the paragraphs that only one of two versions has: ``doc_id, digest, side`` ('before' or 'after').
+
+    The versions' sketches (each ``doc_id, text``) are subtracted and peeled; a document that gets stuck is sketched again with
+    the next of ``sizes`` cells in a subtable, and beyond the largest its digests are compared. A document in one version only, a
+    NULL text or an empty one has no paragraph there. Rows that share an id in a version, NULL ids too, are one document with the
+    paragraphs of all; repeated paragraphs count once. Equal versions and empty tables have no row. Other columns are not looked at.
+    """
+    sides = ("keys", "other_keys")
+
+    def side(docs: DataFrame, i: int) -> DataFrame:
+        one = docs.select("doc_id", digests(F.col("text").cast("string")).alias("found"))
+        none = F.array().cast("array<bigint>")
+        return one.select("doc_id", *(F.col("found").alias(name) if i == j else none.alias(name) for j, name in enumerate(sides)))
+
+    single = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+    rows = side(before, 0).unionByName(side(after, 1)).groupBy("doc_id").agg(*(single(name) for name in sides))
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    many = rows.agg(F.sum((F.size(sides[0]) + F.size(sides[1])).cast("long"))).first()[0] or 0
+    parts = max(1, -(-many // _DEALT))
+    label = lambda first: F.when(first, "before").otherwise("after").alias("side")
+    left, out = rows.repartition(parts, "row"), None
+    for slots in sizes:
+        tried = cut_lineage(peeled(subtracted(sketches(left, slots, sides), len(sides)), slots).select("row", "c", "n", "k"))
+        again = tried.where("c >= 0").select("row").distinct()
+        done = tried.join(again, "row", "left_anti").select("row", F.col("k").alias("digest"), label(F.col("n") > 0))
+        out = done if out is None else out.unionByName(done)
+        left = left.join(again, "row", "left_semi").repartition(parts, "row")
+        if again.isEmpty():
+            break
+    else:
+        missing = lambda x, y, first: F.transform(F.array_except(x, y), lambda k: F.struct(k.alias("digest"), label(F.lit(first))))
+        apart = F.concat(missing(*sides, True), missing(*reversed(sides), False))
+        out = out.unionByName(left.select("row", F.inline(apart)))
+    return out.join(rows.select("row", "doc_id"), "row").select("doc_id", "digest", "side")
+
+
 def likeness(a: str, b: str, differ: Column) -> Column:
     """Shared digests by all digests of two sets, from their sizes and the number that differ; 1 for two empty ones."""
     both = F.size(a) + F.size(b)
