@@ -8,6 +8,8 @@ left is compared word for word. Column expressions and joins only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,22 +38,29 @@ def windows_of(items: DataFrame, size: int) -> DataFrame:
     return named.groupBy("window").agg(F.first("words").alias("words"), F.collect_set("item").alias("items"))
 
 
+def _sender(words: DataFrame, limit: int) -> Callable[[DataFrame], DataFrame]:
+    """Broadcast for frames of at most the texts in ``words`` (``bytes`` a row), if these are within ``limit``; else Spark's choice."""
+    held = words.agg(F.sum(F.col("bytes") + 64)).first()[0] or 0  # an entry of a hash table has some 64 bytes beside its text
+    return F.broadcast if held <= limit else lambda df: df
+
+
 def occurrences(
-    docs: DataFrame, items: DataFrame, size: int = 13, broadcast_bytes: int = 16_000_000
+    docs: DataFrame, items: DataFrame, size: int = 13, broadcast_bytes: int = 32_000_000
 ) -> tuple[DataFrame, DataFrame]:
     """``doc_id, mark, n_words`` of every row, and ``doc_id, mark, start, length, items`` of every place of a window.
 
-    Places count from 1. ``mark`` is a hash of the text and tells rows of one ``doc_id`` apart. The windows are broadcast
-    while the benchmark's texts have at most ``broadcast_bytes``; beyond that the same joins shuffle.
+    Places count from 1. ``mark`` is a hash of the text and tells rows of one ``doc_id`` apart. The windows' words, which are
+    few, and the windows themselves are broadcast while what is stored of them has at most ``broadcast_bytes``, each on its own.
+    Beyond that they are shuffled, and of the documents only the words that some window is looked up by.
     """
-    items_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    small = F.broadcast if items_bytes <= broadcast_bytes else lambda df: df
     windows = cut_lineage(windows_of(items, size))
+    small = _sender(windows.select((2 * F.octet_length("window") + 24 * F.size("words") + 16 * F.size("items")).alias("bytes")), broadcast_bytes)
+    vocabulary = cut_lineage(windows.select(F.explode("words").alias("word")).distinct())
+    few = _sender(vocabulary.select(F.octet_length("word").alias("bytes")), broadcast_bytes)
     words = words_of(F.col("text"))
-    # the outer forms keep Spark from cutting every text twice to look for empty arrays
+    # the outer form keeps Spark from cutting every text twice to look for empty arrays
     seen = docs.select(F.explode_outer(words).alias("raw")).select(lowered(F.col("raw")).alias("word"))
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    counts = seen.join(small(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("k"))
+    counts = seen.join(few(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("k"))
     # words that no document has rule their windows out
     ranked = windows.select("window", F.posexplode("words").alias("place", "word"), F.size("words").alias("length")).join(
         counts, "word", "left"
@@ -61,32 +70,39 @@ def occurrences(
     )
     prefixes = rarest.where("r.k > 0").select("window", "r.word", "r.place", "r.length")
     prefixes = cut_lineage(prefixes)
-    # an empty word at place 0 keeps one row per document, with its length
-    spoken = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.concat(F.array(F.lit("")), words).alias("words"))
-    probes = spoken.select("doc_id", "mark", (F.size("words") - 1).alias("n_words"), F.posexplode_outer("words").alias("at", "raw"))
-    probes = probes.withColumn("word", lowered(F.col("raw"))).drop("raw")
-    found = probes.join(small(prefixes), "word", "left")
     start = F.col("at") - F.col("place")
     fits = (start >= 1) & (start + F.col("length") - 1 <= F.col("n_words"))
-    found = cut_lineage(
-        found.where((F.col("at") == 0) | fits).select("doc_id", "mark", "n_words", "at", start.alias("start"), "length", "window")
-    )
+    if small is F.broadcast:
+        # an empty word at place 0 keeps one row per document, with its length; no row is shuffled
+        spoken = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.concat(F.array(F.lit("")), words).alias("words"))
+        probes = spoken.select("doc_id", "mark", (F.size("words") - 1).alias("n_words"), F.posexplode_outer("words").alias("at", "raw"))
+        found = probes.withColumn("word", lowered(F.col("raw"))).join(small(prefixes), "word", "left")
+        found = found.where((F.col("at") == 0) | fits)
+        found = cut_lineage(found.select("doc_id", "mark", "n_words", "at", start.alias("start"), "length", "window"))
+        counted, found = found.where("at = 0").select("doc_id", "mark", "n_words"), found.where("at > 0")
+    else:
+        spoken = docs.select("doc_id", F.xxhash64("text").alias("mark"), words.alias("words"))
+        counted = spoken.select("doc_id", "mark", F.size("words").alias("n_words"))
+        probes = spoken.select("doc_id", "mark", F.size("words").alias("n_words"), F.posexplode("words").alias("before", "raw"))
+        probes = probes.select("doc_id", "mark", "n_words", (F.col("before") + 1).alias("at"), lowered(F.col("raw")).alias("word"))
+        probes = probes.join(few(prefixes.select("word").distinct()), "word", "left_semi")
+        # adaptive execution splits the rows of a frequent word over several tasks
+        found = probes.join(prefixes, "word").where(fits)
+        found = cut_lineage(found.select("doc_id", "mark", start.alias("start"), "length", "window"))
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"), "text")
     # one row per document, so that its words are cut once however many places are to be compared
-    tries = found.where("at > 0").groupBy("doc_id", "mark").agg(
-        F.collect_set(F.struct("start", "length", "window")).alias("tries")
-    )
+    tries = found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "length", "window")).alias("tries"))
     joined = tries.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")))
     joined = joined.select("doc_id", "mark", words.alias("words"), "tries")
     joined = joined.select("doc_id", "mark", "words", F.explode_outer("tries").alias("t")).select("doc_id", "mark", "words", "t.*")
     said = F.array_join(F.transform(F.slice("words", F.col("start"), F.col("length")), lowered), " ")
     proven = joined.where(said == F.col("window")).select("doc_id", "mark", "start", "length", "window")
     placed = proven.join(small(windows.select("window", "items")), "window").drop("window")
-    return found.where("at = 0").select("doc_id", "mark", "n_words"), placed
+    return counted, placed
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20, broadcast_bytes: int = 16_000_000
+    docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20, broadcast_bytes: int = 32_000_000
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, mark``.
 

@@ -101,7 +101,7 @@ def test_redaction_keeps_columns_of_any_name(spark):
 
 def test_contamination(spark, docs):
     items = spark.createDataFrame([(1, SHARED.upper()), (2, "Ärger, ZWEI"), (3, None), (4, ""), (5, "absent")], "item_id long, text string")
-    for limit in (16_000_000, 0):  # broadcast and shuffled
+    for limit in (32_000_000, 8_000, 0):  # windows and words broadcast, words only, both shuffled
         rows = {r.doc_id: r for r in decontamination.contamination(docs, items, broadcast_bytes=limit).collect()}
         assert len(rows) == len({i for i, _ in TEXTS})
         assert (rows[3].n_words, rows[3].n_hit, rows[3].n_items, rows[3].contaminated) == (40, 40, 1, True)
@@ -111,6 +111,22 @@ def test_contamination(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 5, 6, 7, 8, 9, 10, 11}
 
 
+def test_windows_are_shuffled_by_what_is_stored_of_them(spark, monkeypatch):
+    items = spark.createDataFrame([(i, passage(50 + i, 200)) for i in range(12)], "item_id long, text string")
+    texts = [(i, "before " + passage(50 + i % 20, 200)[: 300 + 40 * i] + " after") for i in range(40)] + [(90, None), (91, "w001 " * 500)]
+    many = spark.createDataFrame(texts, "doc_id long, text string")
+    stored = sum(len(r.window) for r in decontamination.windows_of(items, 13).collect())
+    sent = []
+    real = F.broadcast
+    monkeypatch.setattr(decontamination.F, "broadcast", lambda df: sent.append(df.columns) or real(df))
+    rows = []
+    for limit in (100 * stored, stored, 0):
+        sent.clear()
+        rows.append(sorted(decontamination.contamination(many, items, broadcast_bytes=limit).drop("mark").collect()))
+        assert any("window" in columns for columns in sent) == (limit > stored) and bool(sent) == (limit > 0)
+    assert rows[0] == rows[1] == rows[2] and sum(r.contaminated for r in rows[0]) == 24
+
+
 def brute_simhash(text):
     words = (text or "").encode().translate(simhash_dedup._LOWER).split()
     runs = [b" ".join(words)] if len(words) < 3 else [b" ".join(words[k : k + 3]) for k in range(len(words) - 2)]
@@ -193,6 +209,27 @@ def test_larger_sketches_recover_what_small_ones_cannot(spark):
     assert row.near_next == pytest.approx(400 / 1100)
 
 
+@pytest.mark.parametrize("sizes", [(64, 1024), (8,), (8, 16, 1024)])
+def test_peeling_recovers_the_changed_paragraphs(spark, sizes):
+    lines = lambda a, b: "\n".join(f"line {i}" for i in range(a, b))
+    old = [(1, lines(0, 400)), (2, "a. b! c"), (3, None), (4, "same. text"), (5, "gone"), (7, "x. y"), (7, "z"), (None, "n. m"), (8, "")]
+    new = [(1, lines(150, 600)), (2, "b. c. d. d\nd"), (3, "now"), (4, "text\nsame"), (6, "born. born"), (7, "z. w"), (None, "m"), (8, " \n.")]
+    schema = "doc_id long, text string, digest string, side string"
+    frames = [spark.createDataFrame([(i, t, "d", "s") for i, t in rows], schema) for rows in (old, new)]
+    found = fingerprints.changed_paragraphs(*frames, sizes=sizes).collect()
+
+    def parts(rows):
+        return {(i, p.strip(" ")) for i, t in rows for p in re.split(r"[\n.!?]+", t or "")} - {(i, "") for i, _ in rows}
+
+    texts = sorted({p for _, p in parts(old) | parts(new)})
+    named = spark.createDataFrame([(t,) for t in texts], "p string").select("p", F.xxhash64("p").alias("k")).collect()
+    by_digest = {r.k: r.p for r in named}
+    got = sorted((r.doc_id or 0, by_digest[r.digest], r.side) for r in found)
+    want = [(i or 0, p, "before") for i, p in parts(old) - parts(new)] + [(i or 0, p, "after") for i, p in parts(new) - parts(old)]
+    assert got == sorted(want)
+    assert fingerprints.changed_paragraphs(frames[0].limit(0), frames[1].limit(0)).count() == 0
+
+
 def test_language_mixture(spark):
     rows = [(i, ("the cat and the dog with this " if i % 2 else "der hund und die katze mit dem ") * 5, "en" if i % 2 else "de") for i in range(40)]
     model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
