@@ -226,22 +226,27 @@ def coverage(obs: DataFrame, chk: DataFrame, parks: DataFrame, settings: Setting
 def watch_lists(
     obs: DataFrame, chk: DataFrame, entries: DataFrame, lists: Mapping[str, DataFrame], settings: Settings
 ) -> dict[str, DataFrame]:
-    """Watch-list records, tallies, detection and tool statistics for each park with a list."""
-    out = {}
+    """Watch-list records, tallies, detection and tool statistics of all parks with a list, each against its own, in one pass."""
+    if not lists:
+        return {}
     first, last = settings.tool_period
-    for park, watch in lists.items():
-        here = F.col("park") == park
-        feed = W.combined_feed(obs.where(here), chk.where(here))
-        table = W.tallies(feed, entries, watch)
-        inside = W.tallies(feed.where(P.in_period("observed_on", first, last, closed=False)), entries, watch)
-        flags = W.detection(watch, table)
-        out |= {
-            f"watch_records_{park}": W.classify(feed, entries, watch),
-            f"watch_table_{park}": W.report_order(table),
-            f"watch_tool_stats_{park}": W.list_totals(inside),
-            f"watch_detection_rate_{park}": W.detection_rate(flags.where("in_park = 'Y'")),
-            f"watch_unexpected_{park}": flags.where("in_park IN ('N', 'U') AND detected = 'yes'"),
-        }
+    watch, some = W.by_park(lists), F.col("park").isin(*lists)
+    feed = W.combined_feed(obs.where(some), chk.where(some), "park")
+    table = W.tallies(feed, entries, watch, by="park")
+    inside = W.tallies(feed.where(P.in_period("observed_on", first, last, closed=False)), entries, watch, by="park")
+    flags = W.detection(watch, table, by="park")
+    out = {
+        "watch_records": W.classify(feed, entries, watch, by="park"),
+        "watch_table": table,
+        "watch_tool_stats": W.list_totals(inside, by="park"),
+        "watch_detection_rate": W.detection_rate(flags.where("in_park = 'Y'"), by="park"),
+        "watch_unexpected": flags.where("in_park IN ('N', 'U') AND detected = 'yes'"),
+    }
+    for park, own in lists.items():
+        of_park = {f"{name}_{park}": df.where(F.col("park") == park).drop("park") for name, df in out.items() if "park" in df.columns}
+        of_park[f"watch_table_{park}"] = W.report_order(of_park[f"watch_table_{park}"])
+        of_park[f"watch_unexpected_{park}"] = of_park[f"watch_unexpected_{park}"].select(*own.columns, "detected")
+        out = out | of_park
     return out
 
 

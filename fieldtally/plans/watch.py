@@ -168,3 +168,60 @@ def watch_combined_feed(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count("positional_accuracy").alias("located")
     )
     return per_name.agg(F.sum("n").alias("n"), F.sum("located").alias("located"), F.count(F.lit(1)).alias("species"))
+
+
+SQL_PARK_TABLE = """named AS (SELECT park, scientific_name FROM lines JOIN taxa USING (part_id)),
+lists AS (
+    SELECT 'O' AS park, scientific_name, category, in_park FROM watch
+    UNION ALL
+    SELECT 'F', p_name, CASE WHEN p_size < 5 THEN 'species of interest' WHEN p_size < 15 THEN 'pest disease' ELSE 'native' END,
+           CASE WHEN p_retailprice < 1200 THEN 'Y' ELSE 'U' END FROM part),
+tally AS (
+    SELECT park, scientific_name, count(*) AS count, 'pest/invasive' AS category FROM (
+        SELECT * FROM named WHERE (park, scientific_name) IN (SELECT (park, scientific_name) FROM lists
+            WHERE category IN ('invasive not established', 'invasive established', 'pest disease'))
+        UNION ALL
+        SELECT * FROM named WHERE (park, regexp_replace(scientific_name, '\\s\\w*', '')) IN (
+            SELECT (park, regexp_replace(scientific_name, '\\s\\w*\\.', '')) FROM lists WHERE regexp_matches(scientific_name, 'spp.$')))
+    GROUP BY park, scientific_name
+    UNION ALL
+    SELECT park, scientific_name, count(*), 'threatened/endangered' FROM named JOIN status USING (scientific_name) GROUP BY park, scientific_name
+    UNION ALL
+    SELECT park, scientific_name, count(*), 'rare native' FROM named WHERE (park, scientific_name) IN (
+        SELECT (park, scientific_name) FROM lists WHERE category = 'species of interest') GROUP BY park, scientific_name)"""
+
+
+def _park_lists(spark, sf):
+    """The short list of one park, and a list as long as the table of parts of another."""
+    size = F.col("p_size")
+    long_list = S.table(spark, sf, "part").select(
+        F.col("p_name").alias("scientific_name"),
+        F.when(size < 5, W.RARE_CATEGORY).when(size < 15, "pest disease").otherwise("native").alias("category"),
+        F.when(F.col("p_retailprice") < 1200, "Y").otherwise("U").alias("in_park"),
+    )
+    return W.by_park({"O": S.watch_list(spark), "F": long_list})
+
+
+def _tallies_by_park(spark, sf, lists):
+    per_part = counts.count_rows(S.lines(spark, sf), ["park", "part_id"], "k")
+    named = per_part.join(S.taxa(spark, sf), "part_id").select("park", "scientific_name", "k")
+    return W.tallies(named, S.status_list(spark), lists, weight="k", by="park")
+
+
+@query(f"WITH {S.SQL_LINES}, {S.SQL_TAXA}, {S.SQL_WATCH}, {S.SQL_STATUS}, {SQL_PARK_TABLE} SELECT * FROM tally")
+def watch_table_by_park(spark, sf):
+    """Tallies of every park against its own list, from one scan."""
+    return _tallies_by_park(spark, sf, _park_lists(spark, sf))
+
+
+@query(
+    f"""
+WITH {S.SQL_LINES}, {S.SQL_TAXA}, {S.SQL_WATCH}, {S.SQL_STATUS}, {SQL_PARK_TABLE}
+SELECT park, count(*) AS listed, count(*) FILTER (seen) AS detected, count(*) FILTER (seen)::DOUBLE / count(*)::DOUBLE AS rate
+FROM (SELECT park, (park, scientific_name) IN (SELECT (park, scientific_name) FROM tally) AS seen FROM lists WHERE in_park = 'Y')
+GROUP BY park
+"""
+)
+def watch_detection_rate_by_park(spark, sf):
+    lists = _park_lists(spark, sf)
+    return W.detection_rate(W.detection(lists, _tallies_by_park(spark, sf, lists), ["Y"], by="park"), by="park")

@@ -152,3 +152,28 @@ def test_one_pass_classification_equals_the_separate_sets(feed, watch, entries,
         assert rows(together.where(F.col("list") == label), "scientific_name", "observed_on") == rows(
             alone, "scientific_name", "observed_on"
         )
+
+
+def test_parks_against_their_own_lists_equal_one_park_at_a_time(feed, watch, entries, rows):
+    parks = F.when(F.col("latitude") % 2 == 0, "a").when(F.col("scientific_name") > "M", "b").otherwise("c")
+    marked = feed.withColumn("park", parks).unionByName(feed.withColumn("park", F.lit(None).cast("string")))
+    lists = {"a": watch, "b": watch.where("category <> 'species of interest'"), "empty": watch}
+    together = W.by_park(lists)
+    records = W.classify(marked, entries, together, by="park")
+    table = W.tallies(marked, entries, together, by="park")
+    flags = W.detection(together, table, by="park")
+    assert {r.park for r in table.collect()} <= {"a", "b"}
+    for park, own in lists.items():
+        here = F.col("park") == park
+        one = marked.where(here).drop("park")
+        alone = W.tallies(one, entries, own)
+        for got, want in (
+            (records, W.classify(one, entries, own)),
+            (table, alone),
+            (W.list_totals(table, by="park"), W.list_totals(alone)),
+            (flags, W.detection(own, alone)),
+            (W.detection_rate(flags, by="park"), W.detection_rate(W.detection(own, alone))),
+        ):
+            of_park = got.where(here).select(*want.columns)
+            assert sorted(map(str, of_park.collect())) == sorted(map(str, want.collect()))
+    assert W.tallies(marked, entries, together.limit(0), by="park").count() == 0
