@@ -63,7 +63,7 @@ def occurrences(
     counts = seen.join(few(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("k"))
     # words that no document has rule their windows out
     ranked = windows.select("window", F.posexplode("words").alias("place", "word"), F.size("words").alias("length")).join(
-        counts, "word", "left"
+        few(counts), "word", "left"  # counts of words of the vocabulary, so no more than it; a frequent word's windows stay where they are
     )
     rarest = ranked.groupBy("window").agg(
         F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "word", "place", "length")).alias("r")
