@@ -547,3 +547,63 @@ def test_windows_are_packed_by_least_squares():
         counts[level] -= level > 0
         counts[level + n] += 1
         counts[64] = 0
+
+
+def test_languages_equal_a_search_over_all_sets(spark):
+    rng = np.random.default_rng(11)
+    letters = ("abcdeo", "mnopqa", "tuvwxa")
+    word = lambda k: "".join(rng.choice(list(letters[k]), rng.integers(3, 7)))
+    speech = lambda k, n: " ".join(word(k) for _ in range(n))
+    known = [(f"l{k}", speech(k, 400)) for k in range(3) for _ in range(4)] + [(None, "zz"), ("l0", None)]
+    model = language_id.learn(spark.createDataFrame(known, "lang string, text string"))
+    buckets, counts = 1 << 14, {f"l{k}": defaultdict(int) for k in range(3)}
+    for lang, text in known:
+        if lang and text:
+            for b in language_id.trigrams(text, 3, buckets).tolist():
+                counts[lang][b] += 1
+    assert model.names == sorted(counts)
+    log_p = [lambda b, own=own, whole=sum(own.values()) + 0.1 * buckets: np.log((own[b] + 0.1) / whole) for _, own in sorted(counts.items())]
+    mixes = [(60, 0, 0), (0, 60, 0), (60, 30, 0), (0, 25, 75), (50, 30, 20), (1, 0, 0), (100, 2, 0), (0, 5, 3)]
+    texts = [(i, " ".join(speech(k, n) for k, n in enumerate(mix) if n)) for i, mix in enumerate(mixes)] + [(90, None), (91, "12 !?")]
+    found = {r.doc_id: r for r in language_id.identified(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, text in texts[: len(mixes)]:
+        grams = language_id.trigrams(text, 3, buckets).tolist()
+        p = np.array([[np.exp(f(b)) for b in grams] for f in log_p])
+        best = None
+        for chosen in range(1, 8):
+            own = [k for k in range(3) if chosen >> k & 1]
+            share = np.full(len(own), 1 / len(own))
+            for _ in range(300):
+                parts = share[:, None] * p[own]
+                share = (parts / parts.sum(0)).mean(1)
+            value = np.log(share @ p[own]).sum() - 4.0 * np.log(len(grams) + 1) * (len(own) - 1)
+            if best is None or value > best[0]:
+                best = value, own[int(np.argmax(share))], share.max()
+        assert (found[i].lang_pred, found[i].score) == (f"l{best[1]}", pytest.approx(best[2], abs=0.05)), i
+    assert [(found[i].lang_pred, found[i].score) for i in (90, 91)] == [("und", 0.0)] * 2
+
+
+def test_quality_grades_equal_plain_python(spark):
+    rng = np.random.default_rng(5)
+    speech = lambda k: " ".join(f"{'abc'[k]}{x}" for x in rng.integers(0, 40, 30))
+    rows = [(speech(i % 3), i % 3) for i in range(120)]
+    docs, grades = labelled(spark, rows, "grade")
+    model = quality.fit(docs, grades, 3, buckets=1024)
+    texts = [(i, speech(i % 3)) for i in range(30)] + [(40, None), (41, ""), (42, "ab"), (42, "ab"), (43, "long " * 20000)]
+    found = quality.graded(spark.createDataFrame(texts, "doc_id long, text string"), model, least=1).collect()
+    assert len(found) == len(texts)
+    for r, (_, text) in zip(sorted(found, key=lambda r: r.doc_id), texts):
+        times = defaultdict(int)
+        for b in quality.ngram_buckets(text or "", 3, 1024).tolist():
+            times[b] += 1
+        whole = sum(times.values())
+        score = sum((n / whole) ** 0.5 * float(model.weights[b]) for b, n in times.items())
+        tails = [1 / (1 + np.exp(cut - score)) for cut in model.thresholds]
+        assert (r.expected_grade, r.tail_probability) == (pytest.approx(sum(tails), abs=1e-3), pytest.approx(tails[0], abs=1e-3))
+        assert r.keep == (r.tail_probability >= 0.5)
+    right = [r for r in found if r.doc_id < 30 and round(r.expected_grade) == r.doc_id % 3]
+    assert len(right) >= 27
+    share = np.bincount([g for _, g in rows]) / len(rows)
+    tails = model.tails(np.stack([quality.vector(t, 1024) for t, _ in rows]))
+    likely = -np.diff(np.concatenate([np.ones((len(rows), 1)), tails, np.zeros((len(rows), 1))], 1))
+    assert np.log([likely[i, g] for i, (_, g) in enumerate(rows)]).mean() > np.log(share).mean() + 0.5
