@@ -64,6 +64,8 @@ def learn(labelled: DataFrame, size: int = 3, buckets: int = 1 << 14, most_langu
     if rows.num_rows > most_languages * buckets:
         raise ValueError(f"more than {most_languages} languages")
     names = sorted(set(rows.column("lang").to_pylist()))
+    if len(names) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     place = {name: i for i, name in enumerate(names)}
     counts = np.full((len(names), buckets), prior)
     at = np.array([place[x] for x in rows.column("lang").to_pylist()], np.int64)

@@ -76,7 +76,7 @@ HEADERS = [
       for n, k, v in _GNU_KINDS for w in (("library", "program") if n[0] == "L" else ("program",)) for more in ("", _HOPE)],
     *[(n, f"Licensed under the GNU {k}, version {v}.") for n, k, v in _GNU_KINDS],
 ]
-# A short form is the licence's only if no word that names it is missing, and no word that makes it another one is added.
+# A notice is the licence's only if no word that names it is missing, and no word that makes it another one is added.
 _NAMES = frozenset(
     "mit apache gnu gpl lgpl lesser affero general mozilla cc by by-nc by-sa creative commons attribution attribution-sharealike "
     "attribution-noncommercial sharealike noncommercial bsd".split()
@@ -86,10 +86,11 @@ _OTHERS = frozenset(
     "attribution-sharealike attribution-noncommercial attribution-noderivatives attribution-noncommercial-sharealike "
     "attribution-noncommercial-noderivatives".split()
 )
-_SHORT = 150  # words
 _ID = r"[A-Za-z0-9][A-Za-z0-9.+-]*"
 _TAG = re.compile(rf"(?i)\bspdx-license-identifier\s*:[ \t]*((?:\([ \t]*)*{_ID}(?:[ \t)]*[ \t](?:and|or|with)[ \t]+[( \t]*{_ID})*)")
 _FIELD = re.compile(rf"(?i)\blicen[cs]e[\"']?[ \t]*[:=][ \t]*[\"']?({_ID})")
+_REST = re.compile(rb"(?:[._-](?!\s)[0-9A-Za-z\x80-\xff]*)*")  # of a word of several parts, from the end of one
+_STRETCH = re.compile(rb"[0-9A-Za-z\x80-\xff._-]*")
 _PARTS = np.ones(256, bool)  # bytes between words
 _PARTS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -100,6 +101,14 @@ def compressed(block: bytes, template: bytes | None, level: int = 19) -> int:
     return len(zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False).compress(block))
 
 
+def _packer(template: bytes, level: int = 19) -> zstandard.ZstdCompressor:
+    """What ``compressed`` uses, made ready once for many blocks."""
+    known = zstandard.ZstdCompressionDict(template, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if template else None
+    if known:
+        known.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False)
+
+
 def differences(block: str, template: str) -> tuple[int, str]:
     """Number of template words in the block's wording, in order, and the changes as text: ``-`` gone, ``+`` added."""
     a, b = _WORD.findall(template.lower()), _WORD.findall(block.lower())
@@ -112,12 +121,22 @@ def differences(block: str, template: str) -> tuple[int, str]:
     return shared, " ".join(said)
 
 
-def forms() -> list[tuple[str, str]]:
-    """Licence and wording of every template: notices, headers, whole texts."""
+def notices() -> list[tuple[str, str]]:
+    """Licence and wording of notices and file headers: these name a licence."""
+    return [*TEMPLATES.items(), *HEADERS]
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Licence and wording of whole licences: these are one, with or without its title."""
     read = lambda name: resources.files(__package__).joinpath("licenses", f"{name}.txt").read_text("utf-8")
     whole = [(name, read(name)) for name in TEXTS]
     two = re.sub(r"(?s)\n3\. Neither.*?permission\.\n", "\n", read("BSD-3-Clause"))
-    return [*TEMPLATES.items(), *HEADERS, *whole, ("BSD-2-Clause", two)]
+    return [*whole, ("BSD-2-Clause", two)]
+
+
+def forms() -> list[tuple[str, str]]:
+    """Licence and wording of every template."""
+    return [*notices(), *whole_texts()]
 
 
 def _version(word: str) -> str:
@@ -125,10 +144,10 @@ def _version(word: str) -> str:
 
 
 class Scanner:
-    """Finds the copies of ``forms`` (licence, wording) in texts."""
+    """Finds the copies of ``forms`` (licence, wording) in texts; the first ``named`` of them are notices."""
 
-    def __init__(self, forms: list[tuple[str, str]], agree: float, any_tag: bool):
-        self.forms, self.agree, self.any_tag = forms, agree, any_tag
+    def __init__(self, forms: list[tuple[str, str]], named: int, agree: float, any_tag: bool):
+        self.forms, self.named, self.agree, self.any_tag = forms, named, agree, any_tag
         self.names = {name.lower(): name for name, _ in forms}
         self.words = [_WORD.findall(text.lower()) for _, text in forms]
         self.index: dict[int, tuple[np.ndarray, ...]] = {}
@@ -152,7 +171,7 @@ class Scanner:
                 keys, first = np.unique(hashes, return_index=True)
                 self.index[size] = (keys, np.append(first, len(hashes)), *(np.array([t[i] for t in triples]) for i in (1, 2)))
         self.least, self.sizes = np.array(self.least), np.array(self.sizes)
-        self.raw = [text.encode() for _, text in forms]
+        self.packers = [_packer(text.encode()) for _, text in forms]
         self.aligned, self.gain = cache(self._aligned), cache(self._gain)
 
     def places(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
@@ -213,14 +232,14 @@ class Scanner:
             said += [f"-{w}" for w in a[i : x.a]] + [f"+{w}" for w in b[k : x.b]]
             i, k = x.a + x.size, x.b + x.size
         sure = len(spans) >= self.agree * len(a) and bool(spans)
-        if sure and len(a) <= _SHORT:
+        if sure and f < self.named:
             instead = {_version(w) for w in added}
             named = [w for w in gone if w in _NAMES or re.search(r"\d", w) and _version(w) not in instead]
             sure = not named and not _OTHERS.intersection(added)
         return len(spans), len(said), tuple(said), spans, sure
 
     def _gain(self, block: bytes, f: int) -> int:
-        return compressed(block, None) - compressed(block, self.raw[f])
+        return compressed(block, None) - len(self.packers[f].compress(block))
 
     def tags(self, text: str) -> Iterator[tuple[int, int, str]]:
         """Start, end and licence of the SPDX tags, and of ``license:`` fields that name a known one."""
@@ -234,19 +253,28 @@ class Scanner:
                     if pattern is _TAG and self.any_tag or base in self.names or word.lower() in self.names:
                         yield m.start(), m.end(), self.names.get(base, self.names.get(word.lower(), word.rstrip(".")))
 
+    def _whole_words(self, raw: bytes, places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Places moved to the ends of the words they cut, each once. A stretch without a gap is walked once, however long."""
+        out, head, tail = {}, (0, -1), (0, -1)
+        for f, start, end in sorted(places, key=lambda x: x[1:]):
+            if not tail[0] <= end <= tail[1]:
+                tail = (end, _REST.match(raw, end).end())
+            if not head[0] < start <= head[1]:
+                first = start
+                while first and (not _PARTS[raw[first - 1]] or raw[first - 1 : first] in b".-_"):
+                    first -= 1
+                head = (first, _STRETCH.match(raw, start).end())
+            # only a start inside the stretch moves to its first byte
+            out[f, head[0], tail[1]] = None
+        return list(out)
+
     def findings(self, text: str, places: list[tuple[int, int, int]], marked: bool) -> list[dict]:
         """Blocks of one text, by place."""
         if self.aligned.cache_info().currsize > 20_000:
             self.aligned.cache_clear()
             self.gain.cache_clear()
         raw, out, left = text.encode() if places else b"", [], []
-        for f, start, end in places:
-            while end < len(raw) and raw[end : end + 1] in b".-_" and end - start < 1 << 20 and not raw[end + 1 : end + 2].isspace():
-                end += 1
-                while end < len(raw) and not _PARTS[raw[end]]:
-                    end += 1
-            while start and (not _PARTS[raw[start - 1]] or raw[start - 1 : start] in b".-_"):
-                start -= 1
+        for f, start, end in self._whole_words(raw, places):
             block = raw[start:end].decode()
             shared, n_changes, said, spans, sure = self.aligned(block, f)
             if spans:
@@ -274,7 +302,7 @@ class Scanner:
                 end = at + len(line)
                 i = int(np.searchsorted(starts, end, side="right"))  # those that begin on or before the line
                 if not (i and reach[i - 1] > at) and re.search(MARKERS, line):
-                    sizes = [(self.gain(line.encode(), f), f) for f in range(len(self.forms)) if len(self.words[f]) <= 20]
+                    sizes = [(self.gain(line.encode(), f), f) for f in range(self.named)]
                     top = max((s for s, _ in sizes), default=0)
                     ranked = [(self.aligned(line, f), s, f) for s, f in sizes if s >= top - 2]
                     if ranked:
@@ -297,9 +325,9 @@ _KIND = pa.list_(pa.struct([
 ]))
 
 
-def _scan(forms: list[tuple[str, str]], agree: float, any_tag: bool, piece: int = 2_000_000):
+def _scan(forms: list[tuple[str, str]], named: int, agree: float, any_tag: bool, piece: int = 2_000_000):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(forms, agree, any_tag)
+        scanner = Scanner(forms, named, agree, any_tag)
         for batch in batches:
             texts, marks = batch.column("text"), batch.column("marked").to_pylist()
             data, offsets = utf8_of(texts)
@@ -326,18 +354,23 @@ def _scan(forms: list[tuple[str, str]], agree: float, any_tag: bool, piece: int
     return scan
 
 
-def scanned(docs: DataFrame, templates: dict[str, str] | None = None, agree: float = 0.8) -> DataFrame:
+def scanned(
+    docs: DataFrame, templates: dict[str, str] | None = None, agree: float = 0.8, texts: dict[str, str] | None = None
+) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_blocks``, the confirmed licences (sorted, by commas) and ``findings``.
 
     A finding has the block's first and last line number, template, bytes saved, wording changes, and whether at least
-    ``agree`` of the template's words are there in order; a template of up to 150 words also needs the words that name its
-    licence. ``templates`` replaces notices, headers and whole texts; SPDX tags then count for its licences only. NULL and
-    empty texts have none; rows that are the same in id and text each get their row. Other columns are not looked at.
+    ``agree`` of the template's words are there in order; a notice also needs the words that name its licence, a whole text
+    does not. Lines with the vocabulary of licences in which no copy was found are ranked against all notices, and stay
+    unconfirmed. ``templates`` replaces the notices and ``texts`` the whole texts; one without the other stands alone, and SPDX
+    tags then count for its licences only. NULL and empty texts have none; rows that are the same in id and text each get
+    their row. Other columns are not looked at.
     """
-    wordings = list(templates.items()) if templates else forms()
+    own = templates is not None or texts is not None
+    named, whole = (list((templates or {}).items()), list((texts or {}).items())) if own else (notices(), whole_texts())
     kind = docs.schema["doc_id"].dataType.simpleString()
     item = "array<struct<line:bigint,template:string,gain:bigint,changes:string,confirmed:boolean,last:bigint>>"
     rows = docs.select("doc_id", "text", F.col("text").rlike(MARKERS).alias("marked"))
     return rows.mapInArrow(
-        _scan(wordings, agree, templates is None), f"doc_id {kind}, n_blocks long, licenses string, findings {item}"
+        _scan([*named, *whole], len(named), agree, not own), f"doc_id {kind}, n_blocks long, licenses string, findings {item}"
     )

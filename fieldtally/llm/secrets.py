@@ -1,7 +1,7 @@
 """Secret scans over an incremental ledger of blobs.
 
-Every version of every path is addressed by the digest of its text. The ledger holds, per blob, the rule
-versions that have scanned it and what they found. A run scans one version of each blob that lacks a rule, and
+Every version of every path is addressed by the digest of its text. An entry of the ledger says which rule versions have
+scanned a blob and what they found; entries are only ever added. A run scans one version of each blob that lacks a rule, and
 only for the rules it lacks; findings are joined back to all paths of a blob. Column expressions only.
 """
 
@@ -116,16 +116,17 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
-def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The ledger after scanning what it lacks of ``versions`` (``path, text, blob``).
+def unseen_entries(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Entries that ``ledger`` lacks of ``versions`` (``path, text, blob``): ``blob``, the rule versions it lacked, their spans.
 
-    One path stands for a blob, so a blob with very many paths is read once. Blobs whose rule versions are all
-    known are not read. A changed rule has another version and is scanned again; its former spans go.
+    One path stands for a blob, so a blob with very many paths is read once. Blobs whose rule versions are all known are not
+    read; of the ledger only digests and rule versions are. A changed rule has another version and is scanned again. The
+    ``rule`` of a span is its place in the entry's ``scanned``, so an entry holds whatever rules later runs have.
     """
     keys = F.array(*[F.lit(r.key) for r in rules])
     chosen = versions.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
-        known = ledger.select("blob", F.col("scanned").alias("done"))
+        known = ledger.groupBy("blob").agg(F.flatten(F.collect_set("scanned")).alias("done"))
         chosen = chosen.join(known, "blob", "left").withColumn("lacks", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>"))))
         chosen = chosen.where(F.size("lacks") > 0).drop("done")
     else:
@@ -136,26 +137,58 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     found = [
         F.when(F.array_contains("c.lacks", r.key), spans_of(F.col("v.text"), r, i)).otherwise(nothing) for i, r in enumerate(rules)
     ]
-    scanned = unseen.select(F.col("v.blob").alias("blob"), F.col("c.lacks").alias("lacks"), F.concat(*found).alias("new"))
-    scanned = scanned.dropDuplicates(["blob"])
+    scanned = unseen.select(F.col("v.blob").alias("blob"), F.col("c.lacks").alias("scanned"), F.concat(*found).alias("spans"))
+    entries = scanned.dropDuplicates(["blob"])
+    return entries.select("blob", "scanned", F.array_sort(_numbered("spans", keys, F.col("scanned"))).alias("spans"))
+
+
+def _numbered(spans: str, old: Column, new: Column) -> Column:
+    """Spans whose ``rule`` is a place in ``old``, with the same rule's place in ``new``; rules that ``new`` lacks go."""
+
+    def place(span: Column) -> Column:
+        return (F.array_position(new, F.element_at(old, span["rule"] + 1)) - 1).cast("int")
+
+    moved = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), place(s).alias("rule"), s["end"].alias("end")))
+    return F.when(old == new, F.col(spans)).otherwise(F.filter(moved, lambda s: s["rule"] >= 0))
+
+
+def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger with the entries that it lacked of ``versions``. Its own entries stay as they are."""
+    entries = cut_lineage(unseen_entries(versions, ledger, rules))
     if ledger is None:
-        return cut_lineage(scanned.select("blob", F.col("lacks").alias("scanned"), F.array_sort("new").alias("spans")))
-    both = ledger.join(scanned, "blob", "full_outer")
-    stale = F.filter("spans", lambda s: ~F.coalesce(F.array_contains("lacks", F.element_at(keys, s["rule"] + 1)), F.lit(False)))
-    kept = F.filter("scanned", lambda k: F.array_contains(keys, k))
-    return cut_lineage(
-        both.select(
-            "blob",
-            F.array_distinct(F.concat(F.coalesce(kept, F.array().cast("array<string>")), F.coalesce("lacks", F.array().cast("array<string>")))).alias("scanned"),
-            F.array_sort(F.concat(F.coalesce(stale, nothing), F.coalesce("new", nothing))).alias("spans"),
-        )
-    )
+        return entries
+    # columns of their own: a checkpointed frame keeps conditions on columns it no longer has, which a union does not survive
+    old, new = (df.select(*[F.col(c).alias(c) for c in ("blob", "scanned", "spans")]) for df in (ledger, entries))
+    return old.unionByName(new)
+
+
+def scan_into(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Appends the entries that the ledger stored at ``path`` lacks of ``versions``, and returns it; it may not exist yet.
+
+    What is stored is never rewritten. A run that is lost has appended nothing, and another one does its work; entries that two
+    runs at once have both appended count once.
+    """
+    spark = versions.sparkSession
+    empty_ledger(spark).write.mode("ignore").parquet(path)
+    known = spark.read.schema(LEDGER).parquet(path)
+    unseen_entries(versions, known, rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def blob_findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob, spans`` of the blobs in which ``rules`` found something; ``rule`` is the place in ``rules``.
+
+    Spans of rule versions that are not in ``rules`` do not count.
+    """
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    valid = ledger.where(F.size("spans") > 0).select("blob", _numbered("spans", F.col("scanned"), keys).alias("spans"))
+    valid = valid.where(F.size("spans") > 0)
+    return valid.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
-def by_path(versions: DataFrame, ledger: DataFrame) -> DataFrame:
+def by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``path, spans`` of every version; only blobs with findings are joined to."""
-    found = ledger.where(F.size("spans") > 0).select("blob", "spans")
-    return versions.select("path", "blob").join(found, "blob", "left").select(
+    return versions.select("path", "blob").join(blob_findings(ledger, rules), "blob", "left").select(
         "path", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans")
     )
 
@@ -177,7 +210,7 @@ def secret_report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     NULL text is empty and has no spans. Repeated rows each get their row. Other columns are not looked at.
     """
     versions = addressed(docs)
-    found = by_path(versions, scan_unseen(versions, ledger, rules)).withColumn("text", described(F.col("spans"), rules))
+    found = by_path(versions, scan_unseen(versions, ledger, rules), rules).withColumn("text", described(F.col("spans"), rules))
 
     def count(number: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["rule"] == number)).cast("long")
@@ -230,7 +263,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[sec
     address = free_name(docs, "address")
     addressed_docs = docs.select(*own, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias(address))
     blob, spans, clean = (free_name(addressed_docs, name) for name in ("blob", "spans", "clean"))
-    found = scan_unseen(addressed(docs), None, rules).where(F.size("spans") > 0).select("blob", "spans").toDF(blob, spans)
+    found = blob_findings(scan_unseen(addressed(docs), None, rules), rules).toDF(blob, spans)
     joined = addressed_docs.join(found, addressed_docs[address] == found[blob], "left")
     changed = F.col(spans).isNotNull()
     joined = joined.select(*own, F.when(changed, _marked_over(F.col("text"), F.col(spans), mark)).alias(clean))

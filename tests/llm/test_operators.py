@@ -85,11 +85,33 @@ def test_secrets_and_ledger(spark, docs):
     versions = secrets.addressed(docs)
     ledger = secrets.scan_unseen(versions)
     assert ledger.count() == len({t or "" for _, t in TEXTS})
+    assert secrets.unseen_entries(versions, ledger).collect() == []
     again = secrets.scan_unseen(versions, ledger)
     assert sorted(map(str, again.collect())) == sorted(map(str, ledger.collect()))
-    newer = (secrets.Rule("assign", r"(intro) (one)", 2, 3, version=2), *secrets.RULES[1:])
-    found = secrets.by_path(versions, secrets.scan_unseen(versions, ledger, newer)).where("path = 0").first()
-    assert [(s.start, s.rule, s.end) for s in found.spans] == [(0, 0, 9)]
+    newer = (*secrets.RULES[1:], secrets.Rule("assign", r"(intro) (one)", 2, 3, version=2))
+    both = secrets.scan_unseen(versions, ledger, newer)
+    assert {tuple(r.scanned) for r in secrets.unseen_entries(versions, ledger, newer).collect()} == {("assign:2",)}
+    found = {r.path: [(s.start, s.rule, s.end) for s in r.spans] for r in secrets.by_path(versions, both, newer).collect()}
+    assert found[0] == [(0, 2, 9)] and [x[1] for x in found[9]] == [0, 1]  # the former rule's spans go, the others keep theirs
+    former = {r.path: r.spans for r in secrets.by_path(versions, ledger).collect()}
+    assert {r.path: r.spans for r in secrets.by_path(versions, both).collect()} == former
+
+
+def test_stored_ledger_is_only_appended_to(spark, docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    parts = lambda: {f.name: f.stat().st_mtime_ns for f in (tmp_path / "ledger").glob("part-*")}
+    versions = secrets.addressed(docs)
+    secrets.scan_into(versions.where("path < 5"), path)
+    first = parts()
+    ledger = secrets.scan_into(versions, path)
+    assert first.items() <= parts().items()
+    assert ledger.count() == ledger.select("blob").distinct().count() == len({t or "" for _, t in TEXTS})
+    assert sorted(map(str, secrets.secret_report(docs, ledger).collect())) == sorted(map(str, secrets.secret_report(docs).collect()))
+    before = ledger.count()
+    assert secrets.scan_into(versions, path).count() == before  # nothing is new
+    ledger.limit(4).write.mode("append").parquet(path)  # as by two runs at once
+    twice = spark.read.schema(secrets.LEDGER).parquet(path)
+    assert sorted(map(str, secrets.secret_report(docs, twice).collect())) == sorted(map(str, secrets.secret_report(docs).collect()))
 
 
 def test_redaction_keeps_columns_of_any_name(spark):
@@ -363,6 +385,8 @@ def test_licenses_over_lines_whole_texts_and_tags(spark):
         ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-3.0-or-later WITH Classpath-exception-2.0", "Apache-2.0,GPL-3.0,MIT"),
         ("SPDX-License-Identifier: EUPL-1.2", "EUPL-1.2"),
         ("no permission of any kind is named in these words", ""),
+        (whole["MIT"].split("\n", 1)[1], "MIT"),
+        (whole["0BSD"].split("\n", 1)[1], "0BSD"),
     ]
     found = license_scan.scanned(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(wanted)], "doc_id long, text string"))
     rows = {r.doc_id: r for r in found.collect()}
@@ -370,6 +394,57 @@ def test_licenses_over_lines_whole_texts_and_tags(spark):
     assert [(f.line, f.last, f.changes) for f in rows[0].findings] == [(1, 2, "")] and rows[13].n_blocks == 0
 
 
+def test_licence_blocks_equal_a_search_over_all_lines(spark):
+    """Whole lines of a text that are notices or whole licences, by plain compression and comparison with every template."""
+    rng = np.random.default_rng(12)
+    named, whole = license_scan.notices(), license_scan.whole_texts()
+    texts = []
+    for i in range(30):
+        lines = [" ".join(rng.choice(["river", "stone", "map", "seven", "green"], 8)) for _ in range(6)]
+        for k in rng.choice(6, 2, replace=False):
+            form = (named + whole)[int(rng.integers(len(named + whole)))][1]
+            words = " ".join(form.split()).split(" ")
+            if len(words) > 60:
+                words[int(rng.integers(20, len(words) - 20))] = "pebble"
+            lines[k] = " ".join(words)
+        texts.append((i, "\n".join(lines)))
+
+    def best(line):
+        gains = []
+        for f, (name, form) in enumerate(named + whole):
+            shared, said = license_scan.differences(line, form)
+            if shared >= 0.8 * len(license_scan._WORD.findall(form.lower())) and shared:
+                gone = [w[1:] for w in said.split() if w[0] == "-"]
+                added = [w[1:] for w in said.split() if w[0] == "+"]
+                same = lambda w: w.lstrip("v").removesuffix(".0")
+                bare = [w for w in gone if w in license_scan._NAMES or any(c.isdigit() for c in w) and same(w) not in map(same, added)]
+                if f >= len(named) or not bare and not license_scan._OTHERS.intersection(added):
+                    gain = license_scan.compressed(line.encode(), None) - license_scan.compressed(line.encode(), form.encode())
+                    gains.append((gain, shared - len(said.split()), name))
+        near = [g for g in gains if g[0] >= 0.9 * max(gains)[0] - 2]
+        return max(near, key=lambda g: (g[1], g[0], g[2]))[2] if near else None
+
+    for row in license_scan.scanned(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        wanted = [(n, best(line)) for n, line in enumerate(dict(texts)[row.doc_id].split("\n"))]
+        assert [(f.line, f.template) for f in row.findings or [] if f.confirmed] == [x for x in wanted if x[1]]
+
+
+def test_licences_in_words_without_a_gap(spark):
+    """A notice whose words are joined by dots, half a million times over, is one stretch and is walked once."""
+    notice = license_scan.TEMPLATES["MIT"].rstrip(".").replace(" ", ".")
+    text = ".".join([notice] * 2_000)
+    rows = [(1, text), (2, "see " + license_scan.TEMPLATES["MIT"] + " " + "x." * 600_000)]
+    found = {r.doc_id: r for r in license_scan.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[2].licenses == "MIT" and len(found) == 2
+
+
+def test_whole_texts_of_ones_own(spark):
+    wording = " ".join(f"clause{i} binds" for i in range(40))
+    df = spark.createDataFrame([(1, "Own License\n" + wording), (2, "Released under the MIT License.")], "doc_id long, text string")
+    found = {r.doc_id: r.licenses for r in license_scan.scanned(df, texts={"Own": wording}).collect()}
+    assert found == {1: "Own", 2: ""}
+
+
 def test_every_copy_of_a_notice_is_found(spark):
     text = "\n".join([license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["CC-BY-4.0"]] * 50)
     row = license_scan.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
