@@ -97,7 +97,4 @@ CHECKLISTS = _struct(
     """
 )
 
-STATUS_LIST = _struct("scientific_name STRING, common_name STRING, listing_status STRING")
-WATCH_LIST = _struct("scientific_name STRING, common_name STRING, category STRING, in_park STRING")
-VISITS = _struct("year INT, park STRING, visits BIGINT")
 RINGS = _struct("poly_id STRING, part INT, ring INT, seq INT, x DOUBLE, y DOUBLE")

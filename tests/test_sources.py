@@ -37,6 +37,7 @@ def put(tmp_path, name, text):
     return str(path)
 
 
+# Fixed value: the header of an observation export.
 EXPORT_HEADER = (
     "id,observed_on_string,observed_on,time_observed_at,user_id,user_login,quality_grade,license,url,place_guess,"
     "positional_accuracy,coordinates_obscured,species_guess,scientific_name,common_name,iconic_taxon_name,latitude,longitude,"

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from fieldtally.operators import counts, watchlist as W
 from fieldtally.sources import inline_rows
-from fieldtally.streaming import watch_stream
 
 FEED = [
     ("Salmo salar", "2023-07-02"),
@@ -135,8 +134,8 @@ def test_streaming_feed_gives_the_batch_result(spark, feed, watch, entries, tmp_
     feed.coalesce(1).write.parquet(source)
     stream = spark.readStream.schema(feed.schema).parquet(source)
     out = str(tmp_path / "out")
-    query = watch_stream.write_hits(W.classify(stream, entries, watch), out, str(tmp_path / "chk"))
-    query.awaitTermination(120)
+    hits = W.classify(stream, entries, watch).writeStream.option("checkpointLocation", str(tmp_path / "chk"))
+    hits.trigger(availableNow=True).start(out).awaitTermination(120)
     want = W.classify(feed, entries, watch)
     got = spark.read.schema(want.schema).parquet(out)
     assert rows(got, *want.columns) == rows(want)
