@@ -334,13 +334,19 @@ def grid_table(
     )
 
 
-def grid_counts_by(points: DataFrame, grids: DataFrame, key: str = "park", x: str = "longitude", y: str = "latitude") -> DataFrame:
+def grid_counts_by(
+    points: DataFrame, grids: DataFrame, key: str = "park", x: str = "longitude", y: str = "latitude", listed: DataFrame | None = None
+) -> DataFrame:
     """Points per occupied cell of their own park's grid: ``key, row, col, count``.
 
-    The rules of :class:`Grid`, with extents as columns of the joined grid table. Counts are made before anything is shuffled
-    where Spark broadcasts the grids, one row per park.
+    The rules of :class:`Grid`, with extents as columns of the joined grid table. Up to 200,000 grids, one row per park, are sent
+    to all tasks, so that counts are made before anything is shuffled: a shuffle by park would sort all points of a park in one
+    task. Their number is counted when the plan is built; ``listed``, the shapes that the grids are made of, is counted in
+    their place where they are not stored and counting them would read the points.
     """
+    few = (grids if listed is None else listed).limit(_SMALL + 1).count() <= _SMALL
     named = grids.withColumnRenamed(key, "_of")
+    named = F.broadcast(named) if few else named
     px, py = F.col(x), F.col(y)
     joined = points.select(key, px, py).join(named, F.col(key) == F.col("_of"))
     col = F.floor((px - F.col("xmin")) * (F.col("cols").cast("double") / (F.col("xmax") - F.col("xmin")))).cast("int")

@@ -114,7 +114,7 @@ def grid_counts_by_park(spark, sf):
     """Cells of both parks, each on its own grid, from one scan for the extents and one for the counts."""
     points = S.lines(spark, sf).select("park", "longitude", "latitude")
     shapes = inline_rows(spark, ["park", "rows", "cols", "left", "right", "bottom", "top"], [(p, r, c, 0.01, 0.02, 0.03, 0.04) for p, r, c in (("F", 12, 20), ("O", 9, 31))])
-    return G.grid_counts_by(points, G.grid_table(points, shapes))
+    return G.grid_counts_by(points, G.grid_table(points, shapes), listed=shapes)
 
 
 # One square per supplier, one in seven of them in the same place, and points on and around them.

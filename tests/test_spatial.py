@@ -251,3 +251,21 @@ def test_projected_layer_to_degrees(spark):
     layer = inline_rows(spark, RING, rings_of({"a": [ring]}))
     found = {(round(r["x"], 6), round(r["y"], 6)) for r in G.mercator_rings_to_lonlat(layer).collect()}
     assert found == {(0.0, 0.0), (180.0, 0.0), (0.0, 85.051129)}
+
+
+def test_points_are_not_shuffled_to_their_park_before_they_are_counted(spark, rows):
+    points = spark.sql("SELECT element_at(array('a', 'b', 'c'), cast(id % 3 AS int) + 1) AS park, (id % 89) * 1D AS longitude, (id % 53) * 1D AS latitude FROM range(3000)")
+    shapes = inline_rows(spark, ["park", "rows", "cols"], [("a", 3, 4), ("b", 5, 2)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # Spark does not know how few grids there are
+    try:
+        grids = G.grid_table(points, shapes)
+        stored = G.grid_counts_by(points, grids.localCheckpoint())
+        plan = stored._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        listed = G.grid_counts_by(points, grids, listed=shapes)
+        assert "BroadcastHashJoin" in listed._jdf.queryExecution().executedPlan().toString()
+        assert rows(stored, "park", "row", "col", "count") == rows(listed, "park", "row", "col", "count")
+        assert rows(listed.groupBy("park").agg(F.count("count").alias("cells"), F.sum("count").alias("n"))) == [("a", 12, 1000), ("b", 10, 1000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
