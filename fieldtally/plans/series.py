@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtally.functions.dates import month_from_parts, month_of, year_of
+from fieldtally.functions.dates import month_from_parts, month_of, month_start, year_of
 from fieldtally.operators import calendar as K
 from fieldtally.operators import counts, curves, participation, predicates as P, reshape
 from fieldtally.plans import standin as S
@@ -39,10 +39,10 @@ SELECT park, date, count(DISTINCT checklist_id), 'Complete checklists' FROM chk
 """
 )
 def monthly_checklists(spark, sf):
-    # grouping by day keeps every month key and shrinks the lines before the join
+    # grouping by month shrinks the lines before the join
     return counts.monthly_variants(
-        S.reduced_lines_with_headers(spark, sf, "park", "obs_date"),
-        "obs_date",
+        S.reduced_lines_with_headers(spark, sf, "park", month_start("obs_date").alias("month")),
+        "month",
         P.is_complete(**PROTOCOL_WORDS),
         ("Total checklists", "Complete checklists"),
         by="park",

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtally.operators.predicates import MIN_DURATION
 from fieldtally.sources.inline import inline_rows
+from fieldtally.types import ColumnLike
 
 # Words of the order priority in the role of a protocol.
 TRAVELING, STATIONARY, INCIDENTAL = "1-URGENT", "2-HIGH", "5-LOW"
@@ -62,15 +64,29 @@ def taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reduced_lines_with_headers(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+ROWS_PER_TASK = 250_000  # lines and headers of one task of their join and of the counts behind it
+
+
+def reduced_lines_with_headers(spark: SparkSession, sf_dir: str, *keys: ColumnLike, threshold: float = MIN_DURATION) -> DataFrame:
     """Line counts ``k`` per checklist and ``keys``, with the header joined on.
 
     For queries that group by checklist again: lines are counted before the join, so a checklist
-    with very many lines travels as one count per duration. Durations stay as they are, so that any
-    threshold may follow.
+    with very many lines travels as two or three counts per key: of lines that lasted ``threshold``, of shorter ones and of
+    lines without a duration. ``duration_min`` is the shortest of those counted together, so it tells the side of ``threshold``.
+
+    The join is dealt by checklist over as many tasks as the tables' row counts ask for, so that a task's memory does not
+    grow with them: adaptive execution would merge tasks by their compressed bytes, a twentieth of what they sort and count.
+    Where the cores alone make that many tasks, the dealing is left to it.
     """
-    counted = lines(spark, sf_dir).groupBy("checklist_id", "duration_min", *keys).agg(F.count(F.lit(1)).alias("k"))
-    return counted.join(headers(spark, sf_dir), "checklist_id")
+    feed, heads = lines(spark, sf_dir), headers(spark, sf_dir)
+    lasted = (F.col("duration_min") >= threshold).alias("_lasted")
+    counted = feed.groupBy("checklist_id", lasted, *keys).agg(
+        F.min("duration_min").alias("duration_min"), F.count(F.lit(1)).alias("k")
+    ).drop("_lasted")
+    tasks = 1 + (feed.count() + heads.count()) // ROWS_PER_TASK
+    if tasks <= spark.sparkContext.defaultParallelism:
+        return counted.join(heads, "checklist_id")
+    return counted.repartition(tasks, "checklist_id").join(heads.repartition(tasks, "checklist_id"), "checklist_id")
 
 
 def lines_with_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
